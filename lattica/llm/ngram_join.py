@@ -34,11 +34,11 @@ from .common import join_checked, join_skewed, materialise, text_or_empty
 
 PERCENT = 80
 #: Entries of a column block, and of a batch of rows within a task.
-BLOCK_ENTRIES, BATCH_ENTRIES, BATCH_ROWS = 2_000_000, 2_000_000, 200_000
+BLOCK_ENTRIES, BATCH_ENTRIES, BATCH_ROWS = 1_000_000, 1_000_000, 100_000
 #: A column of so many rows or fewer is multiplied out at once.
 SMALL = 32
-#: All pairs across components are compared when they are fewer than this many times the entries.
-CROSS, ROUNDS = 20, 8
+#: Rows are compared with a pivot, ROUNDS times at most, while the pairs still to be looked at are more than CROSS times the entries.
+CROSS, ROUNDS = 200, 3
 
 INCIDENCE = "block long, flush long, one_hash binary, one_row binary, many_hash binary, many_count binary, rows binary"
 SHARED = "flush long, block long, one_hash binary, one_row binary, one_df binary, many_df binary, rows binary"
@@ -216,7 +216,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): of each linked node the least node it reaches, by alternating large and small stars."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -224,37 +223,48 @@ def components(links: DataFrame) -> DataFrame:
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = materialise(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # Stars: no node has two labels, and no label has one.
+        loose = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi"))
+        if loose.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        mark = now
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of rows whose sizes allow a link."""
-    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * PERCENT
+    """Distinct pairs of rows that meet in a column and can overlap enough.
+
+    In a pair's first common column, at position pos of a row's n entries in column
+    order, n - pos entries at most are still to meet; a pair that this bound drops in
+    a later column is looked at in an earlier one.
+    """
+    overlap = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    fits = overlap * (100 + PERCENT) >= (F.col("n") + F.col("n2")) * PERCENT
     return pairs.where(fits).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
-def link_components(sets: DataFrame) -> DataFrame | None:
-    """(node, label) of linked classes; None if there is no link."""
-    entries = sets.select(F.explode("prefix").alias("h"), "rep", "n")
+def link_components(sets: DataFrame) -> DataFrame:
+    """(node, label) of linked classes.
+
+    Columns of few rows are multiplied out. In the others, rows meet the row that has
+    the column earliest first; then only rows outside a column's largest component
+    meet all others of it.
+    """
+    entries = sets.select("rep", "n", F.floor(F.octet_length("shared") / 8).alias("s"), F.posexplode("prefix").alias("i", "h")).select("h", "rep", "n", (F.col("n") - F.col("s") + F.col("i")).alias("pos"))
     many = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     entries = materialise(entries.join(many, "h"))
-    other = entries.select("h", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
+    other = entries.select("h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     small = entries.where(f"m <= {SMALL}").join(other, "h").where("rep < rep2")
     large = entries.where(f"m > {SMALL}")
     total = large.count()
-    turn = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("x"), F.col("rep").alias("rep2"), F.col("n").alias("n2"))).alias("p")
-    pivots = large.groupBy("h").agg(turn(0)).select("h", "p.rep2", "p.n2")
+    pivot = lambda by: F.min(F.struct(by.alias("x"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias("p")
+    pivots = large.groupBy("h").agg(pivot(F.col("pos") / F.col("n"))).select("h", "p.rep2", "p.n2", "p.pos2")
+    columns = ["rep", "n", "pos", "rep2", "n2", "pos2"]
     starred = large.join(pivots, "h").where("rep != rep2")
-    columns = ["rep", "n", "rep2", "n2"]
     links = materialise(_verified(_ordered(small.select(columns).unionByName(starred.select(columns))), sets))
     merged = materialise(components(links))
     for i in range(1, ROUNDS + 1):
         if not total:
             break
-        labelled = materialise(large.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label")))
+        labelled = materialise(large.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", "pos", F.coalesce("label", "rep").alias("label")))
         parts = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
         parts = materialise(parts.select("h", "m", F.col("top.c").alias("c"), F.col("top.label").alias("most")).where("c < m"))
         cost = parts.agg(F.sum((F.col("m") - F.col("c")) * F.col("m"))).first()[0]
@@ -262,16 +272,15 @@ def link_components(sets: DataFrame) -> DataFrame | None:
             break
         inside = labelled.join(parts.select("h", "most"), "h")
         rest = inside.where("label != most")
-        if cost <= CROSS * total or i == ROUNDS:
-            others = labelled.select("h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            tried = rest.join(others, "h").where("label != label2")
+        last = cost <= CROSS * total or i == ROUNDS
+        if last:
+            tried = rest.join(labelled.select("h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2")), "h").where("label != label2")
         else:
-            tried = inside.where("label = most").groupBy("h").agg(turn(i)).select("h", "p.rep2", "p.n2")
-            tried = rest.join(tried, "h")
+            chosen = inside.where("label = most").groupBy("h").agg(pivot(F.xxhash64(F.lit(i), "rep"))).select("h", "p.rep2", "p.n2", "p.pos2")
+            tried = rest.join(chosen, "h")
         found = materialise(_verified(_ordered(tried.select(columns)), sets))
-        links = links.unionByName(found)
         merged = materialise(components(merged.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)))
-        if cost <= CROSS * total:
+        if last:
             break
     return merged
 

@@ -12,7 +12,9 @@ are joined back to the pieces.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 from .common import join_checked, materialise
 
 CAPACITY = 4096
-#: Words kept per worker with their ids; a full cache is emptied, which costs time only.
-CACHE_WORDS = 400_000
+#: Words, and parts of words, kept per worker with their ids; a full cache is emptied, which costs time only.
+CACHE_WORDS, CACHE_PARTS = 300_000, 900_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -35,10 +37,12 @@ PIECES = T.StructType([
 class WordTokenizer:
     """Ids of a text from the ids of its words.
 
-    The tokenizer drops white space and never joins what stands on either side of
-    it, so a text's ids are its words' ids in turn; words are looked up and only
-    unknown ones are encoded. Words are cut at ASCII white space; other white space
-    stays inside a word and is left to the tokenizer.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are
+    its words' ids in turn; words are looked up and only unknown ones are encoded. It
+    also never joins a letter or digit with the ASCII punctuation after it and
+    ignores case, so an unknown word is put together from its stem's and its ending's
+    ids. Words are cut at ASCII white space; other white space stays inside a word
+    and is left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -49,7 +53,28 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """Stem and ending; without an ending where they may not be separate."""
+        stem = word.rstrip(".,!?;:")
+        if not stem or not (stem[-1].isalnum() and stem[-1] < "\u0250"):
+            stem = word
+        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        cut = [(w, *self.split(w)) for w in words]
+        new = list({p for c in cut for p in c[1:] if p and p not in self.parts})
+        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[p] = array("I", e.ids).tobytes()
+        for w, stem, end in cut:
+            self.words[w] = self.parts[stem] + self.parts[end] if end else self.parts[stem]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -57,17 +82,26 @@ class WordTokenizer:
             if c in text:
                 text = text.replace(c, " ")
         words = text.split(" ")
-        known = self.known
         try:
+            known = self.words
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            pass
+        missing = {w for w in words if w not in known}
+        if len(missing) > CACHE_WORDS:  # a text with more words than are kept is encoded whole
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        self.learn(missing)
+        known = self.words
+        if len(missing | {w for w in words if w not in known}) > len(missing):
+            self.learn({w for w in words if w not in known})
+            known = self.words
+        return b"".join([known[w] for w in words])
+
+
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """A worker's own; it keeps what it learned from task to task."""
+    return WordTokenizer(path)
 
 
 def default_tokenizer() -> str:
@@ -83,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, seen, part = WordTokenizer(tokenizer), {}, TaskContext.get().partitionId()
+        encode, seen, part = shared_tokenizer(tokenizer), {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in PIECES]

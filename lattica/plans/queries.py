@@ -1,0 +1,5 @@
+"""The catalogue's queries by name."""
+
+from .catalogue import QUERIES
+
+__all__ = ["QUERIES"]

@@ -1,0 +1,5 @@
+"""DuckDB SQL of the catalogue's queries by name."""
+
+from .oracles import ORACLES
+
+__all__ = ["ORACLES"]

@@ -34,7 +34,7 @@ from .common import join_checked, join_skewed, materialise, text_or_empty
 
 PERCENT = 80
 #: Entries of a column block, and of a batch of rows within a task.
-BLOCK_ENTRIES, BATCH_ENTRIES, BATCH_ROWS = 1_000_000, 1_000_000, 100_000
+BLOCK_ENTRIES, BATCH_ENTRIES, BATCH_ROWS = 1_000_000, 500_000, 50_000
 #: A column of so many rows or fewer is multiplied out at once.
 SMALL = 32
 #: Rows are compared with a pivot, ROUNDS times at most, while the pairs still to be looked at are more than CROSS times the entries.

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text worked on at once; a longer text is worked on whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -84,13 +84,13 @@ def derived_from(linear: DataFrame) -> DataFrame:
 
 
 def inherited_members(linear: DataFrame, members: DataFrame) -> DataFrame:
-    """(contract, pos, member columns): along each order, the first member of each kind, name and signature.
+    """(contract, depth, member columns): along each order, the first member of each kind, name and signature.
 
     ``members`` has (id, scope, kind, name, sig).
     """
-    chain = linear.select(F.col("id").alias("contract"), F.posexplode("linearized").alias("pos", "scope"))
-    row = F.struct("pos", *members.columns)
-    best = chain.join(members, "scope").groupBy("contract", "kind", "name", "sig").agg(F.min_by(row, "pos").alias("m"))
+    chain = linear.select(F.col("id").alias("contract"), F.posexplode("linearized").alias("depth", "scope"))
+    row = F.struct("depth", *members.columns)
+    best = chain.join(members, "scope").groupBy("contract", "kind", "name", "sig").agg(F.min_by(row, "depth").alias("m"))
     return best.select("contract", "m.*")
 
 

@@ -125,8 +125,11 @@ def incidence(docs: DataFrame, blocks: int) -> DataFrame:
                 if entries >= BATCH_ENTRIES or len(ids) >= BATCH_ROWS:
                     yield _incidence(ids, *map(np.concatenate, zip(*held, strict=True)), flush, blocks)
                     flush, ids, held, entries = flush + 1, [], [], 0
+                    ngrams.trim()
         if ids:
             yield _incidence(ids, *map(np.concatenate, zip(*held, strict=True)), flush, blocks)
+        ids, held = [], []
+        ngrams.trim()
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, INCIDENCE)
 
@@ -153,7 +156,10 @@ def _shared(table: pa.Table) -> pa.Table:
             rows = np.frombuffer(r["one_row"], np.uint16 if width == 2 else np.uint32)
             out.append((r["flush"], r["block"], _pack(one[keep]), rows[keep].tobytes(), rank[a : a + len(one)][keep].tobytes(), rank[b : b + len(more)].tobytes(), None))
             a, b = a + len(one), b + len(more)
-    return pa.Table.from_batches([_batch(SHARED, out)])
+    done = pa.Table.from_batches([_batch(SHARED, out)])
+    del got, out
+    ngrams.trim()
+    return done
 
 
 def _bounded(table: pa.Table) -> pa.Table:
@@ -180,7 +186,10 @@ def _bounded(table: pa.Table) -> pa.Table:
             mine = hashes[ends[i - 1] if i else 0 : ends[i]]
             prefix, shares = mine[: slots[i]].astype(np.int64), np.sort(mine).tobytes()
         out.append((doc, (flush << 20) + i, int(n[i]), int(own["prints"][0, i]), int(own["prints"][1, i]), prefix, shares))
-    return pa.Table.from_batches([_batch(ROWS, out)])
+    done = pa.Table.from_batches([_batch(ROWS, out)])
+    del own, got, out
+    ngrams.trim()
+    return done
 
 
 def bounded_rows(docs: DataFrame) -> DataFrame:
@@ -206,6 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = int((left[where] == right).sum())
                 keep.append(100 * both >= PERCENT * (n + m - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+        ngrams.trim()
 
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("set_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("set_b"))

@@ -1,8 +1,9 @@
 """From parsed units to edge drafts: imports, scope, inheritance and calls, as joins.
 
-Names are looked up in stages, each a join that takes what the stages before it left.
-Nothing is guessed: several candidates give several ambiguous drafts, none gives one
-to a placeholder.
+Two tables say what a name means, in a contract's chain and in a file's scope, each
+with arrays of candidates by kind. A use of a name is joined to both once, and the
+stages of a lookup are a choice among the arrays. Nothing is guessed: several
+candidates give several ambiguous drafts, none gives one to a placeholder.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ LOW_LEVEL = {"call": "lowlevel", "staticcall": "lowlevel", "callcode": "lowlevel
 ELEMENTARY, POINTER = r"^(address|bool|string|bytes\d*|u?int\d*|fixed|ufixed)\b", r"^function\s*\("
 TEST_BASES = ("Test", "DSTest", "Script", "TestBase")
 _CALL = ("call_id", "fn", "file", "scope", "name", "arg_count", "site")
+_NO_PARAMS = "array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>"
 
 
 def base_type(c: Column) -> Column:
@@ -86,270 +88,277 @@ def visible_names(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     return union(own, named, bare).distinct()
 
 
+def some(c: str) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)) > 0
+
+
 class Resolver:
     def __init__(self, parsed: DataFrame, remappings: Remappings | None = None, roots: tuple[str, ...] = ("src", "contracts")):
-        self.units = ingest.units(parsed)
-        self.symbols = materialise(ingest.symbols(parsed))
+        self.units = materialise(ingest.units(parsed))
+        self.symbols = s = materialise(ingest.symbols(parsed))
         self.imports = materialise(resolve_imports(self.units, remappings, roots))
-        s = self.symbols
-        sig = F.array_join(F.transform(F.coalesce("params", F.array().cast("array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>")), lambda p: p["type"]), ",")
+        params = F.coalesce("params", F.array().cast(_NO_PARAMS))
         kind = F.when(F.col("subkind") == "modifier", "Modifier").otherwise(F.col("kind"))
-        self.all = materialise(s.select("id", kind.alias("kind"), "name", "file", "scope", "subkind", sig.alias("sig"), F.size(F.coalesce("params", F.array().cast("array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>"))).alias("arity"),
-                               "has_body", "visibility", "type", "is_virtual", "contract_kind"))
+        owner = s.where("kind = 'Contract'").select(F.col("id").alias("scope"), F.col("contract_kind").alias("owner_kind"))
+        self.all = materialise(s.select("id", kind.alias("kind"), "name", "file", "scope", "subkind", F.array_join(F.transform(params, lambda p: p["type"]), ",").alias("sig"), F.size(params).alias("arity"),
+                                        "has_body", "visibility", "type", "is_virtual", "contract_kind").join(owner, "scope", "left"))
         self.contracts = self.all.where("kind = 'Contract'").select("id", "name", "file", "contract_kind")
-        self.visible = materialise(visible_names(s, self.imports).join(self.all.select("id", "kind", "type", "arity"), "id"))
-        self.bases = self._bases()
-        found = self.bases.where("base is not null")
-        arcs = found.select(F.col("contract").alias("from_id"), F.col("base").alias("to_id"), "idx").distinct()
+        seen = visible_names(s, self.imports).join(self.all.drop("name", "file"), "id")
+        self.visible = materialise(self._meanings(seen, "file", "v").join(seen.where("kind = 'Contract'").groupBy("file", "name").agg(F.sort_array(F.collect_set(F.struct("id", "contract_kind"))).alias("v_contracts")), ["file", "name"], "left"))
+        self.named = materialise(self.contracts.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("id", "contract_kind"))).alias("g_contracts")))
+        self.bases = materialise(self._bases())
+        arcs = self.bases.where("base is not null").select(F.col("contract").alias("from_id"), F.col("base").alias("to_id"), "idx").distinct()
         self.linear = materialise(inherit.linearise(self.contracts.select("id"), arcs))
         self.chain = self.linear.select(F.col("id").alias("contract"), "certainty", F.posexplode("linearized").alias("at", "scope"))
-        self.members = materialise(inherit.inherited_members(self.linear, self.all.where("scope is not null")).drop("pos"))
+        members = inherit.inherited_members(self.linear, self.all.where("scope is not null")).drop("scope").withColumnRenamed("contract", "scope")
+        self.members = materialise(self._meanings(members, "scope", "m"))
         self.functions = s.where("kind = 'Function'")
+        self.locals = materialise(self.functions.select(F.col("id").alias("fn"), F.posexplode("locals").alias("i", "l")).groupBy("fn", F.col("l.name").alias("name")).agg(F.min_by("l.type", "i").alias("local_type")))
+        self.arms = materialise(self._arms())
+
+    # What names mean
+
+    def _meanings(self, rows: DataFrame, place: str, tag: str) -> DataFrame:
+        """(place, name) with arrays of functions (id, arity, lib), modifiers, events and errors, a variable, and whether it is a type."""
+        kind = F.col("kind")
+        fn = F.when(kind == "Function", F.struct("id", "arity", F.coalesce(F.col("owner_kind") == "library", F.lit(False)).alias("lib")))
+        var = F.when(kind == "StateVariable", F.struct("id", "type", F.col("visibility").alias("vis")))
+        ids = lambda k: F.sort_array(F.collect_set(F.when(kind == k, F.col("id"))))
+        return rows.groupBy(place, "name").agg(
+            F.sort_array(F.collect_set(fn)).alias(f"{tag}_fns"), F.min(var).alias(f"{tag}_var"), ids("Modifier").alias(f"{tag}_mods"), ids("Event").alias(f"{tag}_events"), ids("Error").alias(f"{tag}_errors"),
+            F.coalesce(F.max(kind.isin("Struct", "Enum", "UserDefinedValueType")), F.lit(False)).alias(f"{tag}_type"),
+        )
 
-    # Lookups
+    def mean(self, rows: DataFrame, name: str = "name", tables: str = "mv") -> DataFrame:
+        """``rows`` joined to what ``name`` means in their scope and file."""
+        out = rows
+        if "m" in tables:
+            out = out.join(self.members.withColumnRenamed("name", name), ["scope", name], "left")
+        if "v" in tables:
+            out = out.join(self.visible.withColumnRenamed("name", name), ["file", name], "left")
+        return out
 
-    def lookup(self, wanted: DataFrame, name: str) -> DataFrame:
-        """``wanted`` (file, ...) with contract: those of the name visible in the file, else all of that name."""
-        key = wanted.columns
-        seen = self.visible.where("kind = 'Contract'").select("file", F.col("name").alias(name), F.col("id").alias("contract"))
-        local = wanted.join(seen, ["file", name]).select(*key, "contract")
-        rest = wanted.join(seen.select("file", name).distinct(), ["file", name], "left_anti")
-        return union(local, rest.join(self.contracts.select(F.col("name").alias(name), F.col("id").alias("contract")), name).select(*key, "contract"))
+    def with_contracts(self, rows: DataFrame, name: str) -> DataFrame:
+        """Adds contracts: those of the name visible in the file, else all of that name."""
+        seen = self.visible.select("file", F.col("name").alias(name), F.col("v_contracts").alias("_v"))
+        far = self.named.select(F.col("name").alias(name), F.col("g_contracts").alias("_g"))
+        return rows.join(seen, ["file", name], "left").join(far, name, "left").withColumn("contracts", F.when(some("_v"), F.col("_v")).otherwise(F.col("_g"))).drop("_v", "_g")
 
     def _bases(self) -> DataFrame:
-        """(contract, file, base_name, idx, base, n): bases by name with the number of candidates; base is null if none."""
-        each = self.symbols.where("kind = 'Contract'").select(F.col("id").alias("owner"), "file", F.col("src").alias("at"), F.posexplode("base_names").alias("idx", "base_name"))
-        hit = self.lookup(each.select("owner", "file", "base_name", "idx"), "base_name").withColumnRenamed("contract", "base")
-        count = F.count("*").over(Window.partitionBy("owner", "idx"))
-        hit = hit.withColumn("n", count).drop("file", "base_name")
-        return materialise(each.join(hit, ["owner", "idx"], "left").withColumnRenamed("owner", "contract"))
-
-    def site(self, src: str = "src") -> Column:
+        """(contract, file, base_name, idx, base, n, site): bases by name, n candidates each; base is null if none."""
+        each = self.symbols.where("kind = 'Contract'").select(F.col("id").alias("contract"), "file", self.site(), F.posexplode("base_names").alias("idx", "base_name"))
+        out = self.with_contracts(each, "base_name").withColumn("n", F.coalesce(F.size("contracts"), F.lit(0)))
+        return out.select("contract", "file", "base_name", "idx", "site", "n", F.explode_outer("contracts").alias("c")).withColumn("base", F.col("c.id")).drop("c")
+
+    def _arms(self) -> DataFrame:
+        """(to_id, targets, open): implementations of functions in derived contracts; open if virtual or an interface's."""
+        f = self.all.where("kind = 'Function' and scope is not null")
+        body = f.where("has_body").select(F.col("scope").alias("derived"), "name", "sig", F.col("id").alias("t"))
+        derived = inherit.derived_from(self.linear).select(F.col("id").alias("scope"), "derived")
+        open_ = F.coalesce(F.col("is_virtual") | (F.col("owner_kind") == "interface"), F.lit(False))
+        return f.join(derived, "scope").join(body, ["derived", "name", "sig"]).groupBy(F.col("id").alias("to_id")).agg(F.sort_array(F.collect_set("t")).alias("targets"), F.max(open_).alias("open"))
+
+    @staticmethod
+    def site(src: str = "src") -> Column:
         return F.struct("file", F.col(f"{src}.offset").alias("offset"), F.col(f"{src}.length").alias("length"), F.col(f"{src}.line").alias("line"), F.col(f"{src}.column").alias("column")).alias("site")
 
-    def emit(self, kind: str, rows: DataFrame, key: str, reason: str, subkind: Column | None = None) -> DataFrame:
-        """Drafts to candidates (fn, to_id, site, and what identifies the place as ``key``)."""
-        n = F.count("*").over(Window.partitionBy(key))
-        out = rows.withColumn("_n", n).withColumn("resolution", F.when(F.col("_n") > 1, "ambiguous").otherwise("heuristic"))
-        out = out.withColumn("reason", F.when(F.col("_n") > 1, F.concat(F.col("_n").cast("string"), F.lit(f" {reason}"))))
-        sub = subkind if subkind is not None else F.lit(None).cast("string")
-        return out.withColumns({"kind": F.lit(kind), "subkind": sub, "from_id": F.col("fn")})
+    # Drafts
 
-    def lost(self, kind: str, rows: DataFrame, category: str, reason: Column | str, subkind: Column | str | None = None) -> DataFrame:
-        why = F.lit(reason) if isinstance(reason, str) else reason
-        sub = F.lit(subkind).cast("string") if subkind is None or isinstance(subkind, str) else subkind
-        return rows.withColumns({"kind": F.lit(kind), "subkind": sub, "from_id": F.col("fn"), "to_id": F.concat(F.lit(f"?{category}:"), "name"), "resolution": F.lit("unresolved"), "reason": why})
+    @staticmethod
+    def emit(rows: DataFrame, kind: Column | str, candidates: Column, reason: str, subkind: Column | str | None = None) -> DataFrame:
+        """Drafts to an array of ids; more than one makes them ambiguous."""
+        n = F.size("_c")
+        out = rows.withColumn("_c", candidates).where(n > 0)
+        return out.select(
+            F.col("fn").alias("from_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (subkind if isinstance(subkind, Column) else F.lit(subkind).cast("string")).alias("subkind"), F.explode("_c").alias("to_id"), "site",
+            F.when(n > 1, "ambiguous").otherwise("heuristic").alias("resolution"), F.when(n > 1, F.concat(n.cast("string"), F.lit(f" {reason}"))).alias("reason"),
+            *(c for c in ("cross_trust_boundary", "fan_out") if c in rows.columns),
+        )
+
+    @staticmethod
+    def lost(rows: DataFrame, kind: Column | str, category: str, reason: Column | str, subkind: Column | str | None = None) -> DataFrame:
+        return rows.select(
+            F.col("fn").alias("from_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (subkind if isinstance(subkind, Column) else F.lit(subkind).cast("string")).alias("subkind"),
+            F.concat(F.lit(f"?{category}:"), "name").alias("to_id"), "site", F.lit("unresolved").alias("resolution"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
+        )
 
     @staticmethod
-    def by_arity(rows: DataFrame, key: str) -> DataFrame:
-        """Of a call's candidates those that take as many arguments; all if none does."""
-        fits = F.col("arity") == F.col("arg_count")
-        some = F.max(fits.cast("int")).over(Window.partitionBy(key))
-        return rows.withColumn("_some", some).where(fits | (F.col("_some") == 0)).drop("_some")
+    def by_arity(c: str) -> Column:
+        """Of candidates those that take as many arguments; all if none does."""
+        fits = F.filter(c, lambda x: x["arity"] == F.col("arg_count"))
+        return F.when(F.size(fits) > 0, fits).otherwise(F.col(c))
 
-    # Relations of declarations
+    @staticmethod
+    def ids(c: Column) -> Column:
+        return F.transform(c, lambda x: x["id"])
 
     def declares(self) -> DataFrame:
-        s = self.symbols.select(F.coalesce("scope", "file").alias("fn"), F.col("id").alias("to_id"), self.site())
-        return s.withColumns({"kind": F.lit("declares"), "from_id": F.col("fn"), "resolution": F.lit("heuristic")})
+        return self.symbols.select(F.coalesce("scope", "file").alias("from_id"), F.col("id").alias("to_id"), self.site(), F.lit("declares").alias("kind"), F.lit("heuristic").alias("resolution"))
 
     def inherits(self) -> DataFrame:
-        rows = self.bases.select(F.col("contract").alias("fn"), "file", F.col("base_name").alias("name"), "idx", F.col("base").alias("to_id"), "n", self.site("at"))
-        order = self.chain.select(F.col("contract").alias("fn"), F.col("scope").alias("to_id"), F.col("at").alias("linearization_index"))
-        found = rows.where("to_id is not null").join(order, ["fn", "to_id"], "left")
-        found = found.withColumns({"kind": F.lit("inherits"), "from_id": F.col("fn"), "resolution": F.when(F.col("n") > 1, "ambiguous").otherwise("heuristic"), "reason": F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" contracts named "), "name"))})
-        return union(found, self.lost("inherits", rows.where("to_id is null").drop("to_id"), "not-found", "no contract of that name in scope or project"))
+        order = self.chain.select(F.col("contract"), F.col("scope").alias("base"), F.col("at").alias("linearization_index"))
+        rows = self.bases.join(order, ["contract", "base"], "left").withColumnsRenamed({"contract": "fn", "base_name": "name"})
+        found = rows.where("base is not null").select(F.col("fn").alias("from_id"), F.lit("inherits").alias("kind"), F.col("base").alias("to_id"), "site", "linearization_index", F.when(F.col("n") > 1, "ambiguous").otherwise("heuristic").alias("resolution"), F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" contracts named "), "name")).alias("reason"))
+        return union(found, self.lost(rows.where("base is null"), "inherits", "not-found", "no contract of that name in scope or project"))
 
     def overrides(self) -> DataFrame:
-        members = self.all.where("kind in ('Function', 'Modifier') and scope is not null").withColumn("is_mod", F.col("kind"))
-        hit = inherit.overrides(self.linear, members.withColumns({"kind": F.lit("Function"), "sig": F.concat("is_mod", F.lit("|"), "sig")}))
-        at = self.symbols.select(F.col("id").alias("from_id"), "file", "src").select("from_id", self.site())
-        return hit.join(at, "from_id").withColumn("resolution", F.lit("heuristic"))
+        members = self.all.where("kind in ('Function', 'Modifier') and scope is not null").withColumns({"sig": F.concat("kind", F.lit("|"), "sig"), "kind": F.lit("Function")})
+        at = self.symbols.select(F.col("id").alias("from_id"), self.site())
+        return inherit.overrides(self.linear, members).join(at, "from_id").withColumn("resolution", F.lit("heuristic"))
 
     def modifiers(self) -> DataFrame:
-        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", "src", F.posexplode("modifier_names").alias("i", "name")).withColumn("key", F.concat_ws("#", "fn", "i"))
-        each = each.select("key", "fn", "file", "scope", "name", self.site())
-        mods = self.members.where("kind = 'Modifier'").select(F.col("contract").alias("scope"), "name", F.col("id").alias("to_id"))
-        own = each.join(mods, ["scope", "name"])
-        rest = each.join(own.select("key"), "key", "left_anti")
-        base = self.lookup(rest, "name").join(self.chain.select(F.col("contract").alias("scope"), F.col("scope").alias("contract")), ["scope", "contract"])
-        builders = self.all.where("subkind = 'constructor'").select(F.col("scope").alias("contract"), F.col("id").alias("to_id"))
-        rest = rest.join(base.select("key"), "key", "left_anti")
+        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", self.site(), F.explode("modifier_names").alias("name"))
+        rows = self.with_contracts(self.mean(each, tables="m"), "name").join(self.linear.select(F.col("id").alias("scope"), "linearized"), "scope", "left")
+        builders = self.all.where("subkind = 'constructor'").groupBy(F.col("scope").alias("b")).agg(F.min("id").alias("ctor"))
+        rows = materialise(rows.withColumn("base", F.filter("contracts", lambda c: F.array_contains("linearized", c["id"]))).withColumn("b", F.col("base")[0]["id"]).join(builders, "b", "left"))
+        is_base = some("base")
         return union(
-            self.emit("modifiedBy", own, "key", "modifiers of that name in the chain"), self.emit("calls", base.join(builders, "contract"), "key", "base constructors", F.lit("internal")),
-            self.lost("modifiedBy", rest, "not-found", "no modifier of that name in the chain"),
+            self.emit(rows.where(some("m_mods")), "modifiedBy", F.col("m_mods"), "modifiers of that name in the chain"),
+            self.emit(rows.where(~some("m_mods") & is_base & F.col("ctor").isNotNull()), "calls", F.array("ctor"), "base constructors", "internal"),
+            self.lost(rows.where(~some("m_mods") & ~is_base), "modifiedBy", "not-found", "no modifier of that name in the chain"),
         )
 
-    def locals(self) -> DataFrame:
-        return self.functions.select(F.col("id").alias("fn"), F.posexplode("locals").alias("i", "l")).groupBy("fn", F.col("l.name").alias("name")).agg(F.min_by("l.type", "i").alias("local_type"))
-
     def accesses(self) -> DataFrame:
-        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.posexplode("uses").alias("i", "u")).select(F.concat_ws("#", "fn", "i").alias("key"), "fn", "file", "scope", F.col("u.name").alias("name"), F.col("u.write").alias("write"), self.site("u.src"))
-        free = each.join(self.locals().select("fn", "name"), ["fn", "name"], "left_anti")
-        own = free.join(self.members.where("kind = 'StateVariable'").select(F.col("contract").alias("scope"), "name", F.col("id").alias("to_id")), ["scope", "name"])
-        rest = free.join(own.select("key"), "key", "left_anti")
-        const = rest.join(self.visible.where("kind = 'StateVariable'").groupBy("file", "name").agg(F.min("id").alias("to_id")), ["file", "name"])
-        return union(own, const).withColumns({"kind": F.when(F.col("write"), "writes").otherwise("reads"), "from_id": F.col("fn"), "resolution": F.lit("heuristic")})
+        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.explode("uses").alias("u")).select("fn", "file", "scope", F.col("u.name").alias("name"), F.col("u.write").alias("write"), self.site("u.src"))
+        rows = self.mean(each.join(self.locals.select("fn", "name"), ["fn", "name"], "left_anti")).withColumn("to_id", F.coalesce("m_var.id", "v_var.id")).where("to_id is not null")
+        return rows.select(F.col("fn").alias("from_id"), F.when(F.col("write"), "writes").otherwise("reads").alias("kind"), "to_id", "site", F.lit("heuristic").alias("resolution"))
 
     def references(self) -> DataFrame:
-        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.posexplode("refs").alias("i", "r")).select(F.concat_ws("#", "fn", "i").alias("key"), "fn", "file", "scope", F.col("r.kind").alias("relation"), F.when(F.col("r.kind") == "emits", "Event").otherwise("Error").alias("what"), F.col("r.name").alias("name"), self.site("r.src"))
-        own = each.join(self.members.select(F.col("contract").alias("scope"), "name", F.col("kind").alias("what"), F.col("id").alias("to_id")), ["scope", "name", "what"])
-        rest = each.join(own.select("key"), "key", "left_anti")
-        seen = rest.join(self.visible.select("file", "name", F.col("kind").alias("what"), F.col("id").alias("to_id")), ["file", "name", "what"])
-        rest = rest.join(seen.select("key"), "key", "left_anti")
-        found = self.emit("emits", union(own, seen), "key", "declarations of that name in scope")
-        out = union(found, self.lost("emits", rest, "not-found", "not declared in the chain or the file's scope"))
-        return out.withColumn("kind", F.col("relation"))
+        each = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.explode("refs").alias("r")).select("fn", "file", "scope", F.col("r.kind").alias("relation"), F.col("r.name").alias("name"), self.site("r.src"))
+        event = F.col("relation") == "emits"
+        own, far = F.when(event, F.col("m_events")).otherwise(F.col("m_errors")), F.when(event, F.col("v_events")).otherwise(F.col("v_errors"))
+        rows = materialise(self.mean(each).withColumns({"own": own, "far": far}).withColumn("found", F.when(some("own"), F.col("own")).otherwise(F.col("far"))).select("fn", "name", "relation", "site", "found"))
+        return union(self.emit(rows, F.col("relation"), F.col("found"), "declarations of that name in scope"), self.lost(rows.where(~some("found")), F.col("relation"), "not-found", "not declared in the chain or the file's scope"))
 
     # Calls
 
     def calls(self) -> DataFrame:
-        c = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.posexplode("calls").alias("i", "c")).select(
-            F.concat_ws("#", "fn", "i").alias("call_id"), "fn", "file", "scope", F.col("c.shape").alias("shape"), F.col("c.name").alias("name"), F.col("c.receiver").alias("receiver"), F.col("c.arg_count").alias("arg_count"), self.site("c.src"),
-        )
-        c = materialise(c)
-        member, on_type, on_contract = self._members(c.where("shape = 'member'"))
-        cast_type, cast_contract, cast_lost = self._casts(c.where("shape = 'cast'"))
-        return union(
+        c = self.functions.select(F.col("id").alias("fn"), "file", "scope", F.posexplode("calls").alias("i", "c"))
+        c = materialise(c.select(F.concat_ws("#", "fn", "i").alias("call_id"), "fn", "file", "scope", F.col("c.shape").alias("shape"), F.col("c.name").alias("name"), F.col("c.receiver").alias("receiver"), F.col("c.arg_count").alias("arg_count"), self.site("c.src")))
+        cast, member = self._casts(c.where("shape = 'cast'")), self._members(c.where("shape = 'member'"))
+        every = union(
             self._new(c.where("shape = 'new'")), self._bare(c.where("shape = 'bare'")), self._super(c.where("shape = 'super'")), self._this(c.where("shape = 'this'")), self._expression(c.where("shape = 'expression'")),
-            member, cast_lost, self._on_contracts(union(on_contract, cast_contract)), self._on_elementary(union(on_type, cast_type)),
+            cast[0], member[0], self._on_contracts(union(cast[1], member[1])), self._on_elementary(union(cast[2], member[2])),
         )
-
-    def _targets(self, rows: DataFrame, always: bool) -> DataFrame:
-        """Adds targets: implementations in derived contracts, of virtual and interface functions only unless ``always``."""
-        f = self.all.where("kind = 'Function' and scope is not null")
-        derived = inherit.derived_from(self.linear).select(F.col("id").alias("scope"), F.col("derived"))
-        body = f.where("has_body").select(F.col("scope").alias("derived"), "name", "sig", F.col("id").alias("t"))
-        owner = self.contracts.select(F.col("id").alias("scope"), F.col("contract_kind").alias("owner_kind"))
-        mine = f.join(owner, "scope") if always else f.join(owner, "scope").where("owner_kind = 'interface' or is_virtual")
-        arms = mine.join(derived, "scope").join(body, ["derived", "name", "sig"]).groupBy(F.col("id").alias("to_id")).agg(F.sort_array(F.collect_set("t")).alias("targets"))
-        return rows.join(arms, "to_id", "left")
-
-    def _subkind(self, rows: DataFrame, other: Column) -> DataFrame:
-        """Adds sub: library where the first candidate is a library's."""
-        owner = self.all.select(F.col("id").alias("to_id"), F.col("scope").alias("_s")).join(self.contracts.where("contract_kind = 'library'").select(F.col("id").alias("_s"), F.lit(True).alias("_lib")), "_s")
-        joined = rows.join(owner.select("to_id", "_lib"), "to_id", "left")
-        first = F.first(F.coalesce("_lib", F.lit(False))).over(Window.partitionBy("call_id").orderBy("to_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return joined.withColumn("sub", F.when(first, "library").otherwise(other)).drop("_lib")
+        every = every.join(self.arms, "to_id", "left")
+        use = (F.col("fan_out") == "all") | ((F.col("fan_out") == "open") & F.col("open"))
+        return every.withColumn("targets", F.when(use, F.col("targets"))).drop("open", "fan_out")
 
     def _new(self, c: DataFrame) -> DataFrame:
         c = c.where(~F.col("name").rlike(ELEMENTARY) & ~F.col("name").contains("[")).withColumn("plain", base_type(F.col("name")))
-        hit = self.lookup(c, "plain").withColumnRenamed("contract", "to_id")
-        return union(self.emit("creates", hit, "call_id", "contracts of that name"), self.lost("creates", c.join(hit.select("call_id"), "call_id", "left_anti"), "not-found", "no contract of that type in scope"))
+        rows = self.with_contracts(c, "plain")
+        return union(self.emit(rows, "creates", self.ids(F.col("contracts")), "contracts of that name"), self.lost(rows.where(~some("contracts")), "creates", "not-found", "no contract of that type in scope"))
 
     def _bare(self, c: DataFrame) -> DataFrame:
-        c = c.where(~F.col("name").isin(*BUILTINS))
-        near = c.join(self.locals(), ["fn", "name"])
-        via_local = self.lost("calls", near, "function-pointer", F.when(F.col("local_type").rlike(POINTER), "call through a function pointer").otherwise("call through a local value"), "internal")
-        rest = c.join(near.select("call_id"), "call_id", "left_anti")
-        own = rest.join(self.members.where("kind = 'Function'").select(F.col("contract").alias("scope"), "name", F.col("id").alias("to_id"), "arity"), ["scope", "name"])
-        rest = rest.join(own.select("call_id"), "call_id", "left_anti")
-        free = rest.join(self.visible.where("kind = 'Function'").select("file", "name", F.col("id").alias("to_id"), "arity"), ["file", "name"])
-        rest = rest.join(free.select("call_id"), "call_id", "left_anti")
-        hit = self._targets(self._subkind(self.by_arity(union(own, free), "call_id"), F.lit("internal")), True)
-        found = self.emit("calls", hit, "call_id", "overloads; their argument types would have to be inferred", F.col("sub"))
-        pointer = rest.join(self.members.where(F.col("type").rlike(POINTER)).select(F.col("contract").alias("scope"), "name"), ["scope", "name"], "left_semi")
-        rest = rest.join(pointer.select("call_id"), "call_id", "left_anti")
-        rest = rest.join(self._types(rest, "name", ("Contract", "Struct", "Enum", "UserDefinedValueType")), "call_id", "left_anti")
-        return union(via_local, found, self.lost("calls", pointer, "function-pointer", "call through a function pointer", "internal"), self.lost("calls", rest, "not-found", "no function of that name in the contract, its bases or the file's scope", "internal"))
-
-    def _types(self, c: DataFrame, name: str, kinds: tuple[str, ...]) -> DataFrame:
-        """(call_id): calls of which ``name`` names a type of ``kinds``, in the file's scope or the chain."""
-        seen = self.visible.where(F.col("kind").isin(*kinds)).select("file", F.col("name").alias(name))
-        inside = self.members.where(F.col("kind").isin(*kinds)).select(F.col("contract").alias("scope"), F.col("name").alias(name))
-        return union(c.join(seen, ["file", name], "left_semi").select("call_id"), c.join(inside, ["scope", name], "left_semi").select("call_id"))
+        rows = self.mean(c.where(~F.col("name").isin(*BUILTINS))).join(self.locals, ["fn", "name"], "left").withColumn("fns", F.when(some("m_fns"), F.col("m_fns")).otherwise(F.col("v_fns")))
+        pointer = F.coalesce(F.col("m_var.type").rlike(POINTER), F.lit(False))
+        a_type = F.coalesce("m_type", F.lit(False)) | F.coalesce("v_type", F.lit(False)) | some("v_contracts")
+        route = F.when(F.col("local_type").isNotNull(), "local").when(some("fns"), "found").when(pointer, "pointer").when(~a_type, "lost")
+        rows = materialise(rows.withColumns({"route": route, "chosen": self.by_arity("fns"), "fan_out": F.lit("all")}).select(*_CALL, "route", "chosen", "local_type", "fan_out"))
+        sub = F.when(F.col("chosen")[0]["lib"], "library").otherwise("internal")
+        why = F.when(F.col("route") == "pointer", "call through a function pointer").when(F.col("local_type").rlike(POINTER), "call through a function pointer").otherwise("call through a local value")
+        return union(
+            self.emit(rows.where("route = 'found'"), "calls", self.ids(F.col("chosen")), "overloads; their argument types would have to be inferred", sub),
+            self.lost(rows.where("route in ('local', 'pointer')"), "calls", "function-pointer", why, "internal"),
+            self.lost(rows.where("route = 'lost'"), "calls", "not-found", "no function of that name in the contract, its bases or the file's scope", "internal"),
+        )
 
     def _super(self, c: DataFrame) -> DataFrame:
         up = self.chain.where("at > 0").select(F.col("contract").alias("scope"), "certainty", "at", F.col("scope").alias("base"))
-        f = self.all.where("kind = 'Function' and has_body").select(F.col("scope").alias("base"), "name", F.col("id").alias("to_id"), "arity")
-        hit = c.join(up, "scope").join(f, ["base", "name"])
-        near = F.min("at").over(Window.partitionBy("call_id"))
-        hit = hit.withColumn("near", near).where("certainty = 'ambiguous' or at = near")
-        sure = self.emit("calls", self.by_arity(hit.where("certainty = 'certain'"), "call_id"), "call_id", "implementations reachable through super", F.lit("super"))
-        maybe = self.emit("calls", hit.where("certainty = 'ambiguous'"), "call_id", "bases", F.lit("super")).withColumns({"resolution": F.lit("ambiguous"), "reason": F.lit("the chain has no certain linear order")})
-        return union(sure, maybe, self.lost("calls", c.join(hit.select("call_id"), "call_id", "left_anti"), "not-found", "no implementation of that name in the bases", "super"))
+        f = self.all.where("kind = 'Function' and has_body").select(F.col("scope").alias("base"), "name", F.struct("id", "arity").alias("f"))
+        hit = c.join(up, "scope").join(f, ["base", "name"]).groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("at", "f"))).alias("x"), F.first("certainty").alias("certainty"))
+        near = F.filter("x", lambda y: y["at"] == F.col("x")[0]["at"])
+        rows = c.join(hit, "call_id", "left").withColumn("sure", F.transform(near, lambda y: y["f"])).withColumn("chosen", F.when(F.col("certainty") == "ambiguous", F.transform("x", lambda y: y["f"])).otherwise(self.by_arity("sure")))
+        rows = materialise(rows)
+        sure = self.emit(rows.where("certainty = 'certain'"), "calls", self.ids(F.col("chosen")), "implementations reachable through super", "super")
+        maybe = self.emit(rows.where("certainty = 'ambiguous'"), "calls", self.ids(F.col("chosen")), "bases", "super").withColumns({"resolution": F.lit("ambiguous"), "reason": F.lit("the chain has no certain linear order")})
+        return union(sure, maybe, self.lost(rows.where(~some("chosen")), "calls", "not-found", "no implementation of that name in the bases", "super"))
 
     def _this(self, c: DataFrame) -> DataFrame:
-        hit = c.join(self.members.where("kind = 'Function'").select(F.col("contract").alias("scope"), "name", F.col("id").alias("to_id"), "arity"), ["scope", "name"])
-        found = self.emit("calls", self.by_arity(hit, "call_id"), "call_id", "overloads of that name", F.lit("external"))
-        return union(found, self.lost("calls", c.join(hit.select("call_id"), "call_id", "left_anti"), "not-found", "no such function on this contract", "external"))
+        rows = self.mean(c, tables="m").withColumn("chosen", self.by_arity("m_fns"))
+        return union(self.emit(rows, "calls", self.ids(F.col("chosen")), "overloads of that name", "external"), self.lost(rows.where(~some("m_fns")), "calls", "not-found", "no such function on this contract", "external"))
 
     def _expression(self, c: DataFrame) -> DataFrame:
         tail = F.regexp_extract(F.coalesce("receiver", F.lit("")), r"([A-Za-z_$][\w$]*)\s*$", 1)
         c = c.where(~tail.isin(*BUILTIN_RECEIVERS) & ~F.col("name").isin(*ARRAY_MEMBERS))
-        return self.lost("calls", c, "dynamic-receiver", "the receiver is an expression without a declared type", self._low("external"))
+        return self.lost(c, "calls", "dynamic-receiver", "the receiver is an expression without a declared type", self._low("external"))
 
-    def _low(self, other: str) -> Column:
+    @staticmethod
+    def _low(other: str) -> Column:
         out = F.lit(other)
         for name, sub in LOW_LEVEL.items():
             out = F.when(F.col("name") == name, sub).otherwise(out)
         return out
 
     def _casts(self, c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        plain = c.withColumn("type", base_type(F.col("receiver")))
-        simple = plain.where(F.col("receiver").rlike(ELEMENTARY))
-        rest = plain.where(~F.col("receiver").rlike(ELEMENTARY))
-        hit = self.lookup(rest, "type").withColumn("default_sub", F.lit("external"))
-        gone = rest.join(hit.select("call_id"), "call_id", "left_anti")
-        return simple, hit, self.lost("calls", gone, "not-found", F.concat(F.lit("cast to unknown type "), "receiver"), "external")
+        """(drafts, calls on contracts, calls on values of a type)."""
+        rows = self.with_contracts(c.withColumn("type", base_type(F.col("receiver"))), "type").withColumn("default_sub", F.lit("external"))
+        simple = F.col("receiver").rlike(ELEMENTARY)
+        gone = self.lost(rows.where(~simple & ~some("contracts")), "calls", "not-found", F.concat(F.lit("cast to unknown type "), "receiver"), "external")
+        return gone, rows.where(~simple & some("contracts")).select(*_CALL, "contracts", "default_sub"), rows.where(simple).select(*_CALL, "type")
 
     def _members(self, c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Calls on a name: (drafts, calls on values of a type, calls on contracts)."""
-        c = c.where(~F.col("receiver").isin(*BUILTIN_RECEIVERS))
-        space = self.imports.where("unit_alias is not null and target is not null").select("file", F.col("unit_alias").alias("receiver"), "target")
-        exported = self.all.where("scope is null and kind = 'Function'").select(F.col("file").alias("target"), "name", F.col("id").alias("to_id"))
-        ns = c.join(space, ["file", "receiver"]).join(exported, ["target", "name"])
-        drafts = self.emit("calls", self._subkind(ns, F.lit("internal")), "call_id", "namespace members", F.col("sub"))
-        rest = c.join(ns.select("call_id"), "call_id", "left_anti")
-        rest = rest.join(self._types(rest, "receiver", ("Struct", "Enum", "UserDefinedValueType")), "call_id", "left_anti")
-        local = self.locals().select("fn", F.col("name").alias("receiver"), "local_type")
-        state = self.members.where("kind = 'StateVariable'").select(F.col("contract").alias("scope"), F.col("name").alias("receiver"), F.col("type").alias("state_type"))
-        const = self.visible.where("kind = 'StateVariable'").groupBy("file", F.col("name").alias("receiver")).agg(F.min("type").alias("const_type"))
-        typed = rest.join(local, ["fn", "receiver"], "left").join(state, ["scope", "receiver"], "left").join(const, ["file", "receiver"], "left").withColumn("declared", F.coalesce("local_type", "state_type", "const_type")).drop("local_type", "state_type", "const_type")
-        named = self.lookup(typed.where("declared is null").select(*_CALL, "receiver"), "receiver").join(self.contracts.select(F.col("id").alias("contract"), "contract_kind"), "contract")
-        named = named.withColumn("default_sub", F.when(F.col("contract_kind") == "library", "library").otherwise("external")).drop("contract_kind")
-        gone = typed.where("declared is null").join(named.select("call_id"), "call_id", "left_anti")
-        drafts = union(drafts, self.lost("calls", gone, "dynamic-receiver", F.concat(F.lit("receiver "), "receiver", F.lit(" has no declared type in scope")), "external"))
-        known = typed.where("declared is not null").withColumn("type", base_type(F.col("declared")))
-        simple = known.where(F.col("declared").rlike(ELEMENTARY))
-        other = known.where(~F.col("declared").rlike(ELEMENTARY))
-        hit = self.lookup(other.select(*_CALL, "type"), "type").withColumn("default_sub", F.lit("external"))
-        rest = other.join(hit.select("call_id"), "call_id", "left_anti").where(~F.col("name").isin(*ARRAY_MEMBERS))
-        return drafts, union(simple, rest), union(named, hit)
+        """The same of calls on a name."""
+        space = self.imports.where("unit_alias is not null and target is not null").groupBy("file", F.col("unit_alias").alias("receiver")).agg(F.min("target").alias("target"))
+        exported = self.all.where("scope is null and kind = 'Function'").groupBy(F.col("file").alias("target"), "name").agg(F.sort_array(F.collect_set(F.struct("id", "arity"))).alias("ns_fns"))
+        rows = c.where(~F.col("receiver").isin(*BUILTIN_RECEIVERS)).join(space, ["file", "receiver"], "left").join(exported, ["target", "name"], "left")
+        rows = self.mean(rows, "receiver").join(self.locals.withColumnRenamed("name", "receiver"), ["fn", "receiver"], "left")
+        rows = rows.withColumns({"declared": F.coalesce("local_type", "m_var.type", "v_var.type"), "a_type": F.coalesce("m_type", F.lit(False)) | F.coalesce("v_type", F.lit(False))})
+        rows = self.with_contracts(rows.select(*_CALL, "receiver", "ns_fns", "declared", "a_type"), "receiver").withColumnRenamed("contracts", "direct")
+        rows = self.with_contracts(rows.withColumn("type", base_type(F.col("declared"))), "type")
+        simple = F.coalesce(F.col("declared").rlike(ELEMENTARY), F.lit(False))
+        route = (
+            F.when(some("ns_fns"), "space").when(F.col("a_type"), "none").when(F.col("declared").isNull() & some("direct"), "direct").when(F.col("declared").isNull(), "lost").when(simple, "simple")
+            .when(some("contracts"), "typed").when(F.col("name").isin(*ARRAY_MEMBERS), "none").otherwise("simple")
+        )
+        rows = materialise(rows.withColumn("route", route))
+        drafts = union(
+            self.emit(rows.where("route = 'space'"), "calls", self.ids(F.col("ns_fns")), "namespace members", "internal"),
+            self.lost(rows.where("route = 'lost'"), "calls", "dynamic-receiver", F.concat(F.lit("receiver "), "receiver", F.lit(" has no declared type in scope")), "external"),
+        )
+        direct = rows.where("route = 'direct'").withColumn("default_sub", F.when(F.col("direct")[0]["contract_kind"] == "library", "library").otherwise("external")).select(*_CALL, F.col("direct").alias("contracts"), "default_sub")
+        typed = rows.where("route = 'typed'").select(*_CALL, "contracts", F.lit("external").alias("default_sub"))
+        return drafts, union(direct, typed), rows.where("route = 'simple'").select(*_CALL, "type")
 
     def _on_contracts(self, rows: DataFrame) -> DataFrame:
-        m = self.members.select("contract", "name", F.col("id").alias("to_id"), F.col("kind").alias("m_kind"), "arity", "visibility")
-        owner = self.contracts.select(F.col("id").alias("contract"), F.col("contract_kind").alias("asked_kind"))
-        rows = rows.select(*_CALL, "contract", "default_sub")
-        hit = rows.join(m, ["contract", "name"]).join(owner, "contract")
-        functions = hit.where("m_kind = 'Function'")
-        cross = F.max(F.col("asked_kind") == "interface").over(Window.partitionBy("call_id"))
-        functions = functions.withColumn("cross_trust_boundary", cross).dropDuplicates(["call_id", "to_id"])
-        chosen = self._targets(self._subkind(self.by_arity(functions, "call_id"), F.col("default_sub")), False)
-        found = self.emit("calls", chosen, "call_id", "candidates of that name", F.col("sub"))
-        rest = rows.join(functions.select("call_id"), "call_id", "left_anti")
-        getters = hit.where("m_kind = 'StateVariable' and visibility = 'public'").join(rest.select("call_id"), "call_id", "left_semi").dropDuplicates(["call_id", "to_id"])
-        rest = rest.join(getters.select("call_id"), "call_id", "left_anti").where(~F.col("name").isin(*ARRAY_MEMBERS)).dropDuplicates(["call_id"])
-        return union(found, self.emit("calls", getters, "call_id", "public variables of that name", F.lit("external")), self.lost("calls", rest, "not-found", "no such member on the contract", F.col("default_sub")))
+        """Functions of the contracts, else their public variables."""
+        m = self.members.select(F.col("scope").alias("contract"), "name", "m_fns", "m_var")
+        each = rows.select(*_CALL, "default_sub", F.explode("contracts").alias("k")).withColumn("contract", F.col("k.id")).join(m, ["contract", "name"], "left")
+        first = [F.first(c).alias(c) for c in (*_CALL[1:], "default_sub")]
+        none = F.array().cast("array<struct<id:string,arity:int,lib:boolean>>")
+        by = each.groupBy("call_id").agg(
+            *first, F.array_distinct(F.flatten(F.collect_list(F.coalesce("m_fns", none)))).alias("fns"), F.sort_array(F.collect_set(F.when(F.col("m_var.vis") == "public", F.col("m_var.id")))).alias("getters"),
+            F.max((F.col("k.contract_kind") == "interface") & some("m_fns")).alias("cross_trust_boundary"),
+        )
+        by = materialise(by.withColumns({"chosen": F.sort_array(self.by_arity("fns")), "fan_out": F.lit("open")}))
+        sub = F.when(F.col("chosen")[0]["lib"], "library").otherwise(F.col("default_sub"))
+        rest = by.where(~some("fns") & ~some("getters") & ~F.col("name").isin(*ARRAY_MEMBERS))
+        return union(
+            self.emit(by, "calls", self.ids(F.col("chosen")), "candidates of that name", sub),
+            self.emit(by.where(~some("fns")).drop("cross_trust_boundary", "fan_out"), "calls", F.col("getters"), "public variables of that name", "external"),
+            self.lost(rest, "calls", "not-found", "no such member on the contract", F.col("default_sub")),
+        )
 
     def _on_elementary(self, rows: DataFrame) -> DataFrame:
-        rows = rows.select(*_CALL, "type")
-        using = self.units.select(F.explode("using").alias("u")).select(F.col("u.scope").alias("scope"), F.col("u.library").alias("library"), F.col("u.functions").alias("fns"), base_type(F.col("u.type")).alias("for_type")).where("scope is not null")
+        """Functions attached to the type, else members that every value has."""
+        rows = materialise(rows)
+        using = self.units.select("file", F.explode("using").alias("u")).select("file", F.col("u.scope").alias("scope"), F.col("u.library").alias("library"), F.col("u.functions").alias("listed"), base_type(F.col("u.type")).alias("for_type")).where("scope is not null")
+        using = self.with_contracts(using, "library").select("scope", "listed", "for_type", F.coalesce(self.ids(F.col("contracts")), F.array().cast("array<string>")).alias("libs"))
         fits = rows.join(using, "scope").where("for_type is null or for_type = type")
-        lib = self.lookup(fits.where("library is not null").select(*_CALL, "library"), "library").join(self.members.where("kind = 'Function'").select("contract", "name", F.col("id").alias("to_id")), ["contract", "name"])
-        free = fits.where(F.array_contains("fns", F.col("name"))).join(self.visible.where("kind = 'Function'").select("file", "name", F.col("id").alias("to_id")), ["file", "name"])
-        hit = union(lib, free).dropDuplicates(["call_id", "to_id"])
-        rest = rows.join(hit.select("call_id"), "call_id", "left_anti").where(~F.col("name").isin(*ARRAY_MEMBERS, *ADDRESS_VALUES))
-        low = rest.where(F.col("name").isin(*LOW_LEVEL))
-        rest = rest.where(~F.col("name").isin(*LOW_LEVEL))
+        lib = fits.select("call_id", "name", F.explode("libs").alias("lib")).join(self.members.select(F.col("scope").alias("lib"), "name", "m_fns"), ["lib", "name"]).select("call_id", F.explode(self.ids(F.col("m_fns"))).alias("id"))
+        free = fits.where(F.array_contains("listed", F.col("name"))).join(self.visible.select("file", "name", "v_fns"), ["file", "name"]).select("call_id", F.explode(self.ids(F.col("v_fns"))).alias("id"))
+        attached = union(lib, free).groupBy("call_id").agg(F.sort_array(F.collect_set("id")).alias("attached"))
+        rows = materialise(rows.join(attached, "call_id", "left"))
+        rest = rows.where(~some("attached") & ~F.col("name").isin(*ARRAY_MEMBERS, *ADDRESS_VALUES))
         return union(
-            self.emit("calls", hit, "call_id", "attached functions of that name", F.lit("library")), self.lost("calls", low, "low-level", F.concat("name", F.lit(" on "), "type", F.lit(": the target is known at run time only")), self._low("lowlevel")),
-            self.lost("calls", rest, "unattached-member", F.concat(F.lit("no function "), "name", F.lit(" attached to "), "type"), "external"),
+            self.emit(rows, "calls", F.col("attached"), "attached functions of that name", "library"),
+            self.lost(rest.where(F.col("name").isin(*LOW_LEVEL)), "calls", "low-level", F.concat("name", F.lit(" on "), "type", F.lit(": the target is known at run time only")), self._low("lowlevel")),
+            self.lost(rest.where(~F.col("name").isin(*LOW_LEVEL)), "calls", "unattached-member", F.concat(F.lit("no function "), "name", F.lit(" attached to "), "type"), "external"),
         )
 
     def drafts(self) -> DataFrame:
         """All drafts, numbered by file and place."""
-        every = union(self.declares(), self.inherits(), self.overrides(), self.modifiers(), self.accesses(), self.references(), self.calls())
-        order = self.units.select("file", (F.row_number().over(Window.orderBy("file")) * (1 << 40)).alias("_base"))
-        numbered = every.withColumn("_f", F.col("site.file")).join(order.withColumnRenamed("file", "_f"), "_f").withColumn("seq", F.col("_base") + F.col("site.offset"))
+        every = union(*(materialise(part()) for part in (self.declares, self.inherits, self.overrides, self.modifiers, self.accesses, self.references, self.calls)))
+        order = self.units.select(F.col("file").alias("_f"), (F.row_number().over(Window.orderBy("file")) * (1 << 40)).alias("_base"))
+        numbered = every.withColumn("_f", F.col("site.file")).join(order, "_f").withColumn("seq", F.col("_base") + F.col("site.offset"))
         return materialise(conform(numbered, DRAFT))

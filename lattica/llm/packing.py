@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ngrams
 from .common import join_checked, materialise
 
 CAPACITY = 4096
 #: Words, and parts of words, kept per worker with their ids; a full cache is emptied, which costs time only.
-CACHE_WORDS, CACHE_PARTS = 300_000, 900_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 600_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -131,6 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     for column, value in zip(out, (doc, i // (4 * capacity), i // 4, n, zlib.crc32(own), part, nth, own if keep_ids else None), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], [f.name for f in PIECES])
+        ngrams.trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

@@ -61,7 +61,8 @@ class WordTokenizer:
     def split(word: str) -> tuple[str, str]:
         """Stem and ending; without an ending where they may not be separate."""
         stem = word.rstrip(".,!?;:")
-        if not stem or not (stem[-1].isalnum() and stem[-1] < "\u0250"):
+        last = stem[-1:].lower()[-1:]
+        if not stem or not (last.isalnum() and last < "\u0250"):
             stem = word
         return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 

@@ -83,8 +83,10 @@ def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_
 
     No row is dropped, and a document of boilerplate alone stays whole. A null text stays null.
     """
-    out = drop_lines(docs, F.coalesce(F.concat(F.lit("S"), "source"), F.lit("n")), text_lines(F.col("text")), ratio, min_pages, keep_whole=True)
+    inside = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = drop_lines(inside, F.coalesce(F.concat(F.lit("S"), at["source"]), F.lit("n")), text_lines(F.col(at["text"])), ratio, min_pages, keep_whole=True)
     text = F.array_join("_left", "\n")
     changed = F.size("_left") < F.size("_lines")
-    columns = {"text": F.when(changed, text).otherwise(F.col("text")).alias("text"), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
-    return out.select(*(columns.get(c, F.col(c)) for c in docs.columns))
+    new = {"text": F.when(changed, text).otherwise(F.col(at["text"])), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col(at["n_chars"])) if "n_chars" in at else None}
+    return out.select(*(new.get(c, F.col(at[c])).alias(c) for c in docs.columns))

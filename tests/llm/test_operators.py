@@ -354,7 +354,7 @@ def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
         c = counts[level]
         of = Counter(c.values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
-        d = [0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0), i) if of[i] else 0.5 for i in (1, 2, 3)]
+        d = [0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.1), i) if of[i] else 0.5 for i in (1, 2, 3)]
         same = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
         total = sum(same.values())
         lower = prob(gram[1:], level + 1)

@@ -189,7 +189,7 @@ def _reach_small(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
                 if nxt not in seen:
                     seen.add(nxt)
                     todo.append(nxt)
-        yield pd.DataFrame({"id": sorted(seen)})
+        yield pd.DataFrame({"id": pd.Series(sorted(seen), dtype=object)})
 
     return both.coalesce(1).mapInPandas(run, "id string")
 

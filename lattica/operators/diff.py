@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dice
+from ..plans.storage import materialise
 from ..schema import ACCESS_RANK, DANGEROUS, EXTERNAL_SUBKINDS, Graph
 
 FUZZY_THRESHOLD = 0.55
@@ -50,12 +51,12 @@ def _unique_pairs(before: DataFrame, after: DataFrame, on: list[str], tier: str,
 
 def match_body(before: DataFrame, after: DataFrame) -> DataFrame:
     """Equal bodies: those of one name first, then of one scope, then whatever is alone on both sides."""
-    has = lambda side: side.where("kind = 'Function' and body_hash <> ''")
+    has = lambda side: materialise(side.where("kind = 'Function' and body_hash <> ''").select("id", "name", "scope", "body_hash"))
     b, a, parts = has(before), has(after), []
     for extra in (["name"], ["scope"], []):
-        found = _unique_pairs(b, a, ["body_hash", *extra], "body", 0.95)
+        found = materialise(_unique_pairs(b, a, ["body_hash", *extra], "body", 0.95))
         parts.append(found)
-        b, a = _left(b, found, "before"), _left(a, found, "after")
+        b, a = materialise(_left(b, found, "before")), materialise(_left(a, found, "after"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -109,11 +110,11 @@ def call_names(graph: Graph) -> DataFrame:
 def match_nodes(before: Graph, after: Graph, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(before, after, tier, confidence): exact, body, signature, then fuzzy matches, each of what is left."""
     out = match_exact(before.nodes, after.nodes)
-    b, a = _left(before.nodes, out, "before"), _left(after.nodes, out, "after")
+    b, a = materialise(_left(before.nodes, out, "before")), materialise(_left(after.nodes, out, "after"))
     for tier in (match_body, match_signature):
-        found = tier(b, a)
+        found = materialise(tier(b, a))
         out = out.unionByName(found)
-        b, a = _left(b, found, "before"), _left(a, found, "after")
+        b, a = materialise(_left(b, found, "before")), materialise(_left(a, found, "after"))
     return out.unionByName(match_fuzzy(b, a, call_names(before), call_names(after), threshold))
 
 
@@ -231,6 +232,6 @@ def findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def diff_graphs(before: Graph, after: Graph, threshold: float = FUZZY_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, findings) of two analysed graphs."""
-    matches = match_nodes(before, after, threshold)
-    nodes, edges = diff_nodes(before.nodes, after.nodes, matches), diff_edges(before.edges, after.edges, matches)
+    matches = materialise(match_nodes(before, after, threshold))
+    nodes, edges = materialise(diff_nodes(before.nodes, after.nodes, matches)), materialise(diff_edges(before.edges, after.edges, matches))
     return nodes, edges, findings(nodes, edges)

@@ -12,7 +12,9 @@ from ..functions.text import name_similarity, normalise_path
 from ..operators import analysis, audit, closure, diff, inherit, inspect, search, views
 from ..operators.collapse import collapse, resolution_score, select_mode
 from ..operators.export import dot_edges, dot_nodes, mermaid_edges
+from ..operators.resolve import Resolver
 from ..schema import EXTERNAL_SUBKINDS, MUTABILITIES, RESOLUTIONS, Graph, rank_of
+from ..sources import ingest
 from .stargraph import GUARDS, Star
 from .storage import materialise
 
@@ -633,3 +635,24 @@ def weakest_resolution(g: Star) -> DataFrame:
 @query
 def mutability_ranks(g: Star) -> DataFrame:
     return g.functions().groupBy(rank_of("state_mutability", MUTABILITIES).cast("long").alias("rank")).agg(F.count("*").alias("count"))
+
+
+@query
+def parse_sources(g: Star) -> DataFrame:
+    """Functions that the parser finds in the graph written as source text."""
+    found = ingest.symbols(ingest.parse_units(g.sources())).where("kind = 'Function'")
+    return found.select("id", "visibility", "state_mutability", "has_body", F.col("metrics.cyclomatic").cast("long").alias("cyclomatic"))
+
+
+@query
+def body_walk(g: Star) -> DataFrame:
+    """What bodies read and write, by name."""
+    found = ingest.symbols(ingest.parse_units(g.sources())).where("kind = 'Function'")
+    return found.select("id", F.explode("uses").alias("u")).select("id", F.col("u.name").alias("name"), F.col("u.write").alias("write"))
+
+
+@query
+def resolve_sources(g: Star) -> DataFrame:
+    """Drafts of the source text by kind and confidence: parsed, bound and linearised."""
+    drafts = Resolver(materialise(ingest.parse_units(g.sources()))).drafts()
+    return drafts.where("kind in ('declares', 'inherits', 'reads', 'writes')").groupBy("kind", "resolution").agg(F.count("*").alias("count"))

@@ -209,4 +209,11 @@ ORACLES = {
     "edge_widths": after("emits", more={"e": "SELECT from_id, to_id, count(*) AS c FROM emits GROUP BY ALL"}) + "SELECT from_id || '|' || to_id || '|emits|' AS id, round(least(6.0, 1 + log2(greatest(1, c))), 6) AS width FROM e",
     "weakest_resolution": after("calls") + "SELECT from_id, CAST(max(rank) AS BIGINT) AS rank, count(*) AS sites FROM calls GROUP BY from_id",
     "mutability_ranks": after("functions") + "SELECT CAST(list_position(['pure', 'view', 'nonpayable', 'payable'], state_mutability) - 1 AS BIGINT) AS rank, count(*) AS count FROM functions GROUP BY 1",
+    "parse_sources": after("functions", "contracts", more={"v": "SELECT c_custkey AS k FROM customer"})
+    + """SELECT 'src/S' || f.scope_k || '.sol:S' || f.scope_k || '.f' || f.k || '()' AS id, CASE WHEN f.visibility = 'default' AND c.contract_kind = 'interface' THEN 'external' ELSE f.visibility END AS visibility, f.state_mutability,
+        v.k IS NOT NULL AS has_body, CAST(CASE WHEN v.k IS NULL THEN 0 ELSE 1 END AS BIGINT) AS cyclomatic FROM functions f JOIN contracts c ON c.id = f.scope LEFT JOIN v ON v.k = f.k""",
+    "body_walk": after("functions") + """SELECT 'src/S' || scope_k || '.sol:S' || scope_k || '.f' || k || '()' AS id, 'v' || k AS name, w AS "write" FROM functions JOIN customer ON c_custkey = k, (VALUES (true), (false)) t(w)""",
+    "resolve_sources": after("functions", "variables", "contracts", "inherits", more={"b": "SELECT count(*) AS n FROM functions f JOIN customer ON c_custkey = f.k"})
+    + """SELECT 'declares' AS kind, 'heuristic' AS resolution, (SELECT count(*) FROM functions) + (SELECT count(*) FROM variables) + (SELECT count(*) FROM contracts) AS count
+        UNION ALL SELECT 'inherits', 'heuristic', count(*) FROM inherits UNION ALL SELECT 'reads', 'heuristic', n FROM b UNION ALL SELECT 'writes', 'heuristic', n FROM b""",
 }

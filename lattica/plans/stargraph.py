@@ -131,6 +131,21 @@ class Star:
     def call_edges(self) -> DataFrame:
         return self.edges(self.calls().drop("callee"))
 
+    def sources(self) -> DataFrame:
+        """(file, content): the graph's contracts written as Solidity, a file each; function ``f<k>`` adds to variable ``v<k>`` if there is one."""
+        n = self.n
+        word = F.when(F.col("s_suppkey") % 4 == 1, "interface").when(F.col("s_suppkey") % 4 == 2, "library").when(F.col("s_suppkey") % 4 == 3, "abstract contract").otherwise("contract")
+        bases = self.inherits().groupBy(F.regexp_replace("from_id", "c:", "").cast("long").alias("scope_k")).agg(F.concat(F.lit(" is "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "to_id"))), lambda x: F.regexp_replace(x["to_id"], "c:", "S")), ", ")).alias("bases"))
+        var = self.table("customer").select((F.col("c_custkey") % n).alias("scope_k"), F.col("c_custkey").alias("k"), F.concat(F.lit("    uint256 v"), "c_custkey", F.lit(";")).alias("line"), F.lit(0).alias("o"))
+        body = F.when(F.col("c_custkey").isNull(), ";").otherwise(F.concat(F.lit(" { v"), "k", F.lit(" += 1; }")))
+        f = self.functions().join(self.table("customer").select("c_custkey"), F.col("k") == F.col("c_custkey"), "left")
+        vis, mut = F.when(F.col("visibility") != "default", F.concat(F.lit(" "), "visibility")).otherwise(""), F.when(F.col("state_mutability") != "nonpayable", F.concat(F.lit(" "), "state_mutability")).otherwise("")
+        f = f.select("scope_k", "k", F.concat(F.lit("    function f"), "k", F.lit("()"), vis, mut, body).alias("line"), F.lit(1).alias("o"))
+        lines = var.unionByName(f).groupBy("scope_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+        contracts = self.table("supplier").select(F.col("s_suppkey").alias("scope_k"), word.alias("word"))
+        text = F.concat(F.lit("pragma solidity ^0.8.0;\n"), "word", F.lit(" S"), "scope_k", F.coalesce("bases", F.lit("")), F.lit(" {\n"), F.coalesce("body", F.lit("")), F.lit("\n}\n"))
+        return contracts.join(bases, "scope_k", "left").join(lines, "scope_k", "left").select(F.concat(F.lit("src/S"), "scope_k", F.lit(".sol")).alias("file"), text.alias("content"))
+
     def graph(self) -> Graph:
         """Nodes and edges with all their columns."""
         files, functions = self.files(), self.functions()

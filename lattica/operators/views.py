@@ -159,9 +159,7 @@ def representatives(nodes: DataFrame, opened: set[str]) -> DataFrame:
     """(id, rep): the node itself if its directory is open, else the nearest drawn directory above it."""
     path = dir_of(F.col("file"))
     chain = ancestors(path)
-    is_open = F.lit(False) if not opened else F.col("p").isin(*opened)
-    shut = F.filter(chain, lambda p: ~(p.isin(*opened) if opened else F.lit(False)))
-    del is_open
+    shut = F.filter(chain, lambda p: ~p.isin(*opened)) if opened else chain
     return nodes.select("id", F.when(F.size(shut) == 0, F.col("id")).otherwise(F.concat(F.lit("dir:"), shut[0])).alias("rep"))
 
 

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below spark.checkpoint.dir (a local folder only where none is set) and reads it back."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lattica-shared"
-    path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    """Writes ``df`` to this application's folder below spark.checkpoint.dir and reads it back.
+
+    Where the session names no such folder, a local one stands in and is removed at exit.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    path = f"{root.rstrip('/')}/graph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

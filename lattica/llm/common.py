@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +21,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{tempfile.gettempdir()}/lattica-shared"
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{named.rstrip('/')}/lattica"
+    """This application's folder below the one that all machines share; a local one, removed at exit, only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    return f"{named.rstrip('/')}/lattica/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

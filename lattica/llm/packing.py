@@ -11,6 +11,7 @@ are joined back to the pieces.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from . import ngrams
 from .common import join_checked, materialise
 
 CAPACITY = 4096
-#: Words, and parts of words, kept per worker with their ids; a full cache is emptied, which costs time only.
-CACHE_WORDS, CACHE_PARTS = 250_000, 600_000
+#: Words, and parts of words in each of two generations, kept per worker with their ids; what is let go costs time only.
+CACHE_WORDS, CACHE_PARTS = 300_000, 450_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -56,6 +57,7 @@ class WordTokenizer:
         self.model.encode_special_tokens = True
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def split(word: str) -> tuple[str, str]:
@@ -66,17 +68,28 @@ class WordTokenizer:
             stem = word
         return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
-    def learn(self, words: set[str]) -> None:
+    def part(self, text: str) -> bytes | None:
+        """A known part's ids; parts in use move to the younger half, the older half is let go when that is full."""
+        ids = self.parts.get(text)
+        if ids is None and (ids := self.older.get(text)) is not None:
+            self.parts[text] = ids
+        return ids
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
         if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
-        cut = [(w, *self.split(w)) for w in words]
-        new = list({p for c in cut for p in c[1:] if p and p not in self.parts})
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
-        for w, stem, end in cut:
-            self.words[w] = self.parts[stem] + self.parts[end] if end else self.parts[stem]
+            self.parts, self.older = {}, self.parts
+        cut = {w: self.split(w) for w in words}
+        new = {p: ids for c in cut.values() for p in c if p and (ids := self.part(p)) is None}
+        if new:
+            for p, e in zip(new, self.model.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
+                new[p] = array("I", e.ids).tobytes()
+            self.parts |= new
+        known = self.parts
+        got = {w: known[stem] + known[end] if end else known[stem] for w, (stem, end) in cut.items()}
+        self.words |= got
+        return got
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -84,20 +97,17 @@ class WordTokenizer:
             if c in text:
                 text = text.replace(c, " ")
         words = text.split(" ")
-        try:
-            known = self.words
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        missing = {w for w in words if w not in known}
-        if len(missing) > CACHE_WORDS:  # a text with more words than are kept is encoded whole
-            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        self.learn(missing)
-        known = self.words
-        if len(missing | {w for w in words if w not in known}) > len(missing):
-            self.learn({w for w in words if w not in known})
-            known = self.words
-        return b"".join([known[w] for w in words])
+        out = list(map(self.words.get, words))
+        if None in out:
+            at, i = [], -1
+            with contextlib.suppress(ValueError):
+                while True:
+                    i = out.index(None, i + 1)
+                    at.append(i)
+            got = self.learn({words[i] for i in at})
+            for i in at:
+                out[i] = got[words[i]]
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)

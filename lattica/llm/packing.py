@@ -27,8 +27,8 @@ from . import ngrams
 from .common import join_checked, materialise
 
 CAPACITY = 4096
-#: Words, and parts of words in each of two generations, kept per worker with their ids; what is let go costs time only.
-CACHE_WORDS, CACHE_PARTS = 300_000, 450_000
+#: Words, and parts of words, kept per worker in each of two generations with their ids, at about 200 bytes each; what is let go costs time only.
+CACHE_WORDS, CACHE_PARTS = 150_000, 450_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -47,7 +47,7 @@ class WordTokenizer:
     and is left to the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,7 +55,9 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.cache_words, self.cache_parts = cache_words, cache_parts
         self.words: dict[str, bytes] = {"": b""}
+        self.older_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -76,18 +78,20 @@ class WordTokenizer:
         return ids
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.words) > self.cache_words:
+            self.words, self.older_words = {"": b""}, self.words
+        if len(self.parts) > self.cache_parts:
             self.parts, self.older = {}, self.parts
-        cut = {w: self.split(w) for w in words}
+        before = self.older_words
+        got = {w: before[w] for w in words if w in before}
+        cut = {w: self.split(w) for w in words if w not in got}
         new = {p: ids for c in cut.values() for p in c if p and (ids := self.part(p)) is None}
         if new:
             for p, e in zip(new, self.model.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
                 new[p] = array("I", e.ids).tobytes()
             self.parts |= new
         known = self.parts
-        got = {w: known[stem] + known[end] if end else known[stem] for w, (stem, end) in cut.items()}
+        got |= {w: known[stem] + known[end] if end else known[stem] for w, (stem, end) in cut.items()}
         self.words |= got
         return got
 
@@ -111,9 +115,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, cache_words: int, cache_parts: int) -> WordTokenizer:
     """A worker's own; it keeps what it learned from task to task."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, cache_words, cache_parts)
 
 
 def default_tokenizer() -> str:
@@ -122,14 +126,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS) -> DataFrame:
     """Pieces of each document's ids and one ``end_id``, in order; ``nth`` counts equal lengths within a partition."""
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, seen, part = shared_tokenizer(tokenizer), {}, TaskContext.get().partitionId()
+        encode, seen, part = shared_tokenizer(tokenizer, cache_words, cache_parts), {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in PIECES]
@@ -232,10 +236,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).drop("o", "rank", "a", "b", "bin", "per", "at", "part", "nth")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset: a row per piece.
 
     A null or empty text is its end id alone. Repeated rows are packed once each.
     Further columns are ignored; no rows give no rows.
     """
-    return pack(materialise(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids)), capacity)
+    return pack(materialise(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids, cache_words=cache_words, cache_parts=cache_parts)), capacity)

@@ -28,7 +28,7 @@ from .common import join_checked, materialise
 
 CAPACITY = 4096
 #: Words, and parts of words, kept per worker in each of two generations with their ids, at about 200 bytes each; what is let go costs time only.
-CACHE_WORDS, CACHE_PARTS = 150_000, 450_000
+CACHE_WORDS, CACHE_PARTS = 100_000, 200_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialise
+from .common import join_checked, join_skewed, materialise, text_or_empty
 
 RATIO = 0.1
 MIN_PAGES = 3
+#: A source of documents is larger and less uniform than a site: what repeats counts from this share on, and lines of more words than LONG_WORDS at any share.
+DOC_RATIO, LONG_WORDS = 0.001, 50
 #: Fixed patterns: what HTML hides, what ends a line, all other tags.
 HIDDEN, BREAK, TAG = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|nav|article|section|header|footer|table|tr|title|body|head|html)|br)(?:\s[^>]*)?/?>", r"<[^>]*>"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
@@ -50,18 +52,11 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
     return materialise(often.groupBy("_host").agg(F.collect_list("_key").alias("_drop")))
 
 
-def drop_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
-    """Adds _lines and _left (arrays of lines) and _host to ``pages``.
-
-    A null page has null lines. With ``keep_whole``, a page of boilerplate alone
-    keeps it all: it is a copy of other pages, which is not for this operator to judge.
-    """
+def drop_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Adds _lines and _left (arrays of lines) and _host to ``pages``. A null page has null lines."""
     drop = boilerplate(pages, host, lines, ratio, min_pages)
     joined = join_checked(pages.withColumn("_host", host).withColumn("_lines", lines), drop, ["_host"], "left")
     left = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", _key(x))))
-    if keep_whole:
-        said = F.exists(left, lambda x: F.trim(x) != "")
-        left = F.when(said, left).otherwise(F.col("_lines"))
     return joined.withColumn("_left", left).drop("_drop")
 
 
@@ -78,15 +73,43 @@ def dedup_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return out.select("page_id", F.col("_host").alias("host"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_left")).cast("long").alias("n_dropped"), F.array_join("_left", "\n").alias("text"))
 
 
-def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with texts without their source's boilerplate lines and n_chars to match; the source stands for the host.
+def _repeated(pages: DataFrame, ratio: float, min_pages: int, small_ratio: float, long_words: int) -> DataFrame:
+    """(_a, _b, _drop, _rows): the keys of the lines to drop from each text, by the text's key, and how many rows have the text.
 
-    No row is dropped, and a document of boilerplate alone stays whole. A null text stays null.
+    ``pages`` has _host, _a and _b (the key of host and text) and _lines. Equal texts
+    count as one document of a line: they are for a later stage to judge.
+    """
+    said = F.filter("_lines", lambda x: F.trim(x) != "")
+    long = lambda x: F.size(F.split(F.trim(x), r"\s+")) > long_words
+    totals = materialise(pages.groupBy("_host").agg(F.count("*").alias("_pages")))
+    texts = pages.groupBy("_host", "_a", "_b").agg(F.count("*").alias("_rows"), F.first(F.array_distinct(F.transform(said, lambda x: F.struct(_key(x).alias("k"), long(x).alias("long"))))).alias("_keys"))
+    keyed = materialise(texts.select("_host", "_a", "_b", "_rows", F.explode("_keys").alias("_l")).select("_host", "_a", "_b", "_rows", F.col("_l.k").alias("_key"), F.col("_l.long").alias("_long")))
+    counts = keyed.groupBy("_host", "_key", "_long").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_in"), F.min(F.struct("_a", "_b")).alias("_keeper")).where((F.col("_in") >= min_pages) & (F.col("_n") > 1))
+    share = F.col("_in") / F.col("_pages")
+    often = join_checked(counts, totals, ["_host"], "inner").where(F.col("_long") | (share > min(small_ratio, ratio)))
+    often = materialise(often.select("_host", "_key", F.when(share <= ratio, F.col("_keeper")).alias("_keeper")))
+    found = join_checked(keyed.drop("_long"), often, ["_host", "_key"], "inner").where(F.col("_keeper").isNull() | (F.col("_keeper") != F.struct("_a", "_b")))
+    return materialise(found.groupBy("_a", "_b").agg(F.collect_list("_key").alias("_drop"), F.max("_rows").alias("_rows")))
+
+
+def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, small_ratio: float = DOC_RATIO, long_words: int = LONG_WORDS) -> DataFrame:
+    """``docs`` with texts without their source's repeated lines and n_chars to match; the source stands for the host.
+
+    Of lines in ``min_pages`` documents of a source, of two texts at least, those in more
+    than ``ratio`` of its documents are boilerplate and go from all. Those in more than
+    ``small_ratio``, and lines of more than ``long_words`` words at any share, go from
+    all but one text (of the least hash), so that no passage is lost. No row is
+    dropped, and a document that would lose all its lines stays whole. A null text
+    stays null.
     """
     inside = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = drop_lines(inside, F.coalesce(F.concat(F.lit("S"), at["source"]), F.lit("n")), text_lines(F.col(at["text"])), ratio, min_pages, keep_whole=True)
+    host, said = F.coalesce(F.concat(F.lit("S"), at["source"]), F.lit("n")), text_or_empty(at["text"])
+    pages = inside.withColumns({"_host": host, "_a": F.xxhash64(host, said), "_b": F.xxhash64(F.lit(1), host, said)})
+    drop = _repeated(pages.select("_host", "_a", "_b", text_lines(said).alias("_lines")), ratio, min_pages, small_ratio, long_words)
+    joined = join_skewed(pages, drop, ["_a", "_b"], "_rows", docs.count(), F.monotonically_increasing_id())
+    out = joined.withColumn("_lines", text_lines(F.col(at["text"]))).withColumn("_left", F.filter("_lines", lambda x: ~F.array_contains("_drop", _key(x))))
     text = F.array_join("_left", "\n")
-    changed = F.size("_left") < F.size("_lines")
+    changed = F.col("_drop").isNotNull() & F.exists("_left", lambda x: F.trim(x) != "") & (F.size("_left") < F.size("_lines"))
     new = {"text": F.when(changed, text).otherwise(F.col(at["text"])), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col(at["n_chars"])) if "n_chars" in at else None}
     return out.select(*(new.get(c, F.col(at[c])).alias(c) for c in docs.columns))

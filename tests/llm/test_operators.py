@@ -335,6 +335,17 @@ def test_line_dedup_of_documents_keeps_whole_copies(spark):
     assert len(out) == len(rows)
 
 
+def test_line_dedup_of_documents_removes_passages_of_a_large_source(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    text = lambda i: "\n".join([f"own {i}", *[passage] * (i in (5, 900, 1700)), *["notice"] * (i % 400 == 0), *["seldom"] * (i < 2), *["footer"] * (i % 5 == 0), f"end {i}"])
+    rows = [(i, text(i), "s") for i in range(2000)] + [(3000 + i, f"copy\n{passage} more\nlast", "t") for i in range(4)]
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    holds = lambda line: sum(line in x for x in out.values())
+    assert holds(passage) == 1 and holds("notice") == 1 and holds("seldom") == 2 and holds("footer") == 0
+    assert all(f"own {i}" in out[i] and f"end {i}" in out[i] for i in range(2000))
+    assert all(len(out[3000 + i]) == 3 for i in range(4))
+
+
 def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
     import numpy as np
 

@@ -1,12 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Symbols are classes of UTF-8 bytes (letters without case, capitals, digits, kinds of
-punctuation, bytes beyond ASCII), so the model sees how text is written rather than
-which words it has, and its count table has ALPHABET ** ORDER cells at most at any
-size of corpus. n-gram counts of all trusted documents are summed in shards by
-n-gram; the table of conditional costs made of them is joined to every document's
-n-grams by position. A document's perplexity is held against a quantile of its
-language's trusted documents.
+The model is of characters as they are (see char_model): its table has every n-gram
+of the trusted documents and grows with them. It is made in shards by n-gram, and
+each shard is joined to every document's n-grams and summed per document. A
+document's perplexity is held against a quantile of its language's trusted documents.
+
+The model of byte classes below (_positions, costs) is a plain array version of the
+same formula, which tests hold against a brute-force one; the classifier does not use it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ngrams
-from .common import join_checked, materialise, text_or_empty
+from . import char_model, ngrams
+from .common import join_checked, materialise
 
 ORDER, ALPHABET = 4, 40
 CELLS = ALPHABET**ORDER
@@ -62,23 +62,6 @@ def _positions(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return gram
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(fold, gram, n): n-grams of (text, fold 0 or 1), counted per task and summed in shards by n-gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FOLDS * CELLS, np.int64)
-        for batch in batches:
-            fold = batch.column(1).to_numpy()
-            for data, ends, row, rows in ngrams.chunks(batch.column(0)):
-                of = np.repeat(fold[row : row + rows], np.diff(ends, prepend=0))
-                total += np.bincount(_positions(data, ends) + of * CELLS, minlength=FOLDS * CELLS)
-        seen = np.flatnonzero(total)
-        ngrams.trim()
-        yield pa.RecordBatch.from_arrays([pa.array((seen // CELLS).astype(np.int32)), pa.array((seen % CELLS).astype(np.int32)), pa.array(total[seen])], ["fold", "gram", "n"])
-
-    return texts.select(text_or_empty().alias("text"), "fold").mapInArrow(run, "fold int, gram int, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
-
-
 def costs(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """-log2 of each symbol given the ORDER - 1 before it, for all cells: interpolated modified Kneser-Ney.
 
@@ -107,29 +90,32 @@ def costs(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return -np.log2(p)
 
 
-def score(docs: DataFrame, tables: np.ndarray, means: list[float], which: str | None = None) -> DataFrame:
-    """``docs`` with _bits: the mean cost of a symbol, drawn to the trusted mean by PRIOR_SYMBOLS.
+def score(docs: DataFrame, models: list[list], base: list[float], which: str | None = None) -> DataFrame:
+    """``docs`` with _cost and _symbols: the bits of a text and its characters.
 
-    ``which`` names a column with the number of the table; else there is one. An
-    empty or null text has the trusted mean.
+    A model is a list of broadcast shards, one of which is in memory at a time.
+    ``which`` names a column with the number of the model; else there is one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tables.astype(np.float32).reshape(-1))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bits", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_cost", T.DoubleType()), T.StructField("_symbols", T.LongType())])
     at, by = docs.columns.index("text"), docs.columns.index(which) if which else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros(batch.num_rows)
+            cost, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             use = np.zeros(batch.num_rows, np.int64) if by is None else batch.column(by).to_numpy()
-            mean = np.asarray(means)[use]
             text = batch.column(at).fill_null("")
-            for data, ends, row, rows in ngrams.chunks(text):
-                own = slice(row, row + rows)
-                of = np.repeat(use[own], np.diff(ends, prepend=0))
-                cost = np.concatenate([[0.0], np.cumsum(shared.value[_positions(data, ends) + of * CELLS], dtype=np.float64)])
-                begins = np.concatenate([[0], ends[:-1]])
-                bits[own] = (cost[ends] - cost[begins] + PRIOR_SYMBOLS * mean[own]) / (ends - begins + PRIOR_SYMBOLS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, "_bits"])
+            for m, parts in enumerate(models):
+                rows = np.flatnonzero(use == m)
+                if not len(rows):
+                    continue
+                own = text if len(rows) == len(text) else text.take(pa.array(rows))
+                for shard in parts:
+                    bits, n[rows] = char_model.bits_of(own, shard.value)
+                    cost[rows] += bits
+                    if len(parts) > 1:
+                        del shard._value  # read again from the executor's disk when its turn comes
+                cost[rows] += n[rows] * base[m]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost), pa.array(n)], [*batch.schema.names, "_cost", "_symbols"])
         ngrams.trim()
 
     return docs.mapInArrow(run, schema)
@@ -139,12 +125,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return materialise(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct())
 
 
-def _model(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """(costs, mean cost of a counted symbol)."""
-    table = costs(grams, counts)
-    return table, float((table[grams] * counts).sum() / max(1, counts.sum()))
-
-
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``docs`` with _bits and _limit; a document is rejected if its _bits exceed its _limit.
 
@@ -156,20 +136,23 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     trusted = trusted_ids(labels)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
     known = join_checked(docs.select("doc_id", "lang", "text"), trusted.withColumnRenamed("_trusted", "doc_id"), ["doc_id"], "left_semi").withColumn("fold", half)
-    rows = count_ngrams(known).toArrow()
-    fold, grams, n = (rows.column(c).to_numpy() for c in ("fold", "gram", "n"))
-    if not len(grams):
+    counts = materialise(char_model.count_ngrams(known))
+    if counts.isEmpty():
         return docs.withColumns({"_bits": F.lit(0.0), "_limit": F.lit(math.inf)})
-    every = np.bincount(grams, n, CELLS)
-    seen = np.flatnonzero(every)
-    table, mean = _model(seen, every[seen])
-    others = [_model(grams[fold != f], n[fold != f]) if (fold != f).any() else (table, mean) for f in range(FOLDS)]
-    known = known.select("lang", "text", "fold")
-    marked = materialise(score(known, np.stack([t for t, _ in others]), [m for _, m in others], "fold").select(F.coalesce(F.concat(F.lit("L"), "lang"), F.lit("n")).alias("_lang"), "_bits"))
+    every = counts.drop("fold").groupBy(*(c for c in counts.columns if c not in ("fold", "n"))).agg(F.sum("n").alias("n"))
+    table, base = char_model.build(materialise(counts.withColumn("model", 1 - F.col("fold")).drop("fold").unionByName(every.withColumn("model", F.lit(FOLDS)))))
+    shards = {m: char_model.shards(table, m) for m in base}
+    own = [m if m in base else FOLDS for m in range(FOLDS)]
+    known = score(known.select("lang", "text", "fold"), [shards[m] for m in own], [base[m] for m in own], "fold")
+    lang = F.coalesce(F.concat(F.lit("L"), "lang"), F.lit("n"))
+    marked = materialise(known.select(lang.alias("_lang"), "_cost", "_symbols"))
+    mean = marked.agg(F.sum("_cost") / F.sum("_symbols")).first()[0]
+    smoothed = (F.col("_cost") + PRIOR_SYMBOLS * mean) / (F.col("_symbols") + PRIOR_SYMBOLS)
+    marked = marked.withColumn("_bits", smoothed)
     cut = F.percentile_approx("_bits", quantile, 10_000) + margin
     limit = marked.agg(cut.alias("c")).first()["c"]
     limits = materialise(marked.groupBy("_lang").agg(F.count("*").alias("_n"), cut.alias("_limit")).where(F.col("_n") >= MIN_TRUSTED).drop("_n"))
-    scored = score(docs, table, [mean]).withColumn("_lang", F.coalesce(F.concat(F.lit("L"), "lang"), F.lit("n")))
+    scored = score(docs, [shards[FOLDS]], [base[FOLDS]]).withColumns({"_bits": smoothed, "_lang": lang}).drop("_cost", "_symbols")
     return join_checked(scored, limits, ["_lang"], "left").withColumn("_limit", F.coalesce("_limit", F.lit(limit))).drop("_lang")
 
 

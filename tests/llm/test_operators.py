@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, exact_dedup, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding
+from lattica.llm import char_model, chat, exact_dedup, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, h string, rid string, name string, _bits string, cnt string"
 
@@ -381,6 +382,49 @@ def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
         assert abs(p[code] - prob(g, 0)) < 1e-9
 
 
+def test_character_model_in_shards_matches_a_plain_version(spark, monkeypatch):
+    import pyarrow as pa
+
+    said, order = ["the cat sat. The hat", "кот спит, кот", "a different Line", ""], char_model.ORDER
+    counts = char_model.count_ngrams(spark.createDataFrame([(t, 0) for t in said], "text string, fold int"))
+    plain = [Counter(tuple(x[i : i + order]) for t in said for x in [[0] * (order - 1) + list(map(ord, t))] for i in range(len(t)))]
+    assert {tuple(r)[1:-1]: r["n"] for r in counts.collect()} == plain[0]
+    for _ in range(order - 1):
+        plain.append(Counter(g[1:] for g in plain[-1]))
+
+    def prob(gram, level=0):
+        if level == order:
+            return 1 / char_model.ALPHABET
+        of, lower = Counter(plain[level].values()), prob(gram[1:], level + 1)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        d = [0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.1), i) if of[i] else 0.5 for i in (1, 2, 3)]
+        same = [v for g, v in plain[level].items() if g[:-1] == gram[:-1]]
+        own = plain[level].get(gram, 0)
+        return (max(own - d[min(own, 3)], 0) + sum(min(d[min(v, 3)], v) for v in same) * lower) / sum(same) if same else lower
+
+    table, base = char_model.build(counts.drop("fold").selectExpr("2 AS model", "*"))
+    monkeypatch.setattr(char_model, "SHARD", 60)
+    parts = char_model.shards(table, 2)
+    assert len(parts) > 2
+    asked = ["the cat", "кот", "THE!", "x", "", "спит. Line"]
+    got = sum(char_model.bits_of(pa.array(asked), p.value)[0] for p in parts)
+    for t, bits in zip(asked, got, strict=True):
+        x = [0] * (order - 1) + list(map(ord, t))
+        assert abs(bits + len(t) * base[2] + sum(math.log2(prob(tuple(x[i : i + order]))) for i in range(len(t)))) < 1e-3
+
+
+def test_classifier_tells_gibberish_from_prose_beyond_ascii(spark):
+    rng = random.Random(3)
+    words = "мама мыла раму кошка сидит на окне вечером дождь идет над старым городом".split()
+    prose = lambda: " ".join(rng.choice(words) for _ in range(60))
+    junk = lambda: " ".join("".join(rng.choice("бвгджзклмнпрстфхцчшщ") for _ in range(rng.randint(2, 7))) for _ in range(60))
+    rows = [(i, prose(), "ru") for i in range(120)] + [(200 + i, junk(), "ru") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.classify(docs, labels).where("keep").collect()}
+    assert kept >= set(range(100)) and not kept & set(range(200, 220))
+
+
 def test_classifier_on_held_out_labels(spark):
     path = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")

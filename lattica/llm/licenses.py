@@ -86,9 +86,13 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 def windows(places: dict[str, list[int]], template: list[str], coverage: float, length: int) -> list[tuple[int, int]]:
-    """Where a match of ``coverage`` can be, merged where they overlap; none if there can be none.
+    """Where a match of ``coverage`` can be; none if there can be none.
 
-    A window reaches twice the template's length to either side, room for inserted words.
+    A window reaches twice the template's length to either side, room for inserted
+    words. Copies side by side leave no word unique in it, so each place of a word is
+    also tried alone: as far as the word's next places, where it is unique, in a
+    window of half the reach, and just where a copy without insertions would be.
+    Windows merged where they overlap come on top.
     """
     n, need = len(template), Counter(template)
     if sum(min(k, len(places.get(w, ()))) for w, k in need.items()) < coverage * n:
@@ -107,7 +111,17 @@ def windows(places: dict[str, list[int]], template: list[str], coverage: float,
             spans[-1] = (spans[-1][0], b)
         else:
             spans.append((a, b))
-    return spans
+    alone = set(spans)
+    for w in chosen:
+        at, k = places.get(w, []), need[w]
+        offsets = [m for m, x in enumerate(template) if x == w]
+        for i, p in enumerate(at):
+            a, b = max(0, p - 2 * n), min(length, p + 2 * n + 1)
+            alone.add((a, b))
+            alone.add((max(a, at[i - k] + 1) if i >= k else a, min(b, at[i + k]) if i + k < len(at) else b))
+            alone.add((max(0, p - n), min(length, p + n + 1)))
+            alone.update((max(0, p - m), min(length, p - m + n)) for m in offsets)
+    return sorted(alone)
 
 
 def scan(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:

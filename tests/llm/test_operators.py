@@ -317,6 +317,18 @@ def test_patience_alignment_is_increasing_and_windows_lose_nothing():
     assert kept == sorted(set(kept))
 
 
+def test_repeated_notices_are_found_at_any_distance():
+    mit = licenses.words(licenses.NOTICES["MIT"])
+    found = licenses.scan("see Released under the MIT License here and Released under the MIT License there", {"MIT": mit})
+    assert found == [("MIT", 1.0, 1, 5, 5)]
+    for name, notice in licenses.NOTICES.items():
+        template = licenses.words(notice)
+        for gap in range(0, 7 * len(template), max(1, len(template) // 4)):
+            for copies in (2, 3):
+                text = ["head", *(x for i in range(copies) for x in [*template, *(f"x{i}y{j}" for j in range(gap))]), "tail"]
+                assert licenses.scan(" ".join(text), {name: template}) == [(name, 1.0, 1, len(template), len(template))], (name, gap, copies)
+
+
 def test_line_dedup_by_site(spark):
     page = lambda body, foot: f"<html><head><style>p{{}}</style></head><body><nav><li>Home</li></nav><p>{body}</p><div class='f'>{foot}</div><!-- {body} --></body></html>"
     rows = [(i, f"https://A.example.com/{i}", page(f"unique {i}", "All rights" if i % 2 else f"foot {i}")) for i in range(10)]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import materialise, text_or_empty
+from .common import limit_batches, materialise, text_or_empty
 
 ORDER = 5
 #: Code points: what a character never seen is shared among.
@@ -87,6 +87,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         parts = []
         ngrams.trim()
 
+    limit_batches(texts.sparkSession)
     packed = texts.select(text_or_empty().alias("text"), "fold").mapInArrow(run, "fold int, hi long, lo long, n long").groupBy("fold", "hi", "lo").agg(F.sum("n").alias("n"))
     low = lambda c, shift: F.shiftright(c, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
     return packed.select("fold", *(low(c, s).alias(x) for x, (c, s) in zip(_X, (("hi", 21), ("hi", 0), ("lo", 42), ("lo", 21), ("lo", 0)), strict=True)), "n")

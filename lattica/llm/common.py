@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1000
 #: Up to so many rows a narrow side is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
+#: A batch of texts on its way to a Python worker; a longer text is a batch of its own.
+BATCH_BYTES = "4m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
+    """Batches of texts for Python workers end at ``size`` bytes too, and not only at a number of rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import limit_batches
+
 COVERAGE = 0.8
 #: The notices scanned for, by SPDX identifier.
 NOTICES = {
@@ -162,4 +164,5 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, covera
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in FOUND.split(", ")])
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import join_checked, join_skewed, materialise, text_or_empty
+from .common import join_checked, join_skewed, limit_batches, materialise, text_or_empty
 
 PERCENT = 80
 #: Entries of a column block, and of a batch of rows within a task.
@@ -131,6 +131,7 @@ def incidence(docs: DataFrame, blocks: int) -> DataFrame:
         ids, held = [], []
         ngrams.trim()
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, INCIDENCE)
 
 

@@ -12,6 +12,7 @@ are joined back to the pieces.
 from __future__ import annotations
 
 import contextlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams
-from .common import join_checked, materialise
+from .common import join_checked, limit_batches, materialise
 
 CAPACITY = 4096
 #: Words, and parts of words, kept per worker in each of two generations with their ids, at about 200 bytes each; what is let go costs time only.
@@ -43,8 +44,9 @@ class WordTokenizer:
     its words' ids in turn; words are looked up and only unknown ones are encoded. It
     also never joins a letter or digit with the ASCII punctuation after it and
     ignores case, so an unknown word is put together from its stem's and its ending's
-    ids. Words are cut at ASCII white space; other white space stays inside a word
-    and is left to the tokenizer.
+    ids. A word that holds one of the tokenizer's added tokens, which are matched
+    anywhere and as written, is encoded whole. Words are cut at ASCII white space; other
+    white space stays inside a word and is left to the tokenizer.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS):
@@ -54,7 +56,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.cache_words, self.cache_parts = cache_words, cache_parts
         self.words: dict[str, bytes] = {"": b""}
         self.older_words: dict[str, bytes] = {}
@@ -84,7 +87,7 @@ class WordTokenizer:
             self.parts, self.older = {}, self.parts
         before = self.older_words
         got = {w: before[w] for w in words if w in before}
-        cut = {w: self.split(w) for w in words if w not in got}
+        cut = {w: (w, "") if self.added.search(w) else self.split(w) for w in words if w not in got}
         new = {p: ids for c in cut.values() for p in c if p and (ids := self.part(p)) is None}
         if new:
             for p, e in zip(new, self.model.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
@@ -114,7 +117,7 @@ class WordTokenizer:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def shared_tokenizer(path: str, cache_words: int, cache_parts: int) -> WordTokenizer:
     """A worker's own; it keeps what it learned from task to task."""
     return WordTokenizer(path, cache_words, cache_parts)
@@ -126,14 +129,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS) -> DataFrame:
-    """Pieces of each document's ids and one ``end_id``, in order; ``nth`` counts equal lengths within a partition."""
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS, keep_words: bool = False) -> DataFrame:
+    """Pieces of each document's ids and one ``end_id``, in order; ``nth`` counts equal lengths within a partition.
+
+    With ``keep_words`` a worker keeps the words it learned for its next task; else it
+    gives their memory back with the tokenizer's when a task ends.
+    """
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, seen, part = shared_tokenizer(tokenizer, cache_words, cache_parts), {}, TaskContext.get().partitionId()
+        encode = (shared_tokenizer if keep_words else WordTokenizer)(tokenizer, cache_words, cache_parts)
+        seen, part = {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in PIECES]
@@ -147,8 +155,10 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     for column, value in zip(out, (doc, i // (4 * capacity), i // 4, n, zlib.crc32(own), part, nth, own if keep_ids else None), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], [f.name for f in PIECES])
+        del encode
         ngrams.trim()
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
@@ -236,10 +246,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).drop("o", "rank", "a", "b", "bin", "per", "at", "part", "nth")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS, keep_words: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset: a row per piece.
 
-    A null or empty text is its end id alone. Repeated rows are packed once each.
-    Further columns are ignored; no rows give no rows.
+    A null or empty text is its end id alone. Repeated rows are packed once each. A
+    longer text is cut into full pieces and a last one; pieces of equal length, which
+    are alike to the packing, take the places of their length in the order of
+    partitions. Further columns are ignored; no rows give no rows.
     """
-    return pack(materialise(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids, cache_words=cache_words, cache_parts=cache_parts)), capacity)
+    return pack(materialise(token_pieces(docs, tokenizer, capacity, keep_ids=keep_ids, cache_words=cache_words, cache_parts=cache_parts, keep_words=keep_words)), capacity)

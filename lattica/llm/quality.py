@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import char_model, ngrams
-from .common import join_checked, materialise
+from .common import join_checked, limit_batches, materialise
 
 ORDER, ALPHABET = 4, 40
 CELLS = ALPHABET**ORDER
@@ -118,6 +118,7 @@ def score(docs: DataFrame, models: list[list], base: list[float], which: str | N
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost), pa.array(n)], [*batch.schema.names, "_cost", "_symbols"])
         ngrams.trim()
 
+    limit_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

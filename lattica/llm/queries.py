@@ -6,7 +6,7 @@ from . import chat, exact_dedup, licenses, line_dedup, mixing, mpegts, ngram_joi
 from .common import read_table as t
 
 QUERIES = {
-    "op1_minimum_bin_slack": lambda s, d: packing.pack_documents(t(s, d, "documents"), cache_words=500_000, cache_parts=600_000).drop("ids"),
+    "op1_minimum_bin_slack": lambda s, d: packing.pack_documents(t(s, d, "documents"), cache_words=500_000, cache_parts=600_000, keep_words=True).drop("ids"),
     "op2_block_naming": lambda s, d: exact_dedup.exact_dedup(t(s, d, "documents")),
     "op3_prefix_target": lambda s, d: chat.format_conversations(
         t(s, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(s.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string"))

@@ -32,15 +32,20 @@ def _own_dir() -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the one that all machines share; a local one, removed at exit, only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _own_dir()
     return f"{named.rstrip('/')}/lattica/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and
-    what was drawn once (row numbers, partition ids) stays as it was drawn."""
+    what was drawn once (row numbers, partition ids) stays as it was drawn. A folder
+    for each value of ``by``, if there is one."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,3 +81,19 @@ def join_skewed(left: DataFrame, right: DataFrame, on: list[str], count: str, to
     rest = right.where(F.col(count) * HEAVY_SHARE <= F.lit(total)).select(*(F.col(k).alias(f"_k_{k}") for k in on), *(F.col(c).alias(f"_r_{c}") for c in values))
     joined = first.select("*", *keys).join(rest, [f"_k_{k}" for k in on], "left")
     return joined.select(*left.columns, *(F.when(found, F.col(f"_h_{c}")).otherwise(F.col(f"_r_{c}")).alias(c) for c in values))
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _salts), materialised: keys with more than one row in HEAVY_SHARE of ``rows``, and into how many parts to deal them."""
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") * HEAVY_SHARE > F.lit(total))
+    return materialise(counts.select(key, F.ceil(F.col("_c") * HEAVY_SHARE / F.lit(max(1, total))).cast("int").alias("_salts")))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, spread: Column) -> DataFrame:
+    """Inner join with a table of one wide row per key; rows of ``heavy`` keys (HEAVY_SHARE at most) are dealt out by
+    ``spread`` to copies of their right row, HEAVY_SHARE copies and as many again at most."""
+    small = F.broadcast(heavy)
+    dealt = left.join(small, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))).drop("_salts")
+    copies = right.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")

@@ -7,8 +7,9 @@ entries that another row shares; whatever no other row has drops out. A row of n
 shingles links with none unless ceil(0.8 n) of its entries are shared, and its
 partners must meet it within its n - ceil(0.8 n) + 1 rarest columns: these
 size-derived bounds discard all other rows and columns of the product. What is left
-is multiplied, column by column, and overlap counts of the surviving pairs are
-accumulated over their shared entries.
+is multiplied in column ranges, one after another: overlap counts of the surviving
+pairs are accumulated, and after each range a pair goes whose count, with all that
+either row has left, cannot reach what its sizes ask for.
 
 Equal sets are one row (a class). Only components are wanted, so a column that
 many similar rows share is not multiplied out: rows are first compared with a pivot,
@@ -26,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import join_checked, join_skewed, limit_batches, materialise, text_or_empty
+from .common import heavy_keys, join_checked, join_salted, join_skewed, limit_batches, materialise, text_or_empty
 
 PERCENT = 80
 #: Entries of a column block, and of a batch of rows within a task.
 BLOCK_ENTRIES, BATCH_ENTRIES, BATCH_ROWS = 1_000_000, 500_000, 50_000
+#: Entries of a batch for each block at least, up to BATCH_MOST, so that rows of the shuffle stay worth their overhead.
+PER_BLOCK, BATCH_MOST = 500, 4_000_000
+#: Column ranges that overlaps are accumulated over.
+RANGES = 4
 #: A column of so many rows or fewer is multiplied out at once.
 SMALL = 32
 #: Rows are compared with a pivot, ROUNDS times at most, while the pairs still to be looked at are more than CROSS times the entries.
@@ -42,7 +47,7 @@ CROSS, ROUNDS = 200, 3
 
 INCIDENCE = "block long, flush long, one_hash binary, one_row binary, many_hash binary, many_count binary, rows binary"
 SHARED = "flush long, block long, one_hash binary, one_row binary, one_df binary, many_df binary, rows binary"
-ROWS = "doc_id long, rid long, n long, f1 long, f2 long, prefix array<long>, shared binary"
+ROWS = "doc_id long, key long, rid long, n long, f1 long, f2 long, prefix array<long>, shared binary"
 
 
 def at_least(n):
@@ -110,19 +115,25 @@ def _incidence(doc_ids: list, hashes: np.ndarray, rows: np.ndarray, flush: int,
     return _batch(INCIDENCE, out)
 
 
+def key_of_row() -> Column:
+    """With doc_id, tells rows of different texts apart."""
+    return F.xxhash64("doc_id", text_or_empty()).alias("key")
+
+
 def incidence(docs: DataFrame, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         flush, ids, held, entries = TaskContext.get().partitionId() << 20, [], [], 0
+        most = max(BATCH_ENTRIES, min(blocks * PER_BLOCK, BATCH_MOST))
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for data, ends, row, rows in ngrams.chunks(batch.column(1)):
                 hashes, number = ngrams.shingles(*ngrams.word_hashes(data, ends))
                 held.append((hashes, number + len(ids)))
                 ids += doc_ids[row : row + rows]
                 entries += len(hashes)
-                if entries >= BATCH_ENTRIES or len(ids) >= BATCH_ROWS:
+                if entries >= most or len(ids) >= BATCH_ROWS:
                     yield _incidence(ids, *map(np.concatenate, zip(*held, strict=True)), flush, blocks)
                     flush, ids, held, entries = flush + 1, [], [], 0
                     ngrams.trim()
@@ -132,7 +143,7 @@ def incidence(docs: DataFrame, blocks: int) -> DataFrame:
         ngrams.trim()
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, INCIDENCE)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), key_of_row()).mapInArrow(run, INCIDENCE)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -181,12 +192,12 @@ def _bounded(table: pa.Table) -> pa.Table:
     hashes, rows = hashes[order], rows[order]
     ends = np.searchsorted(rows, np.arange(len(n)), "right")
     flush, out = table.column("flush")[0].as_py(), []
-    for i, doc in enumerate(doc_ids):
+    for i, (doc, key) in enumerate(doc_ids):
         prefix = shares = None
         if live[i]:
             mine = hashes[ends[i - 1] if i else 0 : ends[i]]
             prefix, shares = mine[: slots[i]].astype(np.int64), np.sort(mine).tobytes()
-        out.append((doc, (flush << 20) + i, int(n[i]), int(own["prints"][0, i]), int(own["prints"][1, i]), prefix, shares))
+        out.append((doc, key, (flush << 20) + i, int(n[i]), int(own["prints"][0, i]), int(own["prints"][1, i]), prefix, shares))
     done = pa.Table.from_batches([_batch(ROWS, out)])
     del own, got, out
     ngrams.trim()
@@ -201,38 +212,81 @@ def bounded_rows(docs: DataFrame) -> DataFrame:
     return materialise(shared.groupBy("flush").applyInArrow(_bounded, ROWS))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough."""
+SLICES = "rep long, part int, rest long, entries binary"
+COUNTED = "a long, b long, need long, overlap long"
+
+
+def sliced(sets: DataFrame) -> DataFrame:
+    """SLICES, materialised: each row's shared entries by column range, and how many it has in later ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, RANGES + 1, dtype=np.uint64) * np.uint64((1 << 48) // RANGES)
+        edges[-1] = 1 << 48
+        for batch in batches:
+            out = []
+            for rep, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(held.as_py(), np.uint64)
+                ends = np.searchsorted(values, edges)
+                for part, (i, j) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+                    out.append((rep, part, len(values) - j, values[i:j].tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in SLICES.split(", ")])
+        ngrams.trim()
+
+    return materialise(sets.select("rep", "shared").mapInArrow(run, SLICES), "part")
+
+
+def _product(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (a, b, need) whose overlap reaches ``need``.
+
+    Overlaps are accumulated from column range to column range. What either row has
+    left bounds what is still to come, and a pair that cannot reach its need any more
+    is dropped. Rows in many pairs, pivots above all, are dealt out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = [], None, None
-            for a, n, m, one, two in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                if a != last:
-                    last, left = a, np.frombuffer(one.as_py(), np.uint64)
+            a, need, overlap, rest_a, rest_b = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 6))
+            counts, last, left = np.zeros(batch.num_rows, np.int64), None, None
+            for i, (one, two) in enumerate(zip(batch.column(5), batch.column(7), strict=True)):
+                if a[i] != last:
+                    last, left = a[i], np.frombuffer(one.as_py(), np.uint64)
                 right = np.frombuffer(two.as_py(), np.uint64)
-                where = np.searchsorted(left, right)
-                where[where == len(left)] = 0
-                both = int((left[where] == right).sum())
-                keep.append(100 * both >= PERCENT * (n + m - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+                if len(left) and len(right):
+                    where = np.searchsorted(left, right)
+                    where[where == len(left)] = 0
+                    counts[i] = (left[where] == right).sum()
+            overlap = overlap + counts
+            keep = pa.array(overlap + np.minimum(rest_a, rest_b) >= need)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*batch.columns[:3], pa.array(overlap))], [x.split()[0] for x in COUNTED.split(", ")])
         ngrams.trim()
 
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("set_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long")
+    pairs = materialise(pairs)
+    heavy = {k: heavy_keys(pairs, k) for k in ("a", "b")}
+    pairs = pairs.withColumn("overlap", F.lit(0).cast("long"))
+    for part in range(RANGES):
+        own = slices.where(F.col("part") == part)
+        both = join_salted(pairs, own.select(F.col("rep").alias("a"), F.col("rest").alias("rest_a"), F.col("entries").alias("set_a")), "a", heavy["a"], F.col("b"))
+        both = join_salted(both, own.select(F.col("rep").alias("b"), F.col("rest").alias("rest_b"), F.col("entries").alias("set_b")), "b", heavy["b"], F.col("a"))
+        pairs = both.select("a", "b", "need", "overlap", "rest_a", "set_a", "rest_b", "set_b").mapInArrow(run, COUNTED)
+        if part < RANGES - 1:
+            pairs = materialise(pairs)
+    return pairs.select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): of each linked node the least node it reaches, by alternating large and small stars."""
+    """(node, label): of each linked node the least node it reaches, by alternating large and small stars.
+
+    The centre of a large star has many rows; counts by node tell, and its row is broadcast.
+    """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
+        near = join_skewed(both, least, ["u"], "c", 2 * edges.count(), F.col("v"))
+        large = materialise(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        first = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
+        small = join_skewed(large, first, ["u"], "c", large.count(), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = materialise(small.unionByName(first.select("u", F.col("m").alias("v"))).distinct())
         # Stars: no node has two labels, and no label has one.
         loose = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi"))
@@ -241,7 +295,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of rows that meet in a column and can overlap enough.
+    """Distinct pairs of rows that meet in a column and can overlap enough, with the overlap they need.
 
     In a pair's first common column, at position pos of a row's n entries in column
     order, n - pos entries at most are still to meet; a pair that this bound drops in
@@ -249,7 +303,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     """
     overlap = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     fits = overlap * (100 + PERCENT) >= (F.col("n") + F.col("n2")) * PERCENT
-    return pairs.where(fits).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    need = F.ceil((F.col("n") + F.col("n2")) * PERCENT / (100 + PERCENT)).cast("long")
+    return pairs.where(fits).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), need.alias("need")).distinct()
 
 
 def link_components(sets: DataFrame) -> DataFrame:
@@ -270,7 +325,8 @@ def link_components(sets: DataFrame) -> DataFrame:
     pivots = large.groupBy("h").agg(pivot(F.col("pos") / F.col("n"))).select("h", "p.rep2", "p.n2", "p.pos2")
     columns = ["rep", "n", "pos", "rep2", "n2", "pos2"]
     starred = large.join(pivots, "h").where("rep != rep2")
-    links = materialise(_verified(_ordered(small.select(columns).unionByName(starred.select(columns))), sets))
+    slices = sliced(sets)
+    links = materialise(_product(_ordered(small.select(columns).unionByName(starred.select(columns))), slices))
     merged = materialise(components(links))
     for i in range(1, ROUNDS + 1):
         if not total:
@@ -289,21 +345,15 @@ def link_components(sets: DataFrame) -> DataFrame:
         else:
             chosen = inside.where("label = most").groupBy("h").agg(pivot(F.xxhash64(F.lit(i), "rep"))).select("h", "p.rep2", "p.n2", "p.pos2")
             tried = rest.join(chosen, "h")
-        found = materialise(_verified(_ordered(tried.select(columns)), sets))
+        found = materialise(_product(_ordered(tried.select(columns)), slices))
         merged = materialise(components(merged.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)))
         if last:
             break
     return merged
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row per document.
-
-    A document of fewer words than a shingle is one shingle of them all. Null, empty
-    and blank texts have no shingle and are components of their own. Repeated rows and
-    equal sets are in one component. component_id is the smallest doc_id that is not
-    null. Further columns are ignored; no rows give no rows.
-    """
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, component_id: a row per document; ``key`` goes by doc_id and text."""
     rows = bounded_rows(docs)
     keys = ["n", "f1", "f2"]
     classes = materialise(rows.where("n > 0").groupBy(*keys).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("cnt")))
@@ -313,20 +363,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     found = named.join(least, "label").select(F.col("node").alias("rep"), "component")
     classes = materialise(classes.join(found, "rep", "left").select(*keys, F.coalesce("component", "first").alias("component"), "cnt"))
-    narrow = rows.select("doc_id", "rid", *keys)
+    narrow = rows.select("doc_id", "key", "rid", *keys)
     out = join_skewed(narrow, classes, keys, "cnt", rows.count(), F.col("rid"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row per document.
+
+    A document of fewer words than a shingle is one shingle of them all. Null, empty
+    and blank texts have no shingle and are components of their own. Repeated rows and
+    equal sets are in one component. component_id is the smallest doc_id that is not
+    null. A long text is taken whole. Further columns are ignored; no rows give no rows.
+    """
+    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id.
 
     Documents without shingles and rows without doc_id stay. Of rows that repeat
-    doc_id and text, one stays.
+    doc_id and text, one stays; of rows that share a doc_id with different texts in a
+    component, one stays, and their texts in other components are judged there.
     """
-    found = materialise(jaccard_components(docs))
-    others = materialise(found.where("doc_id != component_id").select("doc_id").distinct())
+    found = materialise(labelled(docs))
+    own = found.where("n > 0 and doc_id is not null")
+    stays = materialise(own.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("stay"), F.count("*").alias("c")))
+    judged = join_skewed(own, stays, ["component_id"], "c", found.count(), F.struct("doc_id", "key"))
+    others = materialise(judged.where("struct(doc_id, key) != stay").select("doc_id", "key").distinct())
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
     if not repeated.isEmpty():
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
-    return join_checked(docs, others, ["doc_id"], "left_anti").select(*docs.columns)
+    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), "doc_id", key_of_row())
+    kept = join_checked(keyed, others, ["doc_id", "key"], "left_anti")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import char_model, chat, exact_dedup, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding
+from lattica.llm.common import heavy_keys, join_salted, materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, h string, rid string, name string, _bits string, cnt string"
 
@@ -299,6 +300,21 @@ def test_one_of_each_keeps_the_smallest(spark, docs):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(want)
 
 
+def test_one_of_each_judges_texts_that_share_a_doc_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c)], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(1, a), (2, b), (3, c)]
+
+
+def test_rows_of_heavy_keys_find_their_partner(spark):
+    left = materialise(spark.createDataFrame([(1, i) for i in range(3000)] + [(i, 1) for i in range(1, 40)], "a long, b long"))
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(30)], "a long, said string")
+    heavy = heavy_keys(left, "a")
+    assert [r["a"] for r in heavy.collect()] == [1]
+    out = join_salted(left, right, "a", heavy, F.col("b")).collect()
+    assert Counter(map(tuple, out)) == Counter((a, b, f"r{a}") for a, b in map(tuple, left.collect()) if a < 30)
+
+
 def test_license_scan(spark):
     filler = "some words here that say nothing of interest at all . " * 30
     rows = [(1, f"{filler}\nReleased under the MIT License."), (2, "Released  under the\tMIT license.\nReleased under the MIT License.\n" + filler), (3, filler), (4, None), (5, ""),

@@ -5,9 +5,11 @@ increasing subsequence of their positions in the text is kept, and the gaps betw
 anchors are aligned in the same way. Coverage is the share of the template's words
 aligned. Ends that match word by word are aligned before anchors are sought.
 
-A long text is aligned in windows. A match of coverage c leaves out at most
-(1 - c) of the template's words, so of one more of its distinct words than that, it
-holds at least one: windows are laid around all places of the rarest ones.
+A text that has fewer of the template's words than the coverage asks for is not
+aligned. Any other is aligned as a whole, and again in spans, as copies take each
+other's anchors: a match of coverage c leaves out at most (1 - c) of the template's
+words, so of one more of its distinct words than that, it holds at least one. Spans
+are laid around all places of the rarest ones.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import limit_batches
 
 COVERAGE = 0.8
-#: The notices scanned for, by SPDX identifier.
+#: The notices and license texts scanned for, by SPDX identifier.
 NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -34,6 +36,16 @@ NOTICES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -88,13 +100,13 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 def windows(places: dict[str, list[int]], template: list[str], coverage: float, length: int) -> list[tuple[int, int]]:
-    """Where a match of ``coverage`` can be; none if there can be none.
+    """Spans to align; none if no alignment of any span can reach ``coverage``.
 
-    A window reaches twice the template's length to either side, room for inserted
-    words. Copies side by side leave no word unique in it, so each place of a word is
-    also tried alone: as far as the word's next places, where it is unique, in a
-    window of half the reach, and just where a copy without insertions would be.
-    Windows merged where they overlap come on top.
+    The whole text is one. Copies side by side leave no word unique in it, so each
+    place of a word is also tried alone: as far as the word's next places, however far,
+    where it is unique; in windows of once and twice the template's length to either
+    side; and just where a copy without insertions would be. Windows merged where they
+    overlap come on top.
     """
     n, need = len(template), Counter(template)
     if sum(min(k, len(places.get(w, ()))) for w, k in need.items()) < coverage * n:
@@ -113,14 +125,14 @@ def windows(places: dict[str, list[int]], template: list[str], coverage: float,
             spans[-1] = (spans[-1][0], b)
         else:
             spans.append((a, b))
-    alone = set(spans)
+    alone = {(0, length), *spans}
     for w in chosen:
         at, k = places.get(w, []), need[w]
         offsets = [m for m, x in enumerate(template) if x == w]
         for i, p in enumerate(at):
             a, b = max(0, p - 2 * n), min(length, p + 2 * n + 1)
             alone.add((a, b))
-            alone.add((max(a, at[i - k] + 1) if i >= k else a, min(b, at[i + k]) if i + k < len(at) else b))
+            alone.add((at[i - k] + 1 if i >= k else 0, at[i + k] if i + k < len(at) else length))
             alone.add((max(0, p - n), min(length, p + n + 1)))
             alone.update((max(0, p - m), min(length, p - m + n)) for m in offsets)
     return sorted(alone)
@@ -154,7 +166,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, covera
     """FOUND: a row per document and license aligned to at least ``coverage``.
 
     Null and empty texts have none; equal matches resolve to the tightest, then the
-    first. Repeated rows are reported each. Further columns are ignored.
+    first. A long text is aligned whole. Repeated rows are reported each. Further
+    columns are ignored; no rows give no rows.
     """
     templates = {k: words(v) for k, v in (notices or NOTICES).items()}
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import limit_batches
+
 FRAME = 576
 UNIT = 16 * FRAME
 GOP = 4
@@ -156,7 +158,10 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """MEDIA per document: its text's bytes, padded by 255 to a positive multiple of FRAME, as a transport stream read back.
 
     A null text is empty and so FRAME bytes of padding. ``media`` holds the stream if
-    ``keep_media`` is set. Repeated rows give repeated results; further columns are ignored.
+    ``keep_media`` is set; ``timestamps`` are those of its elementary packets in ticks,
+    ``random_access`` the numbers of the packets that can be started from. A long text
+    is one stream. Repeated rows give repeated results; further columns are ignored; no
+    rows give no rows.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +179,5 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 ))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(convert, MEDIA)

@@ -12,7 +12,7 @@ QUERIES = {
         t(s, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(s.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string"))
     ),
     "op4_patience_licenses": lambda s, d: licenses.scan_licenses(t(s, d, "documents")),
-    "op5_transport_stream": lambda s, d: mpegts.store_texts(t(s, d, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
+    "op5_transport_stream": lambda s, d: mpegts.store_texts(t(s, d, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"),
     "op6_hash_tree": lambda s, d: sharding.shard_documents(t(s, d, "documents"), 16),
     "op7_hash_thresholds": lambda s, d: mixing.mix(t(s, d, "documents")),
     "op8_kneser_ney": lambda s, d: quality.classify(t(s, d, "documents"), t(s, d, "labels")),

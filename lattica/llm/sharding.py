@@ -1,11 +1,13 @@
 """Sharding by a hierarchical weighted hash tree (native).
 
 Regions hold racks and racks hold shards, each with a weight; an inner node weighs
-what its shards weigh. A document descends from the root: at each level every child
-draws an exponential variate, -ln(u) / weight with u hashed from the document and
-the child's name, and the least draw wins. A child's draw depends on nothing but
-the document, its own name and weight, so a change of weight moves documents only
-between that child and its siblings, within the subtree that changed.
+what its shards weigh. A shard draws an exponential variate, -ln(u) / weight with u
+hashed from the document and the shard's name. A rack draws the least of its shards'
+draws and a region the least of its racks', which is exponential with the rate of
+what they weigh together; a document descends to the least draw at each level. A
+shard's draw depends on nothing but the document, its own name and weight, so a
+change of weight moves documents into or out of the subtree that changed, and
+between no others; one more shard takes rows only into itself, in any rack.
 """
 
 from __future__ import annotations
@@ -32,37 +34,28 @@ class Node:
         return sum(c.load for c in self.children) if self.children else self.weight
 
 
-def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 4, base: int = 16, weights: dict[int, float] | None = None) -> Node:
-    """The first ``base`` shards fill racks and regions; each later one opens a region of its own.
-
-    A region of its own takes its rows from all others and changes no weight in
-    them, so one more shard beyond ``base`` takes rows only into itself.
-    """
+def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 4, weights: dict[int, float] | None = None) -> Node:
+    """Shards fill racks and racks fill regions, in order."""
+    per = racks_per_region * shards_per_rack
     regions: dict[str, dict[str, list[Node]]] = {}
     for i in range(shards):
-        per = racks_per_region * shards_per_rack
-        region, rack = (f"region{i // per}", f"rack{i // shards_per_rack % racks_per_region}") if i < base else (f"added{i}", "rack0")
+        region, rack = f"region{i // per}", f"rack{i // shards_per_rack % racks_per_region}"
         regions.setdefault(region, {}).setdefault(rack, []).append(Node(f"{region}/{rack}/shard{i}", (weights or {}).get(i, 1.0), (), i))
     return Node("root", children=tuple(Node(r, children=tuple(Node(f"{r}/{k}", children=tuple(leaves)) for k, leaves in racks.items())) for r, racks in regions.items()))
 
 
 def _draw(key: Column, node: Node) -> Column:
+    """(d, shard): the node's draw, and the shard below it that made it."""
+    if node.children:
+        live = [c for c in node.children if c.load > 0]
+        return _draw(key, live[0]) if len(live) == 1 else F.array_min(F.array(*(_draw(key, c) for c in live)))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(node.load)
+    return F.struct((-F.log(u) / F.lit(node.load)).alias("d"), F.lit(node.shard).alias("shard"))
 
 
 def shard_of(key: Column, node: Node) -> Column:
-    """The shard that ``key`` descends to. All rows with a null key share one shard."""
-    if not node.children:
-        return F.lit(node.shard)
-    live = [(i, c) for i, c in enumerate(node.children) if c.load > 0]
-    if len(live) == 1:
-        return shard_of(key, live[0][1])
-    won = F.array_min(F.array(*(F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in live)))["i"]
-    out = None
-    for i, c in live:
-        out = F.when(won == i, shard_of(key, c)) if out is None else out.when(won == i, shard_of(key, c))
-    return out
+    """The shard that ``key`` descends to; equal draws go to the smaller number. All rows with a null key share one shard."""
+    return _draw(key, node)["shard"]
 
 
 def assign_slots(rows: DataFrame, shard: str = "shard", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -84,8 +77,9 @@ def assign_slots(rows: DataFrame, shard: str = "shard", rows_per_bucket: int = R
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: a row per document, law ``key``.
 
-    Size is the text's UTF-8 bytes plus 1; a null text has none. Repeated rows go to
-    one shard, in slots of their own. Further columns are ignored.
+    Size is the text's UTF-8 bytes plus 1, of the whole text; a null text has none.
+    Repeated rows, and all rows without a doc_id, go to one shard, in slots of their
+    own. Further columns are ignored; no rows give no rows.
     """
     binary = F.encode(text_or_empty(), "UTF-8")
     placed = docs.select(

@@ -31,8 +31,8 @@ FOLDS = 2
 LEAST_DISCOUNT = 0.1
 #: Share of a language's trusted documents that stay below its threshold, and a margin in bits above it.
 QUANTILE, MARGIN = 0.995, 0.05
-#: A document's cost is averaged with so many symbols of the trusted mean; a language needs so many trusted documents for a threshold of its own.
-PRIOR_SYMBOLS, MIN_TRUSTED = 40, 30
+#: A document's cost is averaged with so many symbols of the trusted mean; a language's threshold with that of all languages, as if so many of its trusted documents had it.
+PRIOR_SYMBOLS, PRIOR_DOCUMENTS = 40, 30
 
 
 def _classes() -> np.ndarray:
@@ -131,8 +131,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
 
     All trusted documents give counts. For the quantiles each is scored by a model of
     the other half of them, so that a small corpus is not taken at its own word. A
-    language with fewer than MIN_TRUSTED of them, and a null one, has the limit of
-    all. Without trusted documents nothing is rejected.
+    language's limit is its own quantile, drawn to that of all the less the more
+    trusted documents it has; a null language is one of its own. Nothing is rejected of
+    a language without trusted documents. Bits are rounded to 0.001, so that quantiles
+    are exact and the same however rows are dealt.
     """
     trusted = trusted_ids(labels)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
@@ -149,21 +151,27 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     marked = materialise(known.select(lang.alias("_lang"), "_cost", "_symbols"))
     mean = marked.agg(F.sum("_cost") / F.sum("_symbols")).first()[0]
     smoothed = (F.col("_cost") + PRIOR_SYMBOLS * mean) / (F.col("_symbols") + PRIOR_SYMBOLS)
-    marked = marked.withColumn("_bits", smoothed)
-    cut = F.percentile_approx("_bits", quantile, 10_000) + margin
-    limit = marked.agg(cut.alias("c")).first()["c"]
-    limits = materialise(marked.groupBy("_lang").agg(F.count("*").alias("_n"), cut.alias("_limit")).where(F.col("_n") >= MIN_TRUSTED).drop("_n"))
-    scored = score(docs, [shards[FOLDS]], [base[FOLDS]]).withColumns({"_bits": smoothed, "_lang": lang}).drop("_cost", "_symbols")
-    return join_checked(scored, limits, ["_lang"], "left").withColumn("_limit", F.coalesce("_limit", F.lit(limit))).drop("_lang")
+    counted = materialise(marked.groupBy("_lang", F.round(smoothed, 3).alias("_bits")).agg(F.count("*").alias("_n")))
+    cut = F.percentile("_bits", F.lit(quantile), F.col("_n")) + margin
+    limit = counted.agg(cut.alias("c")).first()["c"]
+    drawn = (F.col("_n") * F.col("_own") + F.lit(PRIOR_DOCUMENTS * limit)) / (F.col("_n") + PRIOR_DOCUMENTS)
+    limits = materialise(counted.groupBy("_lang").agg(cut.alias("_own"), F.sum("_n").alias("_n")).select("_lang", drawn.alias("_limit")))
+    scored = score(docs, [shards[FOLDS]], [base[FOLDS]]).withColumns({"_bits": F.round(smoothed, 3), "_lang": lang}).drop("_cost", "_symbols")
+    return join_checked(scored, limits, ["_lang"], "left").withColumn("_limit", F.coalesce("_limit", F.lit(math.inf))).drop("_lang")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, perplexity, threshold, keep: a row per document."""
+    """doc_id, perplexity, threshold, keep: a row per document.
+
+    A null or empty text has the trusted mean and is kept, a long one is scored whole.
+    Repeated rows are judged alike, each of them. Labels without doc_id, or of documents
+    that are not there, say nothing; further columns are ignored.
+    """
     out = judged(docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")), labels, quantile, margin)
     return out.select("doc_id", F.pow(F.lit(2.0), "_bits").alias("perplexity"), F.pow(F.lit(2.0), "_limit").alias("threshold"), (F.col("_bits") <= F.col("_limit")).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``docs`` without those that the classifier rejects, all columns as they were."""
+    """``docs`` without those that the classifier rejects (see classify), all columns as they were, whatever their names."""
     inside = docs.toDF(*(c if c in ("doc_id", "lang", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
     return judged(inside, labels, quantile, margin).where("_bits <= _limit").select(*inside.columns).toDF(*docs.columns)

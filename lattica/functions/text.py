@@ -44,6 +44,13 @@ def base_type(text: str) -> str:
     return text.strip()
 
 
+def base_type_of(c: Column) -> Column:
+    """The same of a column."""
+    plain = normalise_type(c)
+    bare = F.trim(F.regexp_replace(plain, r"\b(memory|storage|calldata|payable)\b", ""))
+    return F.when(plain.startswith("mapping"), plain).otherwise(F.trim(F.regexp_replace(bare, r"(\[[^\]]*\])+$", "")))
+
+
 def bigrams(word: Column) -> Column:
     low = F.lower(word)
     return F.when(F.length(low) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2))))

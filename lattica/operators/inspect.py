@@ -33,6 +33,11 @@ def tally(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("count"))
 
 
+def unresolved_categories(nodes: DataFrame) -> DataFrame:
+    """(category, count) of placeholder nodes, most first, then by name."""
+    return tally(nodes.where("kind = 'Unresolved'"), "category").orderBy(F.desc("count"), "category")
+
+
 def graph_stats(graph: Graph) -> DataFrame:
     """(measure, key, count): every counter of a graph in long form."""
     nodes, edges = graph.nodes, graph.edges

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_path, normalise_type
+from ..functions.text import base_type_of as base_type
+from ..functions.text import normalise_path
 from ..plans.storage import materialise
 from ..schema import DRAFT, conform
 from ..sources import ingest
@@ -31,12 +32,6 @@ _CALL = ("call_id", "fn", "file", "scope", "name", "arg_count", "site")
 _NO_PARAMS = "array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>"
 
 
-def base_type(c: Column) -> Column:
-    """A type without array brackets and data locations; a mapping stays whole."""
-    plain = normalise_type(c)
-    return F.when(plain.startswith("mapping"), plain).otherwise(F.trim(F.regexp_replace(F.regexp_replace(plain, r"\[[^\]]*\]", ""), r"\b(memory|storage|calldata|payable)\b", "")))
-
-
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

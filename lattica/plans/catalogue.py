@@ -15,6 +15,7 @@ from ..operators.export import dot_edges, dot_nodes, mermaid_edges
 from ..operators.resolve import Resolver
 from ..schema import EXTERNAL_SUBKINDS, MUTABILITIES, RESOLUTIONS, Graph, rank_of
 from ..sources import ingest
+from . import graphs
 from .stargraph import GUARDS, Star
 from .storage import materialise
 
@@ -29,7 +30,7 @@ def query(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 
 def _access(g: Star) -> DataFrame:
     """(id, guards, access) of all functions."""
-    return analysis.access_control(g.functions(), g.modifiers(), GUARDS)
+    return analysis.access_control(g.functions(), graphs.applied(g), GUARDS)
 
 
 def _stored(graph: Graph) -> Graph:
@@ -40,14 +41,8 @@ def _guarded_functions(g: Star) -> DataFrame:
     return g.functions().join(_access(g), "id")
 
 
-def _scopes(g: Star) -> DataFrame:
-    """(id): deployable contracts and libraries and what they inherit from."""
-    own = g.contracts().where(F.col("contract_kind").isin(*analysis.DEPLOYABLE)).select("id")
-    return own.unionByName(inherit.ancestors(g.inherits()).join(own, "id", "left_semi").select(F.col("base").alias("id"))).distinct()
-
-
 def _entries(g: Star) -> DataFrame:
-    return analysis.entrypoints(g.functions(), _scopes(g))
+    return analysis.entrypoints(g.functions(), graphs.scopes(g))
 
 
 @query
@@ -115,7 +110,10 @@ def symbol_stats(g: Star) -> DataFrame:
 @query
 def graph_stats_full(g: Star) -> DataFrame:
     """Every counter of the whole graph object, analysed."""
-    return inspect.graph_stats(_stored(analysis.analyse(_stored(g.graph()), GUARDS, pairs=False))).where("measure in ('nodes', 'edges', 'contracts')")
+    whole = g.graph()
+    up = graphs.contracts(g).select("id", F.col("linearized_bases").alias("_up"))
+    nodes = whole.nodes.join(up, "id", "left").withColumn("linearized_bases", F.col("_up")).drop("_up")
+    return inspect.graph_stats(_stored(analysis.analyse(_stored(Graph(nodes, whole.edges)), GUARDS, pairs=False)))
 
 
 @query
@@ -135,14 +133,13 @@ def externals_payable(g: Star) -> DataFrame:
 
 @query
 def unresolved_edges(g: Star) -> DataFrame:
-    edges = g.call_edges().where("resolution = 'unresolved' and to_id like '?%'")
-    return edges.select("from_id", "to_id", F.regexp_extract("to_id", r"^\?([^:]*):", 1).alias("category"), F.regexp_extract("to_id", r"^\?[^:]*:(.*)$", 1).alias("callee"), "count")
+    edges = g.call_edges().withColumn("reason", F.lit(None).cast("string"))
+    return inspect.unresolved_edges(edges, graphs.lost_nodes(g)).select("from_id", "to_id", "category", "callee", "count")
 
 
 @query
 def unresolved_by_category(g: Star) -> DataFrame:
-    each = g.calls().where("resolution = 'unresolved'").select("to_id").distinct()
-    return each.groupBy(F.regexp_extract("to_id", r"^\?([^:]*):", 1).alias("category")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "category")
+    return inspect.unresolved_categories(graphs.lost_nodes(g))
 
 
 def _accessors(g: Star, kind: str) -> DataFrame:
@@ -189,11 +186,7 @@ def shortest_path_depth(g: Star) -> DataFrame:
 
 
 def _arcs(g: Star) -> DataFrame:
-    """(src, dst) between functions: resolved calls, what creates leads to, applied modifiers."""
-    calls = g.calls().where("kind = 'calls' and resolution <> 'unresolved'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    made = g.calls().where("kind = 'creates'").select(F.col("from_id").alias("src"), F.concat(F.lit("f:"), "callee").alias("dst"))
-    guards = g.modifiers().where("to_id like 'f:%'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return calls.unionByName(made).unionByName(guards).distinct()
+    return graphs.arcs(g)
 
 
 @query
@@ -208,9 +201,8 @@ def externally_reachable(g: Star) -> DataFrame:
 
 @query
 def entrypoint_reachability(g: Star) -> DataFrame:
-    """How many functions each entrypoint of the first contracts reaches, itself included."""
-    first = _entries(g).where(F.regexp_extract("scope", r"(\d+)$", 1).cast("long") < 8)
-    return analysis.reachability(first, _arcs(g)).groupBy("origin").agg(F.count("*").alias("reached"))
+    """How many functions each entrypoint reaches, itself included."""
+    return analysis.reachability(_entries(g), _arcs(g)).groupBy("origin").agg(F.count("*").alias("reached"))
 
 
 @query
@@ -247,7 +239,7 @@ def access_control(g: Star) -> DataFrame:
 @query
 def derived_from(g: Star) -> DataFrame:
     """Of every contract, how many derive from it, at any distance."""
-    return inherit.ancestors(g.inherits()).groupBy(F.col("base").alias("id")).agg(F.count_distinct("id").alias("derived"))
+    return inherit.derived_from(graphs.linear(g)).groupBy("id").agg(F.count_distinct("derived").alias("derived"))
 
 
 @query
@@ -263,25 +255,19 @@ def c3_linearization(g: Star) -> DataFrame:
 @query
 def member_shadowing(g: Star) -> DataFrame:
     """The function that a contract's member name means: its own, else that of the nearest base by number."""
-    chain = inherit.ancestors(g.inherits()).select("id", "base").unionByName(g.contracts().select("id", F.col("id").alias("base")))
-    near = chain.withColumn("pos", F.when(F.col("id") == F.col("base"), 0).otherwise(F.lit(1_000_000_000) - F.regexp_extract("base", r"(\d+)$", 1).cast("long")))
-    members = g.functions().where("subkind = 'function'").select(F.col("scope").alias("base"), "name", F.col("id").alias("member"), "k")
-    best = near.join(members, "base").groupBy("id", "name").agg(F.min_by("member", F.struct("pos", "k")).alias("member"))
-    return best
+    found = inherit.inherited_members(graphs.linear(g), graphs.first_members(g))
+    return found.select(F.col("contract").alias("id"), "name", F.col("id").alias("member"))
 
 
 @query
 def override_pairs(g: Star) -> DataFrame:
     """Members with the kind and name of one in an ancestor: an override of a body, else an implementation."""
-    f = g.functions().where("subkind = 'function'").select("id", "scope", "name", "has_body")
-    base = f.select(F.col("id").alias("to_id"), F.col("scope").alias("base"), "name", F.col("has_body").alias("base_body"))
-    chain = inherit.ancestors(g.inherits()).select(F.col("id").alias("scope"), "base")
-    return f.join(chain, "scope").join(base, ["base", "name"]).select(F.col("id").alias("from_id"), "to_id", F.when(F.col("base_body"), "overrides").otherwise("implements").alias("kind"))
+    return inherit.overrides(graphs.linear(g), graphs.members(g))
 
 
 @query
 def protocol_rollup(g: Star) -> DataFrame:
-    held = g.functions().select("id", F.col("scope").alias("container")).unionByName(g.contracts().select("id", F.col("id").alias("container")))
+    held = views.containers(graphs.nodes(g)).select("id", "container")
     return views.rollup(g.call_edges().where("resolution <> 'unresolved'"), held).select("from_id", "to_id", "count", "resolution")
 
 
@@ -301,31 +287,25 @@ def cluster_edges(g: Star) -> DataFrame:
 
 @query
 def call_view_nodes(g: Star) -> DataFrame:
-    index = closure.call_index(g.call_edges())
-    up, down = closure.traverse(index, ORIGIN, "callers", 2), closure.traverse(index, ORIGIN, "callees", 3)
-    return up.select("id").unionByName(down.select("id")).unionByName(g.spark.createDataFrame([(ORIGIN,)], "id string")).distinct()
+    return views.call_view(graphs.graph(g), ORIGIN).nodes.select("id")
 
 
 @query
 def state_access_view(g: Star) -> DataFrame:
     """Reads and writes between members of contracts that are neither tests nor mocks."""
-    real = g.contracts().where("not is_test and not is_mock").select("id")
-    keep = g.functions().select("id", "scope").unionByName(g.variables().select("id", "scope")).join(real.select(F.col("id").alias("scope")), "scope", "left_semi")
-    return views.induced(g.edges(g.accesses()), keep).select("from_id", "to_id", "kind", "count")
+    return views.state_access_view(graphs.graph(g)).edges.select("from_id", "to_id", "kind", "count")
 
 
 @query
 def inheritance_view(g: Star) -> DataFrame:
-    return views.induced(g.inherits(), g.contracts().where("not is_test and not is_mock")).select("from_id", "to_id")
+    """Base contracts, and members that override or implement others, of contracts that are neither tests nor mocks."""
+    return views.inheritance_view(graphs.graph(g)).edges.select("from_id", "to_id", "kind")
 
 
 @query
 def contract_view(g: Star) -> DataFrame:
     """One contract, its bases and all their members."""
-    focus = "c:9"
-    bases = inherit.ancestors(g.inherits()).where(F.col("id") == focus).select(F.col("base").alias("scope")).unionByName(g.spark.createDataFrame([(focus,)], "scope string"))
-    members = g.functions().select("id", "scope").unionByName(g.variables().select("id", "scope")).join(bases, "scope", "left_semi").select("id")
-    return members.unionByName(bases.select(F.col("scope").alias("id"))).distinct()
+    return views.contract_view(graphs.graph(g), "c:9").nodes.select("id")
 
 
 @query
@@ -401,39 +381,12 @@ def node_at_offset(g: Star) -> DataFrame:
     return inspect.node_at(nodes, _findings(g).select("file", F.col("offset").alias("at"))).select("file", "at", "id")
 
 
-@query
-def import_resolution(g: Star) -> DataFrame:
-    """Each page path resolved as an import against supplier files: as is, below its language, or by its last part; first match wins."""
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
-    tries = g.table("pages").select("page_id", path.alias("path")).select("page_id", F.posexplode(F.array("path", F.regexp_replace("path", "^[^/]*/", ""), F.concat(F.lit("p/"), F.regexp_extract("path", "([0-9]+)$", 1)))).alias("priority", "path"))
-    known = g.table("part").select(F.col("p_partkey").cast("string").alias("path")).unionByName(g.table("part").select(F.concat(F.lit("p/"), "p_partkey").alias("path")))
-    return tries.join(known, "path").groupBy("page_id").agg(F.min_by("path", "priority").alias("path"))
-
-
-@query
-def prefix_remap(g: Star) -> DataFrame:
-    """Longest matching prefix of a page's url, replaced; rules are a fixed small set."""
-    rules = g.spark.createDataFrame([("http://", "plain/"), ("https://", "tls/"), ("https://m.", "mobile/"), ("http://m.", "mobile/"), ("https://blog.", "blog/")], "prefix string, target string")
-    hit = g.table("pages").select("page_id", "url").join(F.broadcast(rules), F.expr("startswith(url, prefix)"))
-    best = hit.groupBy("page_id", "url").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("r"))
-    return best.select("page_id", F.concat("r.target", F.expr("substring(url, length(r.prefix) + 1)")).alias("path"))
-
-
 @query
 def path_normalise(g: Star) -> DataFrame:
     raw = F.concat(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), F.lit("/./x/../y//z"))
     return g.table("pages").select("page_id", normalise_path(raw).alias("path"))
 
 
-@query
-def visible_names(g: Star) -> DataFrame:
-    """Names that a contract's file sees: its own contracts', and those of the files of its bases."""
-    c = g.contracts().select("id", "name", "file")
-    own = c.select("file", "name")
-    base = g.inherits().join(c.select(F.col("id").alias("from_id"), "file"), "from_id").join(c.select(F.col("id").alias("to_id"), "name"), "to_id").select("file", "name")
-    return own.unionByName(base).distinct()
-
-
 @query
 def lookup_fallback(g: Star) -> DataFrame:
     """Parts of a name in the caller's contract, else all of that name in its first base's, never both."""
@@ -454,36 +407,15 @@ def shadow_anti_join(g: Star) -> DataFrame:
     return e.join(local, ["from_id", "to_id"], "left_anti")
 
 
-def _revision(g: Star, later: bool) -> DataFrame:
-    k = F.col("k")
-    f = g.functions().where("subkind = 'function'").withColumn("file", F.concat(F.lit("s"), F.col("scope_k") % 5, F.lit(".src")))
-    if later:
-        f = f.where("k % 43 <> 0").withColumns({
-            "id": F.when(k % 37 == 0, F.concat("id", F.lit("r"))).when(k % 41 == 0, F.concat("id", F.lit("m"))).otherwise(F.col("id")),
-            "name": F.when(k % 37 == 0, F.concat("name", F.lit(" new"))).otherwise(F.col("name")),
-            "scope": F.when((k % 37 != 0) & (k % 41 == 0), F.lit("c:0")).otherwise(F.col("scope")),
-            "body_hash": F.when((k % 47 == 0) & (k % 37 != 0) & (k % 41 != 0), F.md5(F.concat("body_hash", F.lit("x")))).otherwise(F.col("body_hash")),
-        })
-        new = g.functions().where("subkind = 'function' and k % 50 = 1").withColumn("file", F.lit("new.src")).withColumns({"id": F.concat("id", F.lit("n")), "name": F.concat("name", F.lit(" added")), "body_hash": F.lit("")})
-        f = f.unionByName(new)
-    return f.select("id", F.lit("Function").alias("kind"), "name", "file", "scope", "visibility", "state_mutability", "has_body", "body_hash", "k")
-
-
-def _matches(g: Star) -> DataFrame:
-    """Exact matches by id, then those that the revision's own rule tells."""
-    b, a = _revision(g, False).select("id", "k"), _revision(g, True).where("id not like '%n'").select("id", "k")
-    return b.select("k", F.col("id").alias("before")).join(a.select("k", F.col("id").alias("after")), "k").select("before", "after", F.when(F.col("before") == F.col("after"), "exact").otherwise("body").alias("tier"), F.lit(1.0).alias("confidence"))
-
-
 @query
 def diff_nodes(g: Star) -> DataFrame:
-    d = diff.diff_nodes(_revision(g, False).drop("k"), _revision(g, True).drop("k"), _matches(g))
+    d = diff.diff_nodes(graphs.revision(g, False).drop("k"), graphs.revision(g, True).drop("k"), graphs.matches(g))
     return d.select("status", "id", F.array_join("changes", ",").alias("changes"))
 
 
 @query
 def diff_summary(g: Star) -> DataFrame:
-    return diff.summary(diff.diff_nodes(_revision(g, False).drop("k"), _revision(g, True).drop("k"), _matches(g)))
+    return diff.summary(diff.diff_nodes(graphs.revision(g, False).drop("k"), graphs.revision(g, True).drop("k"), graphs.matches(g)))
 
 
 def _later_edges(g: Star) -> DataFrame:
@@ -499,22 +431,10 @@ def diff_edges(g: Star) -> DataFrame:
     return diff.diff_edges(g.call_edges().where("kind = 'calls'"), _later_edges(g), none).select("status", "key", F.array_join("changes", ",").alias("changes"))
 
 
-@query
-def diff_findings(g: Star) -> DataFrame:
-    """Functions that turned payable, and callers that newly call out, between two revisions of the surface."""
-    b = g.functions().where("subkind = 'function'").select("id", "name", "scope", "state_mutability", "k")
-    a = b.withColumn("state_mutability", F.when(F.col("k") % 53 == 0, "payable").otherwise(F.col("state_mutability")))
-    turned = b.select("id", F.col("state_mutability").alias("was")).join(a, "id").where("was <> 'payable' and state_mutability = 'payable'")
-    out = g.call_edges().where((F.col("kind") == "calls") & F.col("subkind").isin(*EXTERNAL_SUBKINDS))
-    k = F.regexp_extract("from_id", r"(\d+)$", 1).cast("long")
-    newly = out.select("from_id").distinct().join(out.where(k % 3 != 0).select("from_id").distinct(), "from_id", "left_anti")
-    return turned.select(F.lit("became-payable").alias("kind"), "id").unionByName(newly.select(F.lit("new-external-call").alias("kind"), F.col("from_id").alias("id")))
-
-
 @query
 def body_match(g: Star) -> DataFrame:
     """Tier 2 of the matcher on what an exact match leaves."""
-    b, a = _revision(g, False), _revision(g, True)
+    b, a = graphs.revision(g, False), graphs.revision(g, True)
     rest_b = b.join(a.select("id"), "id", "left_anti")
     rest_a = a.join(b.select("id"), "id", "left_anti")
     return diff.match_body(rest_b, rest_a).select("before", "after", "tier")
@@ -522,14 +442,14 @@ def body_match(g: Star) -> DataFrame:
 
 @query
 def signature_match(g: Star) -> DataFrame:
-    b, a = _revision(g, False), _revision(g, True)
+    b, a = graphs.revision(g, False), graphs.revision(g, True)
     return diff.match_signature(b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti")).select("before", "after", "tier")
 
 
 @query
 def fuzzy_match(g: Star) -> DataFrame:
     none = F.array().cast("array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>")
-    b, a = (_revision(g, x).withColumns({"params": none, "returns": none}) for x in (False, True))
+    b, a = (graphs.revision(g, x).withColumns({"params": none, "returns": none}) for x in (False, True))
     names = g.calls().select("from_id", F.col("to_id").alias("name")).distinct()
     return diff.match_fuzzy(b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti"), names, names)
 
@@ -542,12 +462,12 @@ def _reviews(g: Star) -> DataFrame:
 
 @query
 def review_staleness(g: Star) -> DataFrame:
-    return audit.review_staleness(_reviews(g), _revision(g, True)).select("node", "status", "state")
+    return audit.review_staleness(_reviews(g), graphs.revision(g, True)).select("node", "status", "state")
 
 
 @query
 def review_migration(g: Star) -> DataFrame:
-    return audit.migrate_reviews(_reviews(g), _matches(g).select("before", "after")).select("node", "status")
+    return audit.migrate_reviews(_reviews(g), graphs.matches(g).select("before", "after")).select("node", "status")
 
 
 def _imported(g: Star) -> DataFrame:
@@ -558,7 +478,7 @@ def _imported(g: Star) -> DataFrame:
 
 @query
 def findings_staleness(g: Star) -> DataFrame:
-    return audit.findings_staleness(_imported(g), _revision(g, True))
+    return audit.findings_staleness(_imported(g), graphs.revision(g, True))
 
 
 @query
@@ -608,16 +528,14 @@ def dot_export(g: Star) -> DataFrame:
 
 @query
 def mermaid_export(g: Star) -> DataFrame:
-    nodes = g.contracts().where("k < 20").select("id", "name")
+    nodes = g.contracts().select("id", "name")
     edges = g.inherits().select("from_id", "to_id", F.lit("inherits").alias("kind"), F.lit(None).cast("string").alias("subkind"), F.lit("heuristic").alias("resolution"), F.lit(1).alias("count"))
     return mermaid_edges(nodes, edges)
 
 
 @query
 def file_lenses(g: Star) -> DataFrame:
-    f = g.functions().where("scope_k < 5")
-    e = g.edges(g.calls().drop("callee"), g.accesses())
-    return inspect.file_lenses(f, e)
+    return inspect.file_lenses(g.functions(), g.edges(g.calls().drop("callee"), g.accesses()))
 
 
 @query
@@ -655,4 +573,7 @@ def body_walk(g: Star) -> DataFrame:
 def resolve_sources(g: Star) -> DataFrame:
     """Drafts of the source text by kind and confidence: parsed, bound and linearised."""
     drafts = Resolver(materialise(ingest.parse_units(g.sources()))).drafts()
-    return drafts.where("kind in ('declares', 'inherits', 'reads', 'writes')").groupBy("kind", "resolution").agg(F.count("*").alias("count"))
+    return drafts.groupBy("kind", "resolution").agg(F.count("*").alias("count"))
+
+
+QUERIES |= graphs.QUERIES

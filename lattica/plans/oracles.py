@@ -77,11 +77,6 @@ _AFTER = """SELECT CASE WHEN k % 37 = 0 THEN id || 'r' WHEN k % 41 = 0 THEN id |
   CASE WHEN k % 37 <> 0 AND k % 41 = 0 THEN 'c:0' ELSE scope END AS scope, visibility, state_mutability, has_body,
   CASE WHEN k % 47 = 0 AND k % 37 <> 0 AND k % 41 <> 0 THEN md5(body_hash || 'x') ELSE body_hash END AS body_hash, k, false AS fresh FROM bef WHERE k % 43 <> 0
   UNION ALL SELECT id || 'n', name || ' added', 'new.src', scope, visibility, state_mutability, has_body, '', k, true FROM bef WHERE k % 50 = 1"""
-_DIFF = """SELECT CASE WHEN changes = '' THEN 'unchanged' WHEN moved THEN 'moved' WHEN renamed THEN 'renamed' ELSE 'modified' END AS status, id, changes FROM (
-    SELECT a.id, b.scope <> a.scope OR b.file <> a.file AS moved, b.name <> a.name AS renamed,
-      concat_ws(',', CASE WHEN b.body_hash <> a.body_hash THEN 'body_hash' END, CASE WHEN b.name <> a.name THEN 'name' END, CASE WHEN b.scope <> a.scope THEN 'scope' END) AS changes
-    FROM bef b JOIN aft a ON a.k = b.k AND NOT a.fresh)
-  UNION ALL SELECT 'removed', id, '' FROM bef WHERE k % 43 = 0 UNION ALL SELECT 'added', id, '' FROM aft WHERE fresh"""
 _REVIEWS = "SELECT id AS node, 'reviewed' AS status, body_hash FROM functions WHERE k % 10 = 0 UNION ALL SELECT 'gone:' || s_suppkey, 'flagged', 'x' FROM supplier WHERE s_suppkey % 7 = 0"
 _IMPORTED = "SELECT DISTINCT 'find:' || l_orderkey AS id, f.id AS nid, f.body_hash FROM lineitem JOIN functions f ON f.k = l_partkey WHERE l_orderkey % 50 = 0"
 _BIGRAMS = "SELECT n, lower(substr(n, i, 2)) AS w, count(*) AS c FROM (SELECT p_name AS n, unnest(range(1, length(p_name))) AS i FROM (SELECT DISTINCT p_name FROM part)) GROUP BY ALL"
@@ -124,7 +119,7 @@ ORACLES = {
     "shortest_path_depth": after("hops", more=_walk("down", 4)) + "SELECT id, min(depth) AS hops FROM walk_down WHERE id <> 'f:42' GROUP BY id",
     "entrypoints": after("entries") + "SELECT id, scope FROM entries",
     "externally_reachable": after("entries", "calls", "modifiers", more={"arcs": _ARCS, "r": "SELECT id FROM entries UNION SELECT dst FROM r JOIN arcs ON src = r.id"}) + "SELECT id FROM r",
-    "entrypoint_reachability": after("entries", "calls", "modifiers", more={"arcs": _ARCS, "r": "SELECT id AS origin, id FROM entries WHERE CAST(replace(scope, 'c:', '') AS BIGINT) < 8 UNION SELECT origin, dst FROM r JOIN arcs ON src = r.id"})
+    "entrypoint_reachability": after("entries", "calls", "modifiers", more={"arcs": _ARCS, "r": "SELECT id AS origin, id FROM entries UNION SELECT origin, dst FROM r JOIN arcs ON src = r.id"})
     + "SELECT origin, count(*) AS reached FROM r GROUP BY origin",
     "backward_closure_writes": after("calls", "accesses", more={"r": "SELECT DISTINCT from_id AS id FROM accesses WHERE kind = 'writes' UNION SELECT c.from_id FROM r JOIN calls c ON c.to_id = r.id AND c.kind = 'calls'"}) + "SELECT id FROM r",
     "call_classes": after("cedges", more={"r": "SELECT DISTINCT from_id AS id FROM cedges WHERE kind = 'calls' AND subkind IN ('external', 'delegatecall', 'lowlevel') UNION SELECT c.from_id FROM r JOIN cedges c ON c.to_id = r.id AND c.kind = 'calls'"})
@@ -153,7 +148,6 @@ ORACLES = {
     "call_view_nodes": after("hops", more=_walk("down", 3) | _walk("up", 2)) + "SELECT DISTINCT id FROM (SELECT id FROM walk_down UNION ALL SELECT id FROM walk_up)",
     "state_access_view": after("aedges", "functions", "variables", "contracts", more={"k": "SELECT id, scope FROM functions UNION ALL SELECT id, scope FROM variables", "ok": "SELECT k.id FROM k JOIN contracts c ON c.id = k.scope WHERE NOT is_test AND NOT is_mock"})
     + "SELECT from_id, to_id, kind, count FROM aedges WHERE from_id IN (SELECT id FROM ok) AND to_id IN (SELECT id FROM ok)",
-    "inheritance_view": after("inherits", "contracts", more={"ok": "SELECT id FROM contracts WHERE NOT is_test AND NOT is_mock"}) + "SELECT from_id, to_id FROM inherits WHERE from_id IN (SELECT id FROM ok) AND to_id IN (SELECT id FROM ok)",
     "contract_view": after("anc", "functions", "variables", more={"b": "SELECT base AS scope FROM anc WHERE id = 'c:9' UNION SELECT 'c:9'"})
     + "SELECT id FROM functions JOIN b USING (scope) UNION SELECT id FROM variables JOIN b USING (scope) UNION SELECT scope FROM b",
     "induced_edges": after("cedges", "functions", more={"k": f"SELECT id FROM functions WHERE {_EXT}"}) + "SELECT id, count FROM cedges WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k)",
@@ -169,26 +163,15 @@ ORACLES = {
         FROM t a JOIN t b ON a.n < b.n AND split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1) WHERE 2.0 * coalesce((SELECT sum(least(x.c, y.c)) FROM g x JOIN g y ON x.w = y.w WHERE x.n = a.n AND y.n = b.n), 0) / (a.t + b.t) >= 0.4""",
     "containment_join": after("functions", "contracts", more={"spans": _SPANS, "fi": _FINDINGS}) + 'SELECT fi.file, "offset", s.id AS node FROM fi LEFT JOIN spans s ON s.file = fi.file AND s.o <= "offset" AND "offset" + 5 <= s.o + s.l',
     "node_at_offset": after("functions", "contracts", more={"spans": _SPANS, "fi": _FINDINGS}) + 'SELECT fi.file, "offset" AS at, s.id FROM fi JOIN spans s ON s.file = fi.file AND s.o <= "offset" AND "offset" < s.o + s.l',
-    "import_resolution": after(more={"p": r"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages",
-        "t": "SELECT page_id, 0 AS r, path FROM p UNION ALL SELECT page_id, 1, regexp_replace(path, '^[^/]*/', '') FROM p UNION ALL SELECT page_id, 2, 'p/' || regexp_extract(path, '([0-9]+)$', 1) FROM p",
-        "k": "SELECT CAST(p_partkey AS VARCHAR) AS path FROM part UNION ALL SELECT 'p/' || p_partkey FROM part"}) + "SELECT page_id, arg_min(t.path, r) AS path FROM t JOIN k ON t.path = k.path GROUP BY page_id",
-    "prefix_remap": after(more={"r": "SELECT * FROM (VALUES ('http://', 'plain/'), ('https://', 'tls/'), ('https://m.', 'mobile/'), ('http://m.', 'mobile/'), ('https://blog.', 'blog/')) v(p, t)"})
-    + "SELECT page_id, path FROM (SELECT page_id, t || substr(url, length(p) + 1) AS path, row_number() OVER (PARTITION BY page_id ORDER BY length(p) DESC) AS i FROM pages JOIN r ON starts_with(url, p)) WHERE i = 1",
     "path_normalise": r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1) || '/y/z', '/+', '/', 'g') AS path FROM pages",
-    "visible_names": after("contracts", "inherits") + "SELECT file, name FROM contracts UNION SELECT a.file, b.name FROM inherits JOIN contracts a ON a.id = from_id JOIN contracts b ON b.id = to_id",
     "lookup_fallback": after("calls", "functions", more={"w": "SELECT DISTINCT c.from_id, regexp_extract(c.to_id, ':(.*)$', 1) AS name, f.scope, f.scope_k FROM calls c JOIN functions f ON f.id = c.from_id WHERE c.kind = 'calls' AND c.resolution = 'unresolved'",
         "l": "SELECT w.from_id, w.name, f.id AS target FROM w JOIN functions f ON f.scope = w.scope AND f.p_name = w.name"})
     + """SELECT from_id, name, target, 'local' AS via FROM l UNION ALL SELECT w.from_id, w.name, f.id, 'base' FROM w JOIN functions f ON f.scope = 'c:' || (w.scope_k // 2) AND f.p_name = w.name
         WHERE w.scope_k >= 2 AND NOT EXISTS (SELECT 1 FROM l WHERE l.from_id = w.from_id AND l.name = w.name)""",
     "shadow_anti_join": after("aedges", "calls") + "SELECT from_id, to_id FROM aedges a WHERE kind = 'reads' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.from_id = a.from_id AND c.to_id = replace(a.to_id, 'v:', 'f:'))",
-    "diff_nodes": after("functions", more={"bef": _BEFORE, "aft": _AFTER}) + _DIFF,
-    "diff_summary": after("functions", more={"bef": _BEFORE, "aft": _AFTER, "d": _DIFF}) + "SELECT status, count(*) AS count FROM d GROUP BY status",
     "diff_edges": after("cedges", more={"e": "SELECT kind || '|' || coalesce(subkind, '') || '|' || from_id || '|' || to_id AS key, CAST(replace(from_id, 'f:', '') AS BIGINT) AS k FROM cedges WHERE kind = 'calls'"})
     + "SELECT CASE WHEN k % 29 = 0 THEN 'removed' WHEN k % 31 = 0 THEN 'modified' ELSE 'unchanged' END AS status, key, CASE WHEN k % 29 <> 0 AND k % 31 = 0 THEN 'count' ELSE '' END AS changes FROM e",
-    "diff_findings": after("functions", "cedges", more={"x": "SELECT DISTINCT from_id, CAST(replace(from_id, 'f:', '') AS BIGINT) AS k FROM cedges WHERE kind = 'calls' AND subkind IN ('external', 'delegatecall', 'lowlevel')"})
-    + "SELECT 'became-payable' AS kind, id FROM functions WHERE subkind = 'function' AND k % 53 = 0 AND state_mutability <> 'payable' UNION ALL SELECT 'new-external-call', from_id FROM x WHERE k % 3 = 0",
     "review_staleness": after("functions", more={"bef": _BEFORE, "aft": _AFTER, "r": _REVIEWS}) + "SELECT node, status, CASE WHEN a.id IS NULL THEN 'orphaned' WHEN a.body_hash <> r.body_hash THEN 'stale' ELSE 'current' END AS state FROM r LEFT JOIN aft a ON a.id = node",
-    "review_migration": after("functions", more={"bef": _BEFORE, "aft": _AFTER, "r": _REVIEWS}) + "SELECT coalesce(a.id, node) AS node, status FROM r LEFT JOIN bef b ON b.id = node LEFT JOIN aft a ON a.k = b.k AND NOT a.fresh",
     "findings_staleness": after("functions", more={"bef": _BEFORE, "aft": _AFTER, "i": _IMPORTED, "s": "SELECT i.id, count(*) AS n, count(*) FILTER (a.id IS NULL) AS gone, count(*) FILTER (a.body_hash <> i.body_hash) AS changed FROM i LEFT JOIN aft a ON a.id = nid GROUP BY i.id"})
     + "SELECT id, CASE WHEN gone = n THEN 'orphaned' WHEN gone + changed > 0 THEN 'stale' ELSE 'current' END AS state FROM s",
     "audit_projection": after("functions", more={"r": _REVIEWS, "i": _IMPORTED, "c": "SELECT nid, count(DISTINCT id) AS n FROM i GROUP BY nid", "rs": "SELECT node, status, CASE WHEN f.id IS NULL THEN 'orphaned' ELSE 'current' END AS st FROM r LEFT JOIN functions f ON f.id = node"})
@@ -200,9 +183,9 @@ ORACLES = {
     "glob_filter": r"SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages) WHERE regexp_matches(path, '^(.*/)?(en|fr)/[^/]*$') AND NOT regexp_matches(path, '^(.*/)?en/1[^/]*$')",
     "json_props": "SELECT event_type, count(*) AS count, CAST(sum(length(props)) AS BIGINT) AS chars, count(*) FILTER (json_valid(props)) AS valid FROM events GROUP BY event_type",
     "dot_export": after("contracts", "inherits") + """SELECT '  "' || id || '" [label="' || name || '", shape=box];' AS line FROM contracts UNION ALL SELECT '  "' || from_id || '" -> "' || to_id || '" [label="inherits", style=solid];' FROM inherits""",
-    "mermaid_export": after("contracts", "inherits", more={"a": "SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS alias FROM contracts WHERE k < 20"})
+    "mermaid_export": after("contracts", "inherits", more={"a": "SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS alias FROM contracts"})
     + """SELECT '  ' || a.alias || ' -->|"inherits (heuristic)"| ' || b.alias AS line FROM inherits JOIN a ON a.id = from_id JOIN a b ON b.id = to_id""",
-    "file_lenses": after("functions", "cedges", "aedges", more={"f": "SELECT id FROM functions WHERE scope_k < 5"})
+    "file_lenses": after("functions", "cedges", "aedges", more={"f": "SELECT id FROM functions"})
     + """SELECT f.id, (SELECT count(DISTINCT from_id) FROM cedges WHERE to_id = f.id) AS callers,
         CAST(coalesce((SELECT sum(count) FROM cedges WHERE from_id = f.id AND kind = 'calls' AND subkind IN ('external', 'delegatecall', 'lowlevel')), 0) AS BIGINT) AS external_sites,
         (SELECT count(DISTINCT to_id) FROM aedges WHERE from_id = f.id AND kind = 'writes') AS written, (SELECT count(DISTINCT to_id) FROM aedges WHERE from_id = f.id AND kind = 'reads') AS read FROM f""",

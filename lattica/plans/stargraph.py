@@ -6,6 +6,7 @@ variables and event types events; orders give call sites, reads and writes.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -146,6 +147,22 @@ class Star:
         text = F.concat(F.lit("pragma solidity ^0.8.0;\n"), "word", F.lit(" S"), "scope_k", F.coalesce("bases", F.lit("")), F.lit(" {\n"), F.coalesce("body", F.lit("")), F.lit("\n}\n"))
         return contracts.join(bases, "scope_k", "left").join(lines, "scope_k", "left").select(F.concat(F.lit("src/S"), "scope_k", F.lit(".sol")).alias("file"), text.alias("content"))
 
+    def call_sources(self) -> DataFrame:
+        """(file, content): a contract per supplier, each on that of half its number, with calls of every shape."""
+        k, n = F.col("s_suppkey"), self.n
+        base = F.when(k >= 2, F.concat(F.lit(" is C"), F.floor(k / 2))).otherwise("")
+        lines = (
+            ("    event E{k}(uint256 a);\n    error X{k}();\n    uint256 v{k};\n    C{1} peer;\n    modifier m{k}() {{ _; }}\n    constructor() {{}}\n"),
+            ("    function own{k}() internal {{ v{k} += 1; }}\n    function tick() public virtual {{ own{k}(); super.tick(); }}\n    function go{k}() external m{k} {{\n        uint256 w = 1;\n        v{k} = w;\n"),
+            ("        this.tick();\n        peer.tick();\n        C{2}(address(0)).tick();\n        new C{3}();\n        emit E{k}(1);\n        if (w > 2) revert X{k}();\n        gone{k}();\n        address(1).call(\"\");\n    }}\n}}\n"),
+        )
+        parts: list[Column] = []
+        for piece in re.split(r"(\{[k123]\})", "".join(lines).replace("{{", "\x01").replace("}}", "\x02")):
+            held = re.fullmatch(r"\{([k123])\}", piece)
+            parts.append(F.lit(piece.replace("\x01", "{").replace("\x02", "}")) if not held else k.cast("string") if held[1] == "k" else ((k + int(held[1])) % n).cast("string"))
+        text = F.concat(F.lit("pragma solidity ^0.8.0;\ncontract C"), k.cast("string"), base, F.lit(" {\n"), *parts)
+        return self.table("supplier").select(F.concat(F.lit("lib/C"), k, F.lit(".sol")).alias("file"), text.alias("content"))
+
     def graph(self) -> Graph:
         """Nodes and edges with all their columns."""
         files, functions = self.files(), self.functions()

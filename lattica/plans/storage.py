@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -18,13 +18,22 @@ def _own_dir() -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to this application's folder below spark.checkpoint.dir and reads it back.
+def shared_path(spark: SparkSession) -> str:
+    """A new path in this application's folder below spark.checkpoint.dir.
 
-    Where the session names no such folder, a local one stands in and is removed at exit.
+    On a local master a session may name none; a local folder stands in and is removed at exit.
     """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_dir()
+    return f"{root.rstrip('/')}/graph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    path = f"{root.rstrip('/')}/graph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

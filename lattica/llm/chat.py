@@ -145,4 +145,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
+    """DIGEST of each conversation, formatted and read back.
+
+    A null text is empty; repeated rows are turns of their own. Rows without conv_id are
+    no valid input and come out as one conversation. Further columns are ignored; no
+    rows give no rows.
+    """
     return read_back(examples(conversations))

@@ -98,7 +98,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; texts are not shuffled."""
+    """``docs`` with each row as often as the mix takes it, in the columns it has; texts, however long, are not shuffled.
+
+    Words count, and null texts, repeated rows and null ids go, as in mix; no rows give no rows.
+    """
     skey, size, h = _keys()
     cuts = _cuts(materialise(docs.select(skey, size, h)), weights)
     keyed = docs.select(F.struct("*").alias("doc"), skey, h)

@@ -21,6 +21,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: pieces of tokens with their places in sequences.
+
+    Nulls, empty texts, repeated rows and ties are each stage's matter (see their
+    docstrings); no rows give no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

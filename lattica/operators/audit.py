@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
+
 STATUSES = ("reviewed", "flagged", "follow-up", "ignored")
 # Impacts, most severe first.
 IMPACTS = ("High", "Medium", "Low", "Informational", "Optimization")
 
+#: Bytes of a file whose spans and points are joined with each other.
+CELL = 4096
+
 REVIEW = "node string, status string, body_hash string, reviewer string, note string, at timestamp"
 FINDING = "id string, check string, impact string, confidence string, description string, nodes array<struct<id:string,body_hash:string>>, locations array<struct<file:string,offset:bigint,length:bigint>>"
 
@@ -66,11 +71,16 @@ def audit_summary(reviews: DataFrame, findings: DataFrame, nodes: DataFrame) ->
     return r.withColumn("_", F.lit(1)).join(f.withColumn("_", F.lit(1)), "_").drop("_")
 
 
+def cells(offset: Column, length: Column) -> Column:
+    """The stretches of a file, CELL bytes each, that a span touches; a span and a point meet by (file, cell)."""
+    return F.sequence(F.floor(offset / CELL), F.floor((offset + F.greatest(length, F.lit(0))) / CELL))
+
+
 def containing(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """``spans`` (key, file, offset, length) with node: the smallest node that contains each, ties by id; null if none does."""
-    held = nodes.select(F.col("file").alias("f"), F.col("id").alias("node"), F.col("offset").alias("o"), F.col("length").alias("l"))
-    fits = (F.col("file") == F.col("f")) & (F.col("o") <= F.col("offset")) & (F.col("offset") + F.col("length") <= F.col("o") + F.col("l"))
-    hit = spans.join(held, fits).groupBy("key").agg(F.min_by("node", F.struct("l", "node")).alias("node"))
+    held = nodes.select(F.col("file").alias("f"), F.col("id").alias("node"), F.col("offset").alias("o"), F.col("length").alias("l"), F.explode(cells(F.col("offset"), F.col("length"))).alias("cell"))
+    fits = (F.col("file") == F.col("f")) & (F.col("at_cell") == F.col("cell")) & (F.col("o") <= F.col("offset")) & (F.col("offset") + F.col("length") <= F.col("o") + F.col("l"))
+    hit = spans.withColumn("at_cell", F.floor(F.col("offset") / CELL)).join(held, fits).groupBy("key").agg(F.min_by("node", F.struct("l", "node")).alias("node"))
     return spans.join(hit, "key", "left")
 
 
@@ -90,7 +100,9 @@ def import_findings(results: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     without any mapped element is unmapped, for one of three reasons. Results of one
     check on one node get ids ``check:node``, then ``check:node#1`` and on.
     """
-    rows = results.withColumn("key", F.xxhash64(F.to_json(F.struct(*results.columns))))
+    told = F.to_json(F.struct(*results.columns))
+    same = Window.partitionBy("_t").orderBy(F.lit(0))
+    rows = materialise(results.withColumn("_t", told).withColumn("key", F.concat_ws("#", F.sha2("_t", 256), F.row_number().over(same))).drop("_t"))
     each = rows.select("key", F.posexplode("elements").alias("pos", "e")).select(F.col("key").alias("result"), "pos", F.col("e.file").alias("path"), F.col("e.offset").alias("offset"), F.col("e.length").alias("length"))
     placed = each.join(match_paths(each.select("path").distinct(), nodes.select("file").distinct()), "path", "left")
     spans = placed.where("file is not null").select(F.struct("result", "pos").alias("key"), "file", "offset", "length")

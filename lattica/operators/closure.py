@@ -2,8 +2,8 @@
 
 A fixpoint is a driver loop of joins: the frontier meets the index, known nodes are
 taken out by an anti join, and each round's frontier is written down so that plans
-stay short. Where the whole index is small, one task walks it in memory instead;
-both ways give the same rows.
+stay short. The index is written once and counted; where it is small, one task walks
+it in memory instead, and both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ def traverse(index: DataFrame, origin: str, direction: str = "callees", depth: i
 
     ``via`` is a shortest route as an array of hops; of several, the least by hop ids.
     """
+    index = materialise(index)
     here, there = ("src", "dst") if direction == "callees" else ("dst", "src")
     hops = index.select(F.col(here).alias("at"), F.col(there).alias("id"), F.struct("src", "dst", "edge_id", "virtual").alias("hop"))
-    if index.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX:
+    if index.count() <= SMALL_INDEX:
         return _walk_small(hops, origin, depth)
     spark = index.sparkSession
     empty = F.array().cast("array<struct<src:string,dst:string,edge_id:string,virtual:boolean>>")
@@ -107,9 +108,9 @@ def call_path(index: DataFrame, start: str, end: str) -> list | None:
 
 def closure(pairs: DataFrame, arcs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(origin, id) closed over arcs (src, dst): semi-naive, each round joins only what the last one added."""
-    if arcs.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX and rounds is None:
-        return _closure_small(pairs, arcs)
     arcs = materialise(arcs.select("src", "dst").distinct())
+    if rounds is None and arcs.count() <= SMALL_INDEX:
+        return _closure_small(pairs, arcs)
     frontier = materialise(pairs.select("origin", "id").distinct())
     parts, n = [frontier], 0
     while not frontier.isEmpty() and (rounds is None or n < rounds):
@@ -128,9 +129,7 @@ def closure(pairs: DataFrame, arcs: DataFrame, rounds: int | None = None) -> Dat
 
 def _closure_small(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     """Origins are dealt out; each task walks the arcs, which fit its memory, for its own origins."""
-    tagged = arcs.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast([tuple(r) for r in tagged.collect()])
+    shared = pairs.sparkSession.sparkContext.broadcast([tuple(r) for r in arcs.select("src", "dst").collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = defaultdict(list)
@@ -154,10 +153,9 @@ def _closure_small(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
 def close_over_callers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): seeds and whatever reaches one over the static targets of calls edges."""
     arcs = edges.where("kind = 'calls'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).distinct()
-    frontier = seeds.select("id").distinct()
-    if arcs.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX:
+    arcs, frontier = materialise(arcs), materialise(seeds.select("id").distinct())
+    if arcs.count() <= SMALL_INDEX:
         return _reach_small(frontier, arcs)
-    arcs, frontier = materialise(arcs), materialise(frontier)
     parts = [frontier]
     while not frontier.isEmpty():
         known = parts[0]

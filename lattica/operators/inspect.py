@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, EXTERNAL_SUBKINDS, Graph
+from .audit import CELL, cells
 
 
 def externals(functions: DataFrame, unprotected: bool = False, payable: bool = False) -> DataFrame:
@@ -107,9 +108,9 @@ def nodes_in_file(nodes: DataFrame, file: str) -> DataFrame:
 def node_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """(file, at, id): the smallest node whose half-open span holds each point; of equal spans the deepest kind.
 
-    ``points`` has (file, at). File is an equi key, the span a residual condition.
+    ``points`` has (file, at). They meet by file and stretch of it, the span is a residual condition.
     """
     depth = F.when(F.col("kind") == "SourceUnit", 0).when(F.col("kind") == "Contract", 1).otherwise(2)
-    spans = nodes.where("src is not null").select(F.col("src.file").alias("file"), "id", F.col("src.offset").alias("o"), F.col("src.length").alias("l"), depth.alias("d"))
-    hit = points.join(spans, "file").where("at >= o and at < o + l")
+    spans = nodes.where("src is not null").select(F.col("src.file").alias("file"), "id", F.col("src.offset").alias("o"), F.col("src.length").alias("l"), depth.alias("d"), F.explode(cells(F.col("src.offset"), F.col("src.length"))).alias("cell"))
+    hit = points.withColumn("cell", F.floor(F.col("at") / CELL)).join(spans, ["file", "cell"]).where("at >= o and at < o + l")
     return hit.groupBy("file", "at").agg(F.min_by("id", F.struct("l", -F.col("d"), "id")).alias("id"))

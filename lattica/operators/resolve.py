@@ -8,6 +8,7 @@ candidates give several ambiguous drafts, none gives one to a placeholder.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -353,7 +354,17 @@ class Resolver:
 
     def drafts(self) -> DataFrame:
         """All drafts, numbered by file and place."""
-        every = union(*(materialise(part()) for part in (self.declares, self.inherits, self.overrides, self.modifiers, self.accesses, self.references, self.calls)))
-        order = self.units.select(F.col("file").alias("_f"), (F.row_number().over(Window.orderBy("file")) * (1 << 40)).alias("_base"))
-        numbered = every.withColumn("_f", F.col("site.file")).join(order, "_f").withColumn("seq", F.col("_base") + F.col("site.offset"))
+        parts = (self.declares, self.inherits, self.overrides, self.modifiers, self.accesses, self.references, self.calls)
+        with ThreadPoolExecutor(len(parts)) as pool:  # they only share tables that are written
+            every = union(*pool.map(lambda part: materialise(part()), parts))
+        numbered = every.withColumn("_f", F.col("site.file")).join(self._file_numbers(), "_f").withColumn("seq", F.shiftleft("_n", 31) + F.col("site.offset"))
         return materialise(conform(numbered, DRAFT))
+
+    def _file_numbers(self) -> DataFrame:
+        """(_f, _n): files numbered in order, by ranges of files and the counts of the ranges before."""
+        ranges = self.units.select(F.col("file").alias("_f")).repartitionByRange("_f").sortWithinPartitions("_f")
+        inside = F.monotonically_increasing_id()
+        rows = materialise(ranges.select("_f", F.shiftright(inside, 33).alias("_p"), inside.bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+        counts = rows.groupBy("_p").agg(F.count("*").alias("_c"))  # a row per range
+        before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").select("_f", (F.col("_b") + F.col("_i")).alias("_n"))

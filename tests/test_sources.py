@@ -104,7 +104,7 @@ def test_positions_are_bytes_and_utf16_columns():
 
 
 def test_pragmas():
-    for pragma, want in {"^0.8.20": "supported", ">=0.4.0": "supported", "<0.8.0": "best-effort", "^0.5.3": "best-effort", "0.4.24": "unsupported", ">=0.6.0 <0.9.0": "supported", "<0.8.5": "supported", "abicoder v2": "unknown"}.items():
+    for pragma, want in {"^0.8.20": "supported", ">=0.4.0": "supported", "<0.8.0": "best-effort", "^0.5.3": "best-effort", "0.4.24": "unsupported", ">=0.6.0 <0.9.0": "supported", "<0.8.5": "supported", "abicoder v2": "unknown", ">= 0.5.0<0.7.0": "best-effort", "^0.4.0 || ^0.8.0": "unsupported", "<=0.8": "supported", "~0.6.2": "best-effort", "<1.0.0": "supported", "=0.7.6": "best-effort", "^1.2.0": "supported"}.items():
         assert version.support_of(pragma) == want, pragma
     assert version.support_of(None) == "unknown"
 

@@ -25,7 +25,7 @@ ORDER = 5
 #: Code points: what a character never seen is shared among.
 ALPHABET = 0x110000
 #: N-grams of a shard of the table, which is in memory as a whole; n-grams that a task holds before it hands them on.
-SHARD, HELD = 1_000_000, 1_500_000
+SHARD, HELD = 1_000_000, 500_000
 #: A discount is never less, or unseen n-grams would be impossible.
 LEAST_DISCOUNT = 0.1
 _X = [f"x{i}" for i in range(1, ORDER + 1)]

@@ -112,8 +112,7 @@ def score(docs: DataFrame, models: list[list], base: list[float], which: str | N
                 for shard in parts:
                     bits, n[rows] = char_model.bits_of(own, shard.value)
                     cost[rows] += bits
-                    if len(parts) > 1:
-                        del shard._value  # read again from the executor's disk when its turn comes
+                    del shard._value  # read again from the executor's disk when its turn comes; an idle worker keeps none
                 cost[rows] += n[rows] * base[m]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost), pa.array(n)], [*batch.schema.names, "_cost", "_symbols"])
         ngrams.trim()

@@ -20,7 +20,7 @@ from .stargraph import GUARDS, Star
 from .storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORIGIN, SOURCE, TARGET = "f:42", "f:42", "v:14"
+ORIGIN, SOURCE, TARGET, CALLEE = "f:42", "f:42", "v:14", "f:133"
 
 
 def query(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
@@ -165,7 +165,7 @@ def writer_counts(g: Star) -> DataFrame:
 
 @query
 def callers_of_d1(g: Star) -> DataFrame:
-    return closure.traverse(closure.call_index(g.call_edges()), ORIGIN, "callers", 1).select("id", "depth")
+    return closure.traverse(closure.call_index(g.call_edges()), CALLEE, "callers", 1).select("id", "depth")
 
 
 @query

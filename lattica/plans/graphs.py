@@ -456,10 +456,10 @@ def revision(g: Star, later: bool) -> DataFrame:
     f = g.functions().where("subkind = 'function'").withColumn("file", F.concat(F.lit("s"), F.col("scope_k") % 5, F.lit(".src")))
     if later:
         f = f.where("k % 43 <> 0").withColumns({
-            "id": F.when(k % 37 == 0, F.concat("id", F.lit("r"))).when(k % 41 == 0, F.concat("id", F.lit("m"))).otherwise(F.col("id")),
+            "id": F.when(k % 37 == 0, F.concat("id", F.lit("r"))).when(k % 41 == 0, F.concat("id", F.lit("m"))).when(k % 53 == 0, F.concat("id", F.lit("s"))).otherwise(F.col("id")),
             "name": F.when(k % 37 == 0, F.concat("name", F.lit(" new"))).otherwise(F.col("name")),
             "scope": F.when((k % 37 != 0) & (k % 41 == 0), F.lit("c:0")).otherwise(F.col("scope")),
-            "body_hash": F.when((k % 47 == 0) & (k % 37 != 0) & (k % 41 != 0), F.md5(F.concat("body_hash", F.lit("x")))).otherwise(F.col("body_hash")),
+            "body_hash": F.when(((k % 47 == 0) | (k % 53 == 0)) & (k % 37 != 0) & (k % 41 != 0), F.md5(F.concat("body_hash", F.lit("x")))).otherwise(F.col("body_hash")),
         })
         new = g.functions().where("subkind = 'function' and k % 50 = 1").withColumn("file", F.lit("new.src")).withColumns({"id": F.concat("id", F.lit("n")), "name": F.concat("name", F.lit(" added")), "body_hash": F.lit("")})
         f = f.unionByName(new)

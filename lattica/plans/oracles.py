@@ -73,9 +73,9 @@ _EDGES = """SELECT from_id || '|' || to_id || '|' || kind || '|' || coalesce(sub
 _SPANS = "SELECT f.id, c.file, f.k * 100 AS o, 80 AS l FROM functions f JOIN contracts c ON c.id = f.scope"
 _FINDINGS = "SELECT DISTINCT s.file, l_partkey * 100 + l_linenumber * 12 AS \"offset\" FROM lineitem JOIN spans s ON s.id = 'f:' || l_partkey WHERE l_orderkey % 50 = 0"
 _BEFORE = "SELECT id, name, 's' || (scope_k % 5) || '.src' AS file, scope, visibility, state_mutability, has_body, body_hash, k FROM functions WHERE subkind = 'function'"
-_AFTER = """SELECT CASE WHEN k % 37 = 0 THEN id || 'r' WHEN k % 41 = 0 THEN id || 'm' ELSE id END AS id, CASE WHEN k % 37 = 0 THEN name || ' new' ELSE name END AS name, file,
+_AFTER = """SELECT CASE WHEN k % 37 = 0 THEN id || 'r' WHEN k % 41 = 0 THEN id || 'm' WHEN k % 53 = 0 THEN id || 's' ELSE id END AS id, CASE WHEN k % 37 = 0 THEN name || ' new' ELSE name END AS name, file,
   CASE WHEN k % 37 <> 0 AND k % 41 = 0 THEN 'c:0' ELSE scope END AS scope, visibility, state_mutability, has_body,
-  CASE WHEN k % 47 = 0 AND k % 37 <> 0 AND k % 41 <> 0 THEN md5(body_hash || 'x') ELSE body_hash END AS body_hash, k, false AS fresh FROM bef WHERE k % 43 <> 0
+  CASE WHEN (k % 47 = 0 OR k % 53 = 0) AND k % 37 <> 0 AND k % 41 <> 0 THEN md5(body_hash || 'x') ELSE body_hash END AS body_hash, k, false AS fresh FROM bef WHERE k % 43 <> 0
   UNION ALL SELECT id || 'n', name || ' added', 'new.src', scope, visibility, state_mutability, has_body, '', k, true FROM bef WHERE k % 50 = 1"""
 _REVIEWS = "SELECT id AS node, 'reviewed' AS status, body_hash FROM functions WHERE k % 10 = 0 UNION ALL SELECT 'gone:' || s_suppkey, 'flagged', 'x' FROM supplier WHERE s_suppkey % 7 = 0"
 _IMPORTED = "SELECT DISTINCT 'find:' || l_orderkey AS id, f.id AS nid, f.body_hash FROM lineitem JOIN functions f ON f.k = l_partkey WHERE l_orderkey % 50 = 0"
@@ -113,7 +113,7 @@ ORACLES = {
     "writers_of": after("aedges", "functions") + 'SELECT from_id AS "function", count, visibility FROM aedges JOIN functions f ON f.id = from_id WHERE to_id = \'v:14\' AND kind = \'writes\'',
     "readers_of": after("aedges", "functions") + 'SELECT from_id AS "function", count, visibility FROM aedges JOIN functions f ON f.id = from_id WHERE to_id = \'v:14\' AND kind = \'reads\'',
     "writer_counts": after("aedges") + "SELECT to_id, count(*) FILTER (kind = 'writes') AS writers, count(*) FILTER (kind = 'reads') AS readers, CAST(sum(count) AS BIGINT) AS sites FROM aedges GROUP BY to_id",
-    "callers_of_d1": after("hops") + "SELECT DISTINCT src AS id, 1 AS depth FROM hops WHERE dst = 'f:42' AND src <> 'f:42'",
+    "callers_of_d1": after("hops") + "SELECT DISTINCT src AS id, 1 AS depth FROM hops WHERE dst = 'f:133' AND src <> 'f:133'",
     "callees_of_d2": after("hops", more=_walk("down", 2)) + "SELECT id, min(depth) AS depth FROM walk_down WHERE id <> 'f:42' GROUP BY id",
     "reachable_from": after("calls", more={"h": "SELECT DISTINCT from_id, to_id FROM calls WHERE kind = 'calls' AND resolution <> 'unresolved'", "r": "SELECT 'f:42' AS id UNION SELECT h.to_id FROM r JOIN h ON h.from_id = r.id"}) + "SELECT id FROM r WHERE id <> 'f:42'",
     "shortest_path_depth": after("hops", more=_walk("down", 4)) + "SELECT id, min(depth) AS hops FROM walk_down WHERE id <> 'f:42' GROUP BY id",

@@ -20,7 +20,7 @@ from .stargraph import GUARDS, Star
 from .storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORIGIN, SOURCE, TARGET, CALLEE = "f:42", "f:42", "v:14", "f:133"
+ORIGIN, TARGET, CALLEE = "f:42", "v:14", "f:133"
 
 
 def query(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:

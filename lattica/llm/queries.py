@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding
+from . import chat, exact_dedup, fim, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding, spelling
 from .common import read_table as t
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "op8_kneser_ney": lambda s, d: quality.classify(t(s, d, "documents"), t(s, d, "labels")),
     "op9_ngram_jaccard": lambda s, d: ngram_join.jaccard_components(t(s, d, "documents")),
     "op10_line_frequency": lambda s, d: line_dedup.dedup_pages(t(s, d, "pages")),
+    "op11_anagram_hash": lambda s, d: spelling.spelling_variants(t(s, d, "documents")),
+    "op13_rope_fim": lambda s, d: fim.digests(t(s, d, "documents")),
 }
 
 #: A conversation whose texts hold the template's own control strings.

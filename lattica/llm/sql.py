@@ -78,4 +78,45 @@ o AS (SELECT page_id, host, l, list_filter(l, lambda x: NOT list_contains(coales
 SELECT page_id, host, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(m) AS BIGINT) AS n_dropped, array_to_string(m, chr(10)) AS text FROM o
 """
 
-ORACLES = {"op2_block_naming": OP2, "op3_prefix_target": OP3, "op7_hash_thresholds": OP7, "op9_ngram_jaccard": OP9, "op10_line_frequency": OP10}
+OP11 = r"""
+WITH RECURSIVE c(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')) AS x FROM documents
+), o AS (SELECT doc, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS m FROM r GROUP BY ALL),
+b AS (SELECT run, m, hex(encode(doc || ':' || run)) AS x FROM o),
+h AS (
+  SELECT run, m, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(len(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda acc, byte: xor(acc >> 8, t[CAST(xor(acc % 256, byte) + 1 AS BIGINT)])), 4294967295) AS h FROM b, crc
+), w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, m FROM h
+), n AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM n)),
+p AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM d x JOIN n y ON x.rest = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM d x JOIN n y ON x.rest = y.word
+), k AS (SELECT word, near, near_n, n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS i, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (
+  SELECT n.word, n.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n.n THEN near END AS form, CASE WHEN near_n >= 5 * n.n THEN near_n END AS form_n
+  FROM n LEFT JOIN k ON n.word = k.word AND k.i = 1
+), g(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT g.word, f.form, depth + 1 FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, n, CAST(n_near AS BIGINT) AS n_near, form, form_n, arg_max(root, depth) AS root FROM f JOIN g USING (word) GROUP BY ALL
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t
+), c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
+
+ORACLES = {"op2_block_naming": OP2, "op3_prefix_target": OP3, "op7_hash_thresholds": OP7, "op9_ngram_jaccard": OP9, "op10_line_frequency": OP10, "op11_anagram_hash": OP11, "op13_rope_fim": OP13}

@@ -120,7 +120,7 @@ def key_of_row() -> Column:
     return F.xxhash64("doc_id", text_or_empty()).alias("key")
 
 
-def incidence(docs: DataFrame, blocks: int) -> DataFrame:
+def incidence(docs: DataFrame, blocks: int, width: int = ngrams.WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -129,7 +129,7 @@ def incidence(docs: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             doc_ids = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for data, ends, row, rows in ngrams.chunks(batch.column(1)):
-                hashes, number = ngrams.shingles(*ngrams.word_hashes(data, ends))
+                hashes, number = ngrams.shingles(*ngrams.word_hashes(data, ends), width)
                 held.append((hashes, number + len(ids)))
                 ids += doc_ids[row : row + rows]
                 entries += len(hashes)
@@ -204,11 +204,11 @@ def _bounded(table: pa.Table) -> pa.Table:
     return done
 
 
-def bounded_rows(docs: DataFrame) -> DataFrame:
+def bounded_rows(docs: DataFrame, width: int = ngrams.WIDTH) -> DataFrame:
     """ROWS, materialised: each document's set size and fingerprint; if it can have partners, its shared entries and prefix."""
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     blocks = max(1, -(-size // (6 * BLOCK_ENTRIES)))
-    shared = incidence(docs, blocks).groupBy("block").applyInArrow(_shared, SHARED)
+    shared = incidence(docs, blocks, width).groupBy("block").applyInArrow(_shared, SHARED)
     return materialise(shared.groupBy("flush").applyInArrow(_bounded, ROWS))
 
 
@@ -352,9 +352,9 @@ def link_components(sets: DataFrame) -> DataFrame:
     return merged
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, width: int = ngrams.WIDTH) -> DataFrame:
     """doc_id, key, n, component_id: a row per document; ``key`` goes by doc_id and text."""
-    rows = bounded_rows(docs)
+    rows = bounded_rows(docs, width)
     keys = ["n", "f1", "f2"]
     classes = materialise(rows.where("n > 0").groupBy(*keys).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("cnt")))
     sets = materialise(rows.where("size(prefix) > 0").select("rid", "prefix", "shared").join(classes.select(F.col("rep").alias("rid"), "rep", "n"), "rid").drop("rid"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fim, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding, spelling
+from . import chat, exact_dedup, fim, hyperminhash, licenses, line_dedup, mixing, mpegts, ngram_join, packing, quality, sharding, spelling
 from .common import read_table as t
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_ngram_jaccard": lambda s, d: ngram_join.jaccard_components(t(s, d, "documents")),
     "op10_line_frequency": lambda s, d: line_dedup.dedup_pages(t(s, d, "pages")),
     "op11_anagram_hash": lambda s, d: spelling.spelling_variants(t(s, d, "documents")),
+    "op12_hyperminhash": lambda s, d: hyperminhash.near_duplicates(t(s, d, "documents")),
     "op13_rope_fim": lambda s, d: fim.digests(t(s, d, "documents")),
 }
 

@@ -105,6 +105,8 @@ f AS (
 SELECT f.word, n, CAST(n_near AS BIGINT) AS n_near, form, form_n, arg_max(root, depth) AS root FROM f JOIN g USING (word) GROUP BY ALL
 """
 
+OP12 = "SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM (" + OP9.replace("len(w) < 5", "len(w) < 4").replace("w[i:i + 4]", "w[i:i + 3]").replace("len(w) - 3", "len(w) - 2") + ")"
+
 OP13 = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
@@ -119,4 +121,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
 """
 
-ORACLES = {"op2_block_naming": OP2, "op3_prefix_target": OP3, "op7_hash_thresholds": OP7, "op9_ngram_jaccard": OP9, "op10_line_frequency": OP10, "op11_anagram_hash": OP11, "op13_rope_fim": OP13}
+ORACLES = {"op2_block_naming": OP2, "op3_prefix_target": OP3, "op7_hash_thresholds": OP7, "op9_ngram_jaccard": OP9, "op10_line_frequency": OP10, "op11_anagram_hash": OP11, "op12_hyperminhash": OP12, "op13_rope_fim": OP13}

@@ -95,23 +95,45 @@ def test_sharding_moves_only_within_the_subtree_that_changed(spark):
     assert 0 not in {r["s"] for r in place({0: 0.0}).collect()}
 
 
-def test_sharding_equals_plain_draws(spark, docs):
-    """Draws made again in Python, with seeds as chained hashes of columns have them."""
+def plain_shard(key, node):
+    """Descends with draws made again in Python, with seeds as chained hashes of columns have them; and the number of draws."""
     import struct
 
     import xxhash
 
+    draws = 0
+    while node.children:
+        best = []
+        for i, c in enumerate(c for c in node.children if c.load > 0):
+            seed = xxhash.xxh64_intdigest(c.name.encode(), 42)
+            h = seed if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed)
+            best.append((-math.log(((h >> 11) + 0.5) / 2**53) / c.load, i, c))
+        draws += len(best)
+        node = min(best)[2]
+    return node.shard, draws
+
+
+def test_sharding_descends_the_tree(spark):
     keys = [*range(300), -1, None]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for shards in (1, 3, 8, 16, 17, 29):
-        got = {r["k"]: (r["s"], r["t"]) for r in df.select("k", sharding.shard_of(F.col("k"), sharding.tree(shards, weights={1: 2.5})).alias("s"), sharding.shard_of(F.col("k"), sharding.tree(shards + 1, weights={1: 2.5})).alias("t")).collect()}
-        for k in keys:
-            draws = []
-            for i in range(shards + 1):
-                seed = xxhash.xxh64_intdigest(f"region{i // 8}/rack{i // 4 % 2}/shard{i}".encode(), 42)
-                h = seed if k is None else xxhash.xxh64_intdigest(struct.pack("<q", k), seed)
-                draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / (2.5 if i == 1 else 1.0), i))
-            assert got[k] == (min(draws[:-1])[1], min(draws)[1])
+    for shards in (1, 3, 8, 16, 17, 29, 64):
+        root = sharding.tree(shards, weights={1: 2.5, 2: 0.0})
+        if root.load:
+            got = {r["k"]: r["s"] for r in df.select("k", sharding.shard_of(F.col("k"), root).alias("s")).collect()}
+            assert got == {k: plain_shard(k, root)[0] for k in keys}
+    assert max(plain_shard(k, sharding.tree(64))[1] for k in keys) == 8 + 2 + 4  # a path, not all shards
+    flat = sharding.tree(16, racks_per_region=1, shards_per_rack=16)
+    assert any(plain_shard(k, flat)[0] != plain_shard(k, sharding.tree(16))[0] for k in keys)
+
+
+def test_added_shards_take_rows_only_into_themselves(spark):
+    ids = spark.range(2000).withColumnRenamed("id", "k")
+    for planned in (1, 3, 8, 16, 17, 29):
+        names = [f"s{n}" for n in range(planned, planned + 4)]
+        rows = ids.select(*(sharding.shard_of(F.col("k"), sharding.tree(n, planned=planned)).alias(f"s{n}") for n in range(planned, planned + 4))).collect()
+        for one, two, new in zip(names, names[1:], range(planned, planned + 3), strict=False):
+            moved = [r[two] for r in rows if r[one] != r[two]]
+            assert moved and set(moved) == {new}
 
 
 def water(sizes):

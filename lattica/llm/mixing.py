@@ -53,7 +53,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
             break
         width = 1 << shift
         inside = join_checked(rows, materialise(todo.drop("rest")), ["skey"], "inner").where((F.col("h") >= F.col("lo")) & (F.col("h") < F.col("lo") + width * (1 << STEP)))
-        buckets = inside.groupBy("skey", ((F.col("h") - F.col("lo")) / width).cast("long").alias("b") if shift < 52 else F.floor((F.col("h") - F.col("lo")) / width).alias("b"))
+        buckets = inside.groupBy("skey", F.shiftright(F.col("h") - F.col("lo"), shift).alias("b"))
         hist = buckets.agg(F.sum("size").alias("s"), F.min("h").alias("h0"), F.max("h").alias("h1"))
         ahead = F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         edge = hist.withColumn("ahead", ahead).join(todo, "skey").where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("s") >= F.col("rest")))

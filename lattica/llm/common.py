@@ -77,7 +77,7 @@ def join_skewed(left: DataFrame, right: DataFrame, on: list[str], count: str, to
     heavy = right.where(F.col(count) * HEAVY_SHARE > F.lit(total))
     first = left.join(F.broadcast(heavy.select(*on, *(F.col(c).alias(f"_h_{c}") for c in values))), on, "left")
     found = F.col(f"_h_{count}").isNotNull()
-    keys = [F.when(found, F.xxhash64(spread, F.lit(i))).otherwise(F.col(k)).alias(f"_k_{k}") for i, k in enumerate(on)]
+    keys = [F.when(found, F.xxhash64(spread, F.lit(i)).cast(left.schema[k].dataType)).otherwise(F.col(k)).alias(f"_k_{k}") for i, k in enumerate(on)]
     rest = right.where(F.col(count) * HEAVY_SHARE <= F.lit(total)).select(*(F.col(k).alias(f"_k_{k}") for k in on), *(F.col(c).alias(f"_r_{c}") for c in values))
     joined = first.select("*", *keys).join(rest, [f"_k_{k}" for k in on], "left")
     return joined.select(*left.columns, *(F.when(found, F.col(f"_h_{c}")).otherwise(F.col(f"_r_{c}")).alias(c) for c in values))

@@ -10,9 +10,10 @@ Registers are banded, ROWS at a time. Documents that share a band are candidates
 each is compared with its band's pivot first, linked ones are merged, and only what is
 then still in different components is paired. The share of equal registers, corrected
 for those that agree by chance (two minima with the same leading bits), estimates the
-similarity; pairs of FLOOR or more are confirmed on their full sets. Bands that stay
-large and mixed after several pivots, as those of a passage that very many documents
-are mostly made of, are not multiplied out: their rows go through the exact n-gram join.
+similarity; pairs of FLOOR or more are confirmed on their full sets. A band of more than
+SMALL documents that its pivot leaves mixed, as that of a passage that very many are
+mostly made of, is not multiplied out: its rows go through the exact n-gram join, by
+their rarest shingles.
 
 A pair at the threshold shares no band in (1 - 0.8 ** ROWS) ** BANDS of cases, about
 1e-11, and is estimated below FLOOR still more rarely; texts of a few words, whose
@@ -40,8 +41,8 @@ BUCKETS = ROWS * BANDS
 MANTISSA = 10
 #: Estimated similarity below which a candidate is not looked at.
 FLOOR = 0.4
-#: Pairs of a mixed band are made when they are no more than CROSS times the rows of all; else a pivot more is tried, ROUNDS times at most.
-CROSS, ROUNDS = 50, 3
+#: Rows of a band of more, if its pivot leaves it mixed, go through the exact join.
+SMALL = 16
 
 SKETCH = "doc_id long, key long, n long, f1 long, f2 long, registers binary"
 PAIRS = "a long, b long, n long, n2 long"
@@ -204,58 +205,37 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), own)).alias("h")).select("h", "rep", "n")
 
 
-def _size_class(n: str):
-    """Sets that can be linked are in one class or in two that follow one another."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-
-
-def link_components(docs: DataFrame, reps: DataFrame, width: int, cross: int = CROSS, rounds: int = ROUNDS) -> DataFrame:
-    """(node, label) of linked classes (rep, doc_id, key, n, registers), materialised."""
+def link_components(docs: DataFrame, reps: DataFrame, width: int, small: int = SMALL) -> DataFrame:
+    """(node, label) of linked classes (rep, key, n, registers), materialised."""
     links = _Links(docs, reps, width)
-    pivot = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n2"))).alias("p")
     entries = bands(reps)
-    shared = entries.groupBy("h").agg(F.count("*").alias("m"), pivot(0)).where("m > 1").select("h", "p.a", "p.n2")
+    pivot = F.min(F.struct(F.xxhash64("rep").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n2"))).alias("p")
+    shared = entries.groupBy("h").agg(F.count("*").alias("m"), pivot).where("m > 1").select("h", "p.a", "p.n2")
     entries = materialise(entries.join(shared, "h"))
-    star = lambda rows: rows.select("a", F.col("rep").alias("b"), F.col("n2").alias("n"), F.col("n").alias("n2"))
-    merged = materialise(components(links.among(star(entries))))
-    entries = entries.select("h", "rep", "n")
-    total = entries.count()
-    for i in range(1, rounds + 1):
-        named = materialise(entries.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label")))
-        parts = named.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-        parts = materialise(parts.select("h", "m", F.col("top.c").alias("c"), F.col("top.label").alias("most")).where("c < m"))
-        cost = parts.agg(F.sum((F.col("m") - F.col("c")) * F.col("m"))).first()[0]
-        if not cost:
-            return merged
-        inside = named.join(parts.select("h", "most"), "h")
-        rest = inside.where("label != most")
-        last = cost <= cross * total
-        if last:
-            near = rest.withColumn("k", F.explode(F.array(*(_size_class("n") + d for d in (-1, 0, 1)))))
-            other = named.select("h", F.col("rep").alias("a"), F.col("n").alias("n2"), F.col("label").alias("label2"), _size_class("n").alias("k"))
-            tried = near.join(other, ["h", "k"]).where("label != label2")
-            tried = tried.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("rep"), F.when(F.col("a") < F.col("rep"), F.col("n2")).otherwise(F.col("n")).alias("n2"), F.when(F.col("a") < F.col("rep"), F.col("n")).otherwise(F.col("n2")).alias("n"))
-        else:
-            chosen = inside.where("label = most").groupBy("h").agg(pivot(i)).select("h", "p.a", "p.n2")
-            tried = rest.join(chosen, "h")
-        found = links.among(star(tried))
-        merged = materialise(components(merged.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)))
-        if last:
-            return merged
-    mixed = parts.select("h").join(named, "h").select("rep").distinct()
-    wanted = materialise(reps.select("rep", "key").join(mixed, "rep"))
-    rows = join_checked(docs.select(key_of_row(), "text"), wanted, ["key"], "inner").select(F.col("rep").alias("doc_id"), "text")
-    found = exactly(rows, width).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    star = entries.select("a", F.col("rep").alias("b"), F.col("n2").alias("n"), F.col("n").alias("n2"))
+    merged = materialise(components(links.among(star)))
+    named = materialise(entries.select("h", "rep", "n").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    mixed = materialise(named.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("h", "m"))
+    first = named.join(mixed.where(F.col("m") <= small).select("h"), "h")
+    second = first.select("h", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    across = first.withColumnRenamed("rep", "a").join(second, "h").where("a < b and label != label2")
+    found = links.among(across.select("a", "b", "n", "n2"))
+    large = named.join(mixed.where(F.col("m") > small).select("h"), "h").select("rep").distinct()
+    wanted = materialise(reps.select("rep", "key").join(large, "rep"))
+    if not wanted.isEmpty():
+        rows = join_checked(docs.select(key_of_row(), "text"), wanted, ["key"], "inner").select(F.col("rep").alias("doc_id"), "text")
+        exact = exactly(rows, width).where("doc_id != component_id")
+        found = found.unionByName(exact.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     return materialise(components(merged.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)))
 
 
-def labelled(docs: DataFrame, width: int = WIDTH, cross: int = CROSS, rounds: int = ROUNDS) -> DataFrame:
+def labelled(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     """doc_id, n, component_id: a row per document."""
     rows = materialise(sketches(docs, width).withColumn("rid", F.monotonically_increasing_id()))
     prints = ["n", "f1", "f2"]
     classes = materialise(rows.where("n > 0").groupBy(*prints).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("cnt")))
     reps = materialise(rows.select(F.col("rid").alias("rep"), "key", "n", "registers").join(classes.select("rep"), "rep"))
-    merged = link_components(docs, reps, width, cross, rounds)
+    merged = link_components(docs, reps, width, small)
     named = merged.join(classes.select(F.col("rep").alias("node"), "first"), "node")
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     found = named.join(least, "label").select(F.col("node").alias("rep"), "component")

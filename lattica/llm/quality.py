@@ -1,132 +1,41 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is of characters as they are (see char_model): its table has every n-gram
-of the trusted documents and grows with them. It is made in shards by n-gram, and
-each shard is joined to every document's n-grams and summed per document. A
+of the trusted documents and grows with them. It lies in parts by n-gram; documents'
+n-grams are counted and joined to the parts, and their costs summed per document. A
 document's perplexity is held against a quantile of its language's trusted documents.
-
-The model of byte classes below (_positions, costs) is a plain array version of the
-same formula, which tests hold against a brute-force one; the classifier does not use it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import char_model, ngrams
-from .common import join_checked, limit_batches, materialise
+from . import char_model
+from .common import join_checked, materialise, text_or_empty
 
-ORDER, ALPHABET = 4, 40
-CELLS = ALPHABET**ORDER
 #: Halves of the trusted documents, each scored by a model of the other.
 FOLDS = 2
-#: A discount is never less, or unseen n-grams would be impossible.
-LEAST_DISCOUNT = 0.1
 #: Share of a language's trusted documents that stay below its threshold, and a margin in bits above it.
 QUANTILE, MARGIN = 0.995, 0.05
 #: A document's cost is averaged with so many symbols of the trusted mean; a language's threshold with that of all languages, as if so many of its trusted documents had it.
 PRIOR_SYMBOLS, PRIOR_DOCUMENTS = 40, 30
 
 
-def _classes() -> np.ndarray:
-    table = np.full(256, 35, np.int32)
-    table[97:123] = np.arange(1, 27)
-    table[65:91], table[48:58] = 27, 28
-    for code, chars in ((29, " \t\r\x0b\x0c"), (30, "\n"), (31, "."), (32, ","), (33, "!?"), (34, "|"), (36, "#$%&*@^~+=<>\\/_")):
-        table[list(map(ord, chars))] = code
-    table[192:] = 37
-    table[128:192] = 38 + np.arange(64) % 2
-    return table
-
-
-_CLASS = _classes()
-
-
-def _positions(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte; texts are led by ORDER - 1 symbols 0."""
-    lead = ORDER - 1
-    lengths = np.diff(ends, prepend=0)
-    place = np.arange(len(data)) + np.repeat(np.arange(1, len(ends) + 1) * lead, lengths)
-    symbols = np.zeros(len(data) + lead * len(ends), np.int32)
-    symbols[place] = _CLASS[data]
-    gram = np.zeros(len(data), np.int32)
-    for back in range(lead, -1, -1):
-        gram = gram * ALPHABET + symbols[place - back]
-    return gram
-
-
-def costs(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """-log2 of each symbol given the ORDER - 1 before it, for all cells: interpolated modified Kneser-Ney.
-
-    Below the highest order an n-gram counts the symbols seen before it. Each order
-    has its discounts for counts of 1, 2 and more from its counts of counts.
-    """
-    table = np.zeros(CELLS, np.float64)
-    table[grams] = counts
-    orders = [table]
-    for k in range(ORDER - 1, 0, -1):
-        orders.append((orders[-1].reshape(ALPHABET, ALPHABET**k) > 0).sum(0).astype(np.float64))
-    p = np.full(1, 1 / ALPHABET)
-    for c in reversed(orders):
-        n1, n2, n3, n4 = ((c == i).sum() for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [0.0, *(min(max(i - (i + 1) * y * more / less, LEAST_DISCOUNT), i) if less else 0.5 for i, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        discount = np.asarray(d)[np.minimum(c, 3).astype(int)]
-        by = c.reshape(-1, ALPHABET)
-        total = by.sum(1, keepdims=True)
-        kept = np.minimum(discount, c).reshape(-1, ALPHABET).sum(1, keepdims=True)
-        # p has the lower order's values for the context without its first symbol.
-        lower = np.tile(p.reshape(-1, ALPHABET), (len(by) // max(1, len(p) // ALPHABET), 1)) if len(p) > 1 else np.full_like(by, p[0])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = (np.maximum(by - discount.reshape(-1, ALPHABET), 0) + kept * lower) / total
-        p = np.where(total > 0, seen, lower).reshape(-1)
-    return -np.log2(p)
-
-
-def score(docs: DataFrame, models: list[list], base: list[float], which: str | None = None) -> DataFrame:
-    """``docs`` with _cost and _symbols: the bits of a text and its characters.
-
-    A model is a list of broadcast shards, one of which is in memory at a time.
-    ``which`` names a column with the number of the model; else there is one.
-    """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_cost", T.DoubleType()), T.StructField("_symbols", T.LongType())])
-    at, by = docs.columns.index("text"), docs.columns.index(which) if which else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cost, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            use = np.zeros(batch.num_rows, np.int64) if by is None else batch.column(by).to_numpy()
-            text = batch.column(at).fill_null("")
-            for m, parts in enumerate(models):
-                rows = np.flatnonzero(use == m)
-                if not len(rows):
-                    continue
-                own = text if len(rows) == len(text) else text.take(pa.array(rows))
-                for shard in parts:
-                    bits, n[rows] = char_model.bits_of(own, shard.value)
-                    cost[rows] += bits
-                    del shard._value  # read again from the executor's disk when its turn comes; an idle worker keeps none
-                cost[rows] += n[rows] * base[m]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost), pa.array(n)], [*batch.schema.names, "_cost", "_symbols"])
-        ngrams.trim()
-
-    limit_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return materialise(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct())
 
 
+def _keys() -> list[Column]:
+    """128 bits that tell rows of other doc_id, lang or text apart."""
+    own = [x for c in ("doc_id", "lang", "text") for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(i), *own).alias(f"_k{i}") for i in (0, 1)]
+
+
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``docs`` with _bits and _limit; a document is rejected if its _bits exceed its _limit.
+    """doc_id, _k0, _k1, _bits, _limit of (doc_id, lang, text); a document is rejected if its _bits exceed its _limit.
 
     All trusted documents give counts. For the quantiles each is scored by a model of
     the other half of them, so that a small corpus is not taken at its own word. A
@@ -140,37 +49,44 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     known = join_checked(docs.select("doc_id", "lang", "text"), trusted.withColumnRenamed("_trusted", "doc_id"), ["doc_id"], "left_semi").withColumn("fold", half)
     counts = materialise(char_model.count_ngrams(known))
     if counts.isEmpty():
-        return docs.withColumns({"_bits": F.lit(0.0), "_limit": F.lit(math.inf)})
+        return docs.select("doc_id", *_keys(), F.lit(0.0).alias("_bits"), F.lit(math.inf).alias("_limit"))
     every = counts.drop("fold").groupBy(*(c for c in counts.columns if c not in ("fold", "n"))).agg(F.sum("n").alias("n"))
     table, base = char_model.build(materialise(counts.withColumn("model", 1 - F.col("fold")).drop("fold").unionByName(every.withColumn("model", F.lit(FOLDS)))))
-    shards = {m: char_model.shards(table, m) for m in base}
-    own = [m if m in base else FOLDS for m in range(FOLDS)]
-    known = score(known.select("lang", "text", "fold"), [shards[m] for m in own], [base[m] for m in own], "fold")
+    own = F.when(half.isin([m for m in range(FOLDS) if m in base]), half).otherwise(FOLDS)
+    marked = join_checked(docs, trusted.withColumn("_is", F.lit(True)).withColumnRenamed("_trusted", "doc_id"), ["doc_id"], "left")
     lang = F.coalesce(F.concat(F.lit("L"), "lang"), F.lit("n"))
-    marked = materialise(known.select(lang.alias("_lang"), "_cost", "_symbols"))
-    mean = marked.agg(F.sum("_cost") / F.sum("_symbols")).first()[0]
-    smoothed = (F.col("_cost") + PRIOR_SYMBOLS * mean) / (F.col("_symbols") + PRIOR_SYMBOLS)
-    counted = materialise(marked.groupBy("_lang", F.round(smoothed, 3).alias("_bits")).agg(F.count("*").alias("_n")))
+    rows = marked.select("doc_id", *_keys(), lang.alias("_lang"), text_or_empty().alias("text"), F.lit(FOLDS).alias("_every"), F.when(F.col("_is"), own).alias("_half"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    scored = materialise(char_model.scored(rows, table, base, ["_every", "_half"], size))
+    told = scored.where("_half is not null")
+    mean = told.agg(F.sum("_bits1") / F.sum("_symbols")).first()[0]
+    if mean is None:  # no trusted document has any text
+        return docs.select("doc_id", *_keys(), F.lit(0.0).alias("_bits"), F.lit(math.inf).alias("_limit"))
+    smoothed = lambda c: F.round((F.col(c) + PRIOR_SYMBOLS * mean) / (F.col("_symbols") + PRIOR_SYMBOLS), 3).alias("_bits")
+    counted = materialise(told.groupBy("_lang", smoothed("_bits1")).agg(F.count("*").alias("_n")))
     cut = F.percentile("_bits", F.lit(quantile), F.col("_n")) + margin
     limit = counted.agg(cut.alias("c")).first()["c"]
     drawn = (F.col("_n") * F.col("_own") + F.lit(PRIOR_DOCUMENTS * limit)) / (F.col("_n") + PRIOR_DOCUMENTS)
     limits = materialise(counted.groupBy("_lang").agg(cut.alias("_own"), F.sum("_n").alias("_n")).select("_lang", drawn.alias("_limit")))
-    scored = score(docs, [shards[FOLDS]], [base[FOLDS]]).withColumns({"_bits": F.round(smoothed, 3), "_lang": lang}).drop("_cost", "_symbols")
-    return join_checked(scored, limits, ["_lang"], "left").withColumn("_limit", F.coalesce("_limit", F.lit(math.inf))).drop("_lang")
+    out = scored.select("doc_id", "_k0", "_k1", "_lang", smoothed("_bits0"))
+    return join_checked(out, limits, ["_lang"], "left").select("doc_id", "_k0", "_k1", "_bits", F.coalesce("_limit", F.lit(math.inf)).alias("_limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, perplexity, threshold, keep: a row per document.
 
-    A null or empty text has the trusted mean and is kept, a long one is scored whole.
-    Repeated rows are judged alike, each of them. Labels without doc_id, or of documents
-    that are not there, say nothing; further columns are ignored.
+    A null or empty text has the trusted mean and is kept, a long one is scored whole. A
+    document at its threshold is kept. Repeated rows are judged alike, each of them. Labels
+    without doc_id, or of documents that are not there, say nothing; further columns are
+    ignored; no rows give no rows.
     """
     out = judged(docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")), labels, quantile, margin)
     return out.select("doc_id", F.pow(F.lit(2.0), "_bits").alias("perplexity"), F.pow(F.lit(2.0), "_limit").alias("threshold"), (F.col("_bits") <= F.col("_limit")).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``docs`` without those that the classifier rejects (see classify), all columns as they were, whatever their names."""
+    """``docs`` without those that the classifier rejects (see classify), all columns as they were, whatever their names; texts are not shuffled."""
     inside = docs.toDF(*(c if c in ("doc_id", "lang", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
-    return judged(inside, labels, quantile, margin).where("_bits <= _limit").select(*inside.columns).toDF(*docs.columns)
+    bad = materialise(judged(inside.select("doc_id", "lang", F.col("text").cast("string").alias("text")), labels, quantile, margin).where("_bits > _limit").select("_k0", "_k1").distinct())
+    kept = join_checked(inside.withColumns({f"_k{i}": k for i, k in enumerate(_keys())}), bad, ["_k0", "_k1"], "left_anti")
+    return kept.select(*inside.columns).toDF(*docs.columns)

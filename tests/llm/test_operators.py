@@ -496,41 +496,6 @@ def test_line_dedup_of_documents_removes_passages_of_a_large_source(spark):
     assert all(len(out[3000 + i]) == 3 for i in range(4))
 
 
-def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
-    import numpy as np
-
-    text = b"the cat sat. The hat!! 12 | xyz\n" * 3 + b"a different line, with words"
-    grams = quality._positions(np.frombuffer(text, np.uint8), np.array([len(text)]))
-    seen, n = np.unique(grams, return_counts=True)
-    p = 2.0 ** -quality.costs(seen, n)
-    assert np.allclose(p.reshape(-1, quality.ALPHABET).sum(1), 1)
-    a = quality.ALPHABET
-    counts = [{tuple(int(g) // a ** (quality.ORDER - 1 - i) % a for i in range(quality.ORDER)): int(c) for g, c in zip(seen, n, strict=True)}]
-    for _ in range(quality.ORDER - 1):
-        counts.append(Counter(g[1:] for g in counts[-1]))
-
-    def prob(gram, level):
-        if level == quality.ORDER:
-            return 1 / a
-        c = counts[level]
-        of = Counter(c.values())
-        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
-        d = [0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.1), i) if of[i] else 0.5 for i in (1, 2, 3)]
-        same = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
-        total = sum(same.values())
-        lower = prob(gram[1:], level + 1)
-        if not total:
-            return lower
-        kept = sum(min(d[min(v, 3)], v) for v in same.values())
-        own = c.get(gram, 0)
-        return (max(own - d[min(own, 3)], 0) + kept * lower) / total
-
-    rng = random.Random(1)
-    for g in [*rng.sample(list(counts[0]), 10), *(tuple(rng.randrange(a) for _ in range(4)) for _ in range(10)), (1, 2, 3, 4)]:
-        code = sum(x * a ** (3 - i) for i, x in enumerate(g))
-        assert abs(p[code] - prob(g, 0)) < 1e-9
-
-
 def test_character_model_in_shards_matches_a_plain_version(spark, monkeypatch):
     import pyarrow as pa
 
@@ -552,14 +517,22 @@ def test_character_model_in_shards_matches_a_plain_version(spark, monkeypatch):
         return (max(own - d[min(own, 3)], 0) + sum(min(d[min(v, 3)], v) for v in same) * lower) / sum(same) if same else lower
 
     table, base = char_model.build(counts.drop("fold").selectExpr("2 AS model", "*"))
-    monkeypatch.setattr(char_model, "SHARD", 60)
-    parts = char_model.shards(table, 2)
-    assert len(parts) > 2
-    asked = ["the cat", "кот", "THE!", "x", "", "спит. Line"]
-    got = sum(char_model.bits_of(pa.array(asked), p.value)[0] for p in parts)
-    for t, bits in zip(asked, got, strict=True):
-        x = [0] * (order - 1) + list(map(ord, t))
-        assert abs(bits + len(t) * base[2] + sum(math.log2(prob(tuple(x[i : i + order]))) for i in range(len(t)))) < 1e-3
+    asked = ["the cat", "кот", "THE!", "x", "", "спит. Line", "the cat", "ab" * 3000]
+    want = [-sum(math.log2(prob(tuple(x[i : i + order]))) for x in [[0] * (order - 1) + list(map(ord, t))] for i in range(len(t))) for t in asked]
+    df = spark.createDataFrame([(i, t, 2, 2 if i % 2 else None) for i, t in enumerate(asked)], "i int, text string, m int, m2 int").repartition(3)
+    monkeypatch.setattr(char_model, "AT_ONCE", 7)
+    monkeypatch.setattr(char_model, "PER_COPY", 2000)
+    outs = []
+    for shard, ask, sample, most in ((60, 5, 100, 50), (10**6, 10**6, 100, 10**6), (60, 10**6, 0, 0)):
+        monkeypatch.setattr(char_model, "SHARD", shard)
+        monkeypatch.setattr(char_model, "ASK", ask)
+        got = {r["i"]: r for r in char_model.scored(df, table, base, ["m", "m2"], 0, sample, most).collect()}
+        assert sorted(got) == list(range(len(asked)))
+        for i, (t, bits) in enumerate(zip(asked, want, strict=True)):
+            assert abs(got[i]["_bits0"] - bits) < 1e-4 * (len(t) + 1) and got[i]["_symbols"] == len(t)
+            assert got[i]["_bits1"] == (got[i]["_bits0"] if i % 2 else None)
+        outs.append({i: r["_bits0"] for i, r in got.items()})
+    assert outs[0] == outs[1] == outs[2]
 
 
 def test_classifier_tells_gibberish_from_prose_beyond_ascii(spark):

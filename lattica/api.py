@@ -176,9 +176,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
 
     def show(df: DataFrame) -> int:
-        rows = [x.asDict(True) for x in df.limit(10_000).collect()]
-        print(json.dumps(rows, indent=2, default=str) if a.json else "\n".join("\t".join(str(v) for v in x.values()) for x in rows))
-        return int(bool(rows))
+        """Prints every row as it comes, a partition in memory at a time."""
+        some = False
+        for row in df.toLocalIterator():
+            x = row.asDict(True)
+            if a.json:
+                print("," if some else "[", json.dumps(x, default=str))
+            else:
+                print("\t".join(str(v) for v in x.values()))
+            some = True
+        if a.json:
+            print("]" if some else "[]")
+        return int(some)
 
     try:
         if a.command == "build":

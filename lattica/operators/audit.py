@@ -84,39 +84,54 @@ def containing(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     return spans.join(hit, "key", "left")
 
 
+def _suffixes(path: Column) -> Column:
+    """What stands behind each ``/`` of a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def match_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, file): a file of that path, else one of which either is a suffix at a ``/``; the shortest, then least."""
+    """(path, file): a file of that path, else one of which either is a suffix at a ``/``; of several the one that shares most, then the least.
+
+    Either side's suffixes are joined by equality, so files of one name meet only where they fit.
+    """
     exact = paths.join(files, paths["path"] == files["file"]).select("path", "file")
-    rest = paths.join(exact.select("path"), "path", "left_anti").withColumn("base", F.substring_index("path", "/", -1))
-    near = rest.join(files.withColumn("base", F.substring_index("file", "/", -1)), "base").where(F.col("path").endswith(F.concat(F.lit("/"), "file")) | F.col("file").endswith(F.concat(F.lit("/"), "path")))
-    best = near.groupBy("path").agg(F.min_by("file", F.struct(F.length("file"), "file")).alias("file"))
+    rest = materialise(paths.join(exact.select("path"), "path", "left_anti"))
+    inside = rest.select("path", F.explode(_suffixes(F.col("path"))).alias("file")).where("file <> ''").join(files.select("file"), "file").select("path", "file")
+    around = files.select("file", F.explode(_suffixes(F.col("file"))).alias("path")).join(rest, "path").select("path", "file")
+    shared = F.least(F.length("file"), F.length("path"))
+    best = inside.unionByName(around).groupBy("path").agg(F.min_by("file", F.struct(-shared, "file")).alias("file"))
     return exact.unionByName(best)
 
 
 def import_findings(results: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, unmapped) of scanner results (check, impact, confidence, description, elements).
-
-    Elements (file, offset, length) map to the smallest node containing them. A result
-    without any mapped element is unmapped, for one of three reasons. Results of one
-    check on one node get ids ``check:node``, then ``check:node#1`` and on.
+    """(findings, unmapped) of scanner results (seq, check, impact, confidence, description, elements).
+
+    ``seq`` is a result's place in its report. An element (paths, offset, length) has up to
+    three spellings of its file, of which the first that is a file's path counts, else the
+    first that fits one by suffix. It maps to the smallest node containing it; all places
+    are kept, those of unknown files under the first spelling. A result is named
+    ``check@file:offset`` by its first place, later ones of that name get ``#1`` and on. One
+    without any mapped element is unmapped, for one of three reasons.
     """
-    told = F.to_json(F.struct(*results.columns))
-    same = Window.partitionBy("_t").orderBy(F.lit(0))
-    rows = materialise(results.withColumn("_t", told).withColumn("key", F.concat_ws("#", F.sha2("_t", 256), F.row_number().over(same))).drop("_t"))
-    each = rows.select("key", F.posexplode("elements").alias("pos", "e")).select(F.col("key").alias("result"), "pos", F.col("e.file").alias("path"), F.col("e.offset").alias("offset"), F.col("e.length").alias("length"))
-    placed = each.join(match_paths(each.select("path").distinct(), nodes.select("file").distinct()), "path", "left")
-    spans = placed.where("file is not null").select(F.struct("result", "pos").alias("key"), "file", "offset", "length")
-    hit = containing(spans, nodes).where("node is not null").select(F.col("key.result").alias("key"), F.col("key.pos").alias("pos"), "node", "file", "offset", "length")
+    rows = materialise(results.select("seq", F.coalesce("check", F.lit("unknown")).alias("check"), F.coalesce("impact", F.lit("Unknown")).alias("impact"), F.coalesce("confidence", F.lit("Unknown")).alias("confidence"), F.trim(F.coalesce("description", F.lit(""))).alias("description"), "elements"))
+    each = rows.select("seq", F.posexplode("elements").alias("pos", "e")).where("e.offset is not null").select("seq", "pos", "e.paths", "e.offset", F.coalesce("e.length", F.lit(0).cast("long")).alias("length"))
+    each = materialise(each.withColumn("paths", F.filter("paths", lambda p: p.isNotNull() & (p != ""))))
+    said = each.select("seq", "pos", F.posexplode("paths").alias("i", "path"))
+    files = nodes.select("file").distinct()
+    known = materialise(match_paths(said.select("path").distinct(), files))
+    order = F.struct(F.when(F.col("path") == F.col("file"), 0).otherwise(1), "i")
+    held = said.join(known, "path").groupBy("seq", "pos").agg(F.min_by("file", order).alias("file"))
+    placed = materialise(each.join(held, ["seq", "pos"], "left").withColumn("at", F.coalesce("file", F.get("paths", F.lit(0)), F.lit(""))))
+    hit = containing(placed.where("file is not null").select(F.struct("seq", "pos").alias("key"), "file", "offset", "length"), nodes).where("node is not null").select("key.seq", "node")
     hashes = nodes.select(F.col("id").alias("node"), F.coalesce("body_hash", F.lit("")).alias("body_hash"))
-    by = hit.join(hashes, "node").groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("node").alias("id"), "body_hash").alias("n")))), lambda x: x["n"]).alias("ns"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("file", "offset", "length").alias("l")))), lambda x: x["l"]).alias("locations"),
-    )
-    found = rows.join(by, "key").withColumn("nodes", F.array_distinct("ns"))
-    base = F.concat("check", F.lit(":"), F.col("nodes")[0]["id"])
-    n = F.row_number().over(Window.partitionBy(base).orderBy("key")) - 1
-    named = found.withColumn("id", F.when(n == 0, base).otherwise(F.concat(base, F.lit("#"), n)))
-    files = placed.groupBy(F.col("result").alias("key")).agg(F.count_if(F.col("file").isNotNull()).alias("files"), F.count("*").alias("elements_n"))
-    why = F.when(F.coalesce("elements_n", F.lit(0)) == 0, "no source elements").when(F.col("files") == 0, "no file of the graph").otherwise("no node contains it")
-    lost = rows.join(by.select("key"), "key", "left_anti").join(files, "key", "left").select("check", "description", why.alias("reason"))
-    return named.select("id", "check", "impact", "confidence", "description", "nodes", "locations").orderBy("id"), lost
+    by = hit.distinct().join(hashes, "node").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("id"), "body_hash"))).alias("nodes"))
+    place = F.struct(F.col("at").alias("file"), "offset", "length")
+    places = placed.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("l")))), lambda x: x["l"]).alias("locations"))
+    first = F.col("locations")[0]
+    found = rows.join(by, "seq").join(places, "seq").withColumn("base", F.concat("check", F.lit("@"), first["file"], F.lit(":"), first["offset"]))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("seq")) - 1
+    named = found.withColumn("id", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("#"), n)))
+    why = F.when(F.coalesce(F.size("elements"), F.lit(0)) <= 0, "the finding names no source element").when(F.col("locations").isNull(), "no element carries a source mapping").otherwise("no node contains any of its places")
+    lost = rows.join(by.select("seq"), "seq", "left_anti").join(places, "seq", "left").select("check", "description", why.alias("reason"))
+    return named.select("id", "check", "impact", "confidence", "description", "nodes", "locations"), lost

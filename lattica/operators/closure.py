@@ -19,7 +19,7 @@ from ..plans.storage import materialise
 from ..schema import CALL_KINDS, EXTERNAL_SUBKINDS
 
 #: Up to so many index rows a closure runs in one task.
-SMALL_INDEX = 1_000_000
+SMALL_INDEX = 50_000
 
 
 def call_index(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

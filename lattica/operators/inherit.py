@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,40 +22,60 @@ def ancestors(inherits: DataFrame) -> DataFrame:
 
 
 def merge(sequences: list[list[str]]) -> list[str] | None:
-    """The C3 merge of linear orders; None where they contradict each other."""
+    """The C3 merge of linear orders, in steps of their number; None where they contradict each other."""
     rest, out = [s for s in sequences if s], []
-    while rest:
-        later = {x for s in rest for x in s[1:]}
-        head = next((s[0] for s in rest if s[0] not in later), None)
+    at = [0] * len(rest)
+    later = Counter(x for s in rest for x in s[1:])  # how often each stands behind a head
+    while live := [i for i, s in enumerate(rest) if at[i] < len(s)]:
+        head = next((rest[i][at[i]] for i in live if not later[rest[i][at[i]]]), None)
         if head is None:
             return None
         out.append(head)
-        rest = [t for s in rest if (t := s[1:] if s[0] == head else s)]
+        for i in live:
+            if rest[i][at[i]] == head:
+                at[i] += 1
+                if at[i] < len(rest[i]):
+                    later[rest[i][at[i]]] -= 1
     return out
 
 
-def linear_order(node: str, bases: dict[str, list[str]], done: dict[str, tuple[list[str], str]], open_: tuple[str, ...] = ()) -> tuple[list[str], str]:
+def linear_order(node: str, bases: dict[str, list[str]]) -> tuple[list[str], str]:
     """(order, certainty): most derived first, bases from right to left.
 
-    A circle is cut where it closes. Where no consistent order exists, bases are
-    walked in depth and each kept where it is met first; that order is ambiguous.
+    A circle is cut where it closes: a base that is being worked on is left out. Where no
+    consistent order exists, bases are walked in depth and each kept where it is met
+    first; that order is ambiguous. Each contract is worked on once, and open ones lie on
+    a list, so chains may be of any length.
     """
-    if node in done:
-        return done[node]
-    if node in open_:
-        return [node], "ambiguous"
-    right = [b for b in reversed(bases.get(node, [])) if b not in open_ and b != node]
-    cut = len(right) != len(bases.get(node, []))
-    parts = [linear_order(b, bases, done, (*open_, node)) for b in right]
-    tail = merge([*[list(p[0]) for p in parts], list(right)])
-    if tail is None:
-        tail, sure = list(dict.fromkeys(x for p in parts for x in p[0])), "ambiguous"
-    else:
-        sure = "ambiguous" if cut or any(p[1] == "ambiguous" for p in parts) else "certain"
-    found = [node, *(x for x in tail if x != node)], sure
-    if not cut:
-        done[node] = found
-    return found
+    done: dict[str, tuple[list[str], str]] = {}
+    open_: set[str] = set()
+
+    def visit(at: str) -> Generator[str, tuple[list[str], str], tuple[list[str], str]]:
+        open_.add(at)
+        declared = bases.get(at, [])
+        right = [b for b in reversed(declared) if b not in open_]
+        sure = len(right) == len(declared)
+        parts = []
+        for b in right:
+            order, certainty = done[b] if b in done else (yield b)
+            sure &= certainty == "certain"
+            parts.append(order)
+        open_.discard(at)
+        tail = merge([*map(list, parts), right])
+        if tail is None:
+            tail, sure = list(dict.fromkeys(x for p in parts for x in p)), False
+        done[at] = [at, *(x for x in tail if x != at)], "certain" if sure else "ambiguous"
+        return done[at]
+
+    work, found = [visit(node)], None
+    while work:
+        try:
+            work.append(visit(work[-1].send(found)))
+            found = None
+        except StopIteration as end:
+            work.pop()
+            found = end.value
+    return done[node]
 
 
 def linearise(contracts: DataFrame, inherits: DataFrame) -> DataFrame:
@@ -72,7 +93,7 @@ def linearise(contracts: DataFrame, inherits: DataFrame) -> DataFrame:
             rows = []
             for node, declared in zip(batch["id"], batch["table"], strict=True):
                 bases = {} if declared is None else {d["base"]: list(d["bs"]) for d in declared}
-                rows.append((node, *linear_order(node, bases, {})))
+                rows.append((node, *linear_order(node, bases)))
             yield pd.DataFrame(rows, columns=["id", "linearized", "certainty"])
 
     return contracts.select("id").join(table, "id", "left").mapInPandas(run, LINEAR)

@@ -130,6 +130,15 @@ ORACLES = {
     "entrypoint_sets": after("entries", "calls", "modifiers", "guards", more={"arcs": _ARCS, "r": "SELECT id AS origin, id FROM entries UNION SELECT origin, dst FROM r JOIN arcs ON src = r.id", "c": "SELECT id, count(*) AS n FROM r GROUP BY id"})
     + f"""SELECT f.id, coalesce(n, 0) > 0 AS externally_reachable, coalesce(n, 0) AS entrypoints, g.access, f.id IN (SELECT from_id FROM modifiers WHERE name IN {_NAMES}) AS guarded
         FROM functions f JOIN guards g USING (id) LEFT JOIN c USING (id)""",
+    "entrypoint_set_sizes": after("entries", "calls", "modifiers", more={
+        "arcs": _ARCS + " UNION SELECT to_id, from_id FROM calls WHERE kind = 'calls' AND resolution <> 'unresolved' AND to_id LIKE 'f:%' AND to_id > from_id", "r": "SELECT id AS origin, id FROM entries UNION SELECT origin, dst FROM r JOIN arcs ON src = r.id",
+    }) + "SELECT id, count(*) AS origins FROM r GROUP BY id",
+    "positions": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+')) AS w, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+'), 1) AS i FROM documents),
+        s AS (SELECT doc_id, i, w, regexp_extract(w, '^[ \t-\r]*') AS gap FROM w),
+        u AS (SELECT *, length(w) + length(regexp_replace(w, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units, length(gap) - length(replace(gap, chr(10), '')) AS nl, length(regexp_extract(gap, '[^\n]*$')) AS tail FROM s),
+        c AS (SELECT *, sum(strlen(w)) OVER o - strlen(w) + strlen(gap) AS byte, sum(units) OVER o - units + length(gap) AS utf16, 1 + sum(nl) OVER o AS line FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        l AS (SELECT *, max(CASE WHEN nl > 0 THEN utf16 - tail END) OVER (PARTITION BY doc_id ORDER BY i) AS start FROM c)
+        SELECT doc_id, CAST(byte AS BIGINT) AS "offset", CAST(utf16 AS BIGINT) AS utf16, CAST(line AS BIGINT) AS line, CAST(utf16 - coalesce(start, 0) AS BIGINT) AS column FROM l""".replace("\\\\", "\\"),
     "callers_of_top": after("hops", more={"top": "SELECT to_id AS id FROM calls WHERE to_id LIKE 'f:%' GROUP BY 1 ORDER BY count(DISTINCT from_id) DESC, to_id LIMIT 1",
         "walk_up": _WALK.format(way="up", depth=2).replace("SELECT 'f:42' AS id, 0 AS depth", "SELECT id, 0 AS depth FROM top")})
     + "SELECT id, min(depth) AS depth FROM walk_up WHERE id NOT IN (SELECT id FROM top) GROUP BY id",
@@ -152,9 +161,14 @@ ORACLES = {
     "audit_summary": """SELECT (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS reviewed, CAST(0 AS BIGINT) AS flagged, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS follow_up, CAST(0 AS BIGINT) AS ignored,
         (SELECT count(*) FROM part WHERE p_partkey % 20 = 0) AS stale_reviews, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS orphaned_reviews, (SELECT count(*) FROM part WHERE p_partkey % 9 = 0) AS findings,
         (SELECT count(*) FROM part WHERE p_partkey % 18 = 0) AS stale_findings""",
-    "suffix_paths": after("files") + "SELECT CASE nation % 3 WHEN 0 THEN file WHEN 1 THEN '/work/' || file ELSE regexp_extract(file, '[^/]*$') END AS path, file FROM files",
-    "findings_import": """SELECT CASE WHEN p_partkey % 12 <> 0 AND p_partkey % 8 = 0 THEN 'check' || (p_partkey % 3) || ':f:' || p_partkey ELSE 'check' || (p_partkey % 3) END AS id,
-        CASE WHEN p_partkey % 12 = 0 THEN 'no file of the graph' WHEN p_partkey % 8 = 0 THEN 'mapped' ELSE 'no node contains it' END AS state, 'result ' || p_partkey AS description FROM part WHERE p_partkey % 4 = 0""",
+    "suffix_paths": after("files") + """SELECT CASE nation % 4 WHEN 0 THEN file WHEN 1 THEN '/work/' || file WHEN 2 THEN '/work/deep/' || file ELSE regexp_extract(file, '[^/]*$') END AS path,
+        CASE nation % 4 WHEN 2 THEN 'deep/' || file WHEN 3 THEN least(file, 'deep/' || file) ELSE file END AS file FROM files""",
+    "findings_import": after("functions", "contracts", more={
+        "sp": "SELECT f.id, f.k, c.file FROM functions f JOIN contracts c ON c.id = f.scope", "pair": "SELECT id, k, file FROM sp UNION ALL SELECT id || 'd', k, 'deep/' || file FROM sp",
+        "r": "SELECT *, 'check' || (k % 3) AS c, unnest(range(CASE WHEN k % 6 = 1 THEN 2 ELSE 1 END)) AS again FROM pair",
+    }) + """SELECT CASE WHEN reason IS NULL THEN c || '@' || file || ':' || (k * 100 + 70) || CASE WHEN again = 1 THEN '#1' ELSE '' END ELSE c END AS id, coalesce(reason, id) AS node,
+        CAST(CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS BIGINT) AS places, id || ' ' || again AS description
+        FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 'the finding names no source element' WHEN k % 7 = 0 THEN 'no element carries a source mapping' WHEN k % 12 = 0 OR k % 8 = 0 THEN 'no node contains any of its places' END AS reason FROM r)""",
     "stored_graph": _whole() + "SELECT 'node' AS what, kind, count(*) AS count FROM wnodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM wedges WHERE kind <> 'calls' OR resolution <> 'unresolved' GROUP BY kind",
     "graph_json": after("anc", "contracts", more=_ANC) + f"SELECT c.id, c.name, c.is_test, coalesce((SELECT string_agg(base, ',' ORDER BY {_NUMBER.format('base')} DESC) FROM a WHERE a.id = c.id), '') AS bases FROM contracts c",
     "import_resolution": after("inherits", more={"b": f"SELECT replace(from_id, 'c:', '') AS f, replace(to_id, 'c:', '') AS t, {_NUMBER.format('to_id')} % 5 AS m FROM inherits"})

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.positions import locate
 from ..functions.text import base_type_of, normalise_type, share_text, signature
-from ..operators import analysis, audit, build, closure, diff, inherit, inspect, search, views
+from ..operators import analysis, audit, build, closure, diff, inherit, inspect, reach, search, views
 from ..operators.collapse import mark_trust_boundaries, placeholders, resolution_score, structural, with_state_flags
 from ..operators.overlay import FACTS, Overlay
 from ..operators.resolve import Remappings, Resolver, resolve_imports
@@ -198,6 +199,13 @@ def entrypoint_sets(g: Star) -> DataFrame:
     return done.select("id", "externally_reachable", F.size("entrypoints").cast("long").alias("entrypoints"), F.col("access_control.confidence").alias("access"), F.col("reentrancy.guarded").alias("guarded"))
 
 
+def entrypoint_set_sizes(g: Star) -> DataFrame:
+    """By function that an entrypoint reaches, how many do, from bitmaps; calls back to their callers make circles."""
+    back = g.calls().where("kind = 'calls' and resolution <> 'unresolved'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).where("src like 'f:%' and src > dst")
+    entries = reach.numbered(analysis.entrypoints(g.functions(), scopes(g)))
+    return reach.set_sizes(reach.origin_sets(entries, arcs(g).unionByName(back)))
+
+
 def callers_of_top(g: Star) -> DataFrame:
     """Callers within two hops of the function that is called from most."""
     e = materialise(g.call_edges())
@@ -276,22 +284,30 @@ def audit_summary(g: Star) -> DataFrame:
 
 
 def suffix_paths(g: Star) -> DataFrame:
-    """Paths of a scanner, some cut short and some with more in front, and the files they mean."""
+    """Paths of a scanner, some cut short and some with more in front, and the files they mean; each file's path also ends another's."""
     f = g.files()
-    k = F.col("nation") % 3
-    p = f.select(F.when(k == 0, F.col("file")).when(k == 1, F.concat(F.lit("/work/"), "file")).otherwise(F.substring_index("file", "/", -1)).alias("path"))
-    return audit.match_paths(p, f.select("file"))
+    k = F.col("nation") % 4
+    deep = F.concat(F.lit("deep/"), "file")
+    p = f.select(F.when(k == 0, F.col("file")).when(k == 1, F.concat(F.lit("/work/"), "file")).when(k == 2, F.concat(F.lit("/work/"), deep)).otherwise(F.substring_index("file", "/", -1)).alias("path"))
+    return audit.match_paths(p, f.select("file").unionByName(f.select(deep.alias("file"))))
 
 
 def findings_import(g: Star) -> DataFrame:
-    """Scanner results of one place each, mapped to the functions that contain them."""
+    """A scanner's results on every function, some reported twice, some without a place, in no file or in no function."""
     place = g.contracts().select(F.col("id").alias("scope"), "file")
     spans = g.functions().join(place, "scope").select("id", "file", (F.col("k") * 100).cast("long").alias("offset"), F.lit(80).cast("long").alias("length"), "body_hash", "k")
-    at = spans.where("k % 4 = 0").select("k", F.when(F.col("k") % 12 == 0, F.lit("no/such.src")).otherwise(F.concat(F.lit("/work/"), "file")).alias("f"), (F.col("offset") + F.when(F.col("k") % 8 == 0, 70).otherwise(90)).alias("o"))
-    one = F.array(F.struct(F.col("f").alias("file"), F.col("o").cast("long").alias("offset"), F.lit(5).cast("long").alias("length")))
-    results = at.select(F.concat(F.lit("check"), F.col("k") % 3).alias("check"), F.lit("High").alias("impact"), F.lit("Medium").alias("confidence"), F.concat(F.lit("result "), F.col("k")).alias("description"), one.alias("elements"))
-    found, lost = audit.import_findings(materialise(results), materialise(spans))
-    return found.select("id", F.lit("mapped").alias("state"), "description").unionByName(lost.select("check", "reason", "description").toDF("id", "state", "description"))
+    k = F.col("k")
+    deep = spans.withColumns({"id": F.concat("id", F.lit("d")), "file": F.concat(F.lit("deep/"), "file")})
+    path = F.when(k % 12 == 0, F.lit("no/such.src")).otherwise(F.concat(F.lit("/work/"), "file"))
+    at = F.when(k % 7 != 0, F.col("offset") + F.when(k % 8 == 0, 90).otherwise(70)).cast("long")
+    one = F.struct(F.array(_null(), path, _null()).alias("paths"), at.alias("offset"), F.lit(5).cast("long").alias("length"))
+    elements = F.when(k % 5 == 0, F.array().cast("array<struct<paths:array<string>,offset:bigint,length:bigint>>")).otherwise(F.array(one))
+    twice = F.explode(F.sequence(F.lit(0), (k % 6 == 1).cast("int"))).alias("again")
+    results = spans.unionByName(deep).select("id", "k", twice, elements.alias("elements"))
+    results = results.select((k * 4 + F.col("again") + F.when(F.col("id").endswith("d"), 2).otherwise(0)).cast("long").alias("seq"), F.concat(F.lit("check"), k % 3).alias("check"), F.lit("High").alias("impact"), F.lit("Medium").alias("confidence"), F.concat_ws(" ", "id", "again").alias("description"), "elements")
+    found, lost = audit.import_findings(materialise(results), materialise(spans.unionByName(deep).drop("k")))
+    first = F.col("nodes")[0]["id"]
+    return found.select("id", first.alias("node"), F.size("locations").cast("long").alias("places"), "description").unionByName(lost.select("check", "reason", F.lit(0).cast("long"), "description").toDF("id", "node", "places", "description"))
 
 
 # Files
@@ -327,6 +343,15 @@ def _bases_as_imports(g: Star, relative: Column) -> DataFrame:
     return g.contracts().select("id", "k").join(own.withColumnRenamed("from_id", "id"), "id", "left").select(F.concat(F.lit("src/S"), "k", F.lit(".sol")).alias("file"), "imports")
 
 
+def positions(g: Star) -> DataFrame:
+    """Where each word of each document starts: byte, UTF-16 index, line and column."""
+    texts = g.table("documents").select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("content"))
+    words = texts.select("file", F.posexplode(F.regexp_extract_all("content", F.lit("[ \t-\r]*[^ \t-\r]+"), F.lit(0))).alias("i", "w"))
+    ends = F.sum(F.octet_length("w")).over(Window.partitionBy("file").orderBy("i"))
+    starts = words.select("file", (ends - F.octet_length(F.regexp_replace("w", "^[ \t-\r]+", ""))).alias("offset"))
+    return locate(texts, starts).withColumnRenamed("file", "doc_id")
+
+
 def _import_path() -> Column:
     k = F.col("number").cast("long") % 5
     file = F.concat(F.lit("S"), F.col("number"), F.lit(".sol"))
@@ -516,7 +541,7 @@ def diff_findings(g: Star) -> DataFrame:
 
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
-    c3_chain, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
+    c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
     parsed_symbol_stats, parse_diagnostics, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

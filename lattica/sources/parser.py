@@ -437,7 +437,11 @@ class Parser(Reader):
             tokens, lines = [t.text for t in inside], len({self.at.line(t.start) for t in inside})
             self.i = first
             statements = Statements(self, body, end)
-            statements.run()
+            try:
+                statements.run()
+            except RecursionError:  # what was read of the body stays, and so do all declarations
+                statements.lost_any = True
+                self.diagnostics.append(f"{self.file}: a body is nested too deeply")
             self.recovered |= statements.lost_any
             self.i = end
         else:

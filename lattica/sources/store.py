@@ -119,25 +119,23 @@ def audit_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame |
     return reviews, findings, notes
 
 
-_ELEMENT = "file string, offset bigint, length bigint"
+_ELEMENTS = "array<struct<paths:array<string>,offset:bigint,length:bigint>>"
 
 
 def read_detectors(spark: SparkSession, text: str) -> DataFrame:
-    """Scanner results as (check, impact, confidence, description, elements); a failed run is an error."""
+    """Scanner results as (seq, check, impact, confidence, description, elements); a failed run is an error."""
     data = json.loads(text)
     if isinstance(data, dict) and data.get("success") is False:
         raise GraphError(f"the scanner failed: {data.get('error')}")
     found = data if isinstance(data, list) else ((data.get("results") or {}).get("detectors") or [])
     rows = []
-    for d in found:
+    for seq, d in enumerate(found):
         places = []
-        for e in d.get("elements", []):
+        for e in d.get("elements") or []:
             m = e.get("source_mapping") or {}
-            file = m.get("filename_relative") or m.get("filename_short") or m.get("filename_absolute")
-            if file and m.get("start") is not None:
-                places.append((file, m["start"], m.get("length", 0)))
-        rows.append((d.get("check"), d.get("impact"), d.get("confidence"), d.get("description"), places))
-    return spark.createDataFrame(rows, f"check string, impact string, confidence string, description string, elements array<struct<{_ELEMENT.replace(' ', ':').replace(',:', ',')}>>")
+            places.append(([m.get(f"filename_{x}") for x in ("relative", "short", "absolute")], m.get("start"), m.get("length")))
+        rows.append((seq, d.get("check"), d.get("impact"), d.get("confidence"), d.get("description"), places))
+    return spark.createDataFrame(rows, f"seq long, check string, impact string, confidence string, description string, elements {_ELEMENTS}")
 
 
 # Source slices

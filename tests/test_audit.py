@@ -53,17 +53,17 @@ def test_import_findings(spark, nodes, tmp_path):
     ]
     for text in (json.dumps(found), json.dumps({"success": True, "results": {"detectors": found}})):
         mapped, lost = audit.import_findings(store.read_detectors(spark, text), nodes)
-        ids = {r["description"]: (r["id"].split("#")[0], [n["id"] for n in r["nodes"]]) for r in mapped.collect()}
-        assert ids == {"d1": ("one:b", ["b"]), "d2": ("one:b", ["b", "a"])}
-        assert sorted(r["id"] for r in mapped.collect()) == ["one:b", "one:b#1"]
-        assert {r["description"]: r["reason"] for r in lost.collect()} == {"d3": "no source elements", "d4": "no file of the graph", "d5": "no node contains it"}
+        ids = {r["description"]: (r["id"], [n["id"] for n in r["nodes"]], len(r["locations"])) for r in mapped.collect()}
+        assert ids == {"d1": ("one@x/f.sol:12", ["b"], 1), "d2": ("one@x/f.sol:12#1", ["a", "b"], 2)}
+        nowhere = "no node contains any of its places"
+        assert {r["description"]: r["reason"] for r in lost.collect()} == {"d3": "the finding names no source element", "d4": nowhere, "d5": nowhere}
     with pytest.raises(GraphError):
         store.read_detectors(spark, '{"success": false, "error": "boom"}')
     path = str(tmp_path / "findings.json")
     assert store.read_findings(spark, path) is None
     store.write_findings(mapped, path, {"tool": "t", "file": "f", "at": "now"})
     back = store.read_findings(spark, path)
-    assert {r["id"]: r["state"] for r in audit.findings_staleness(back, nodes).collect()} == {"one:b": "current", "one:b#1": "current"}
+    assert {r["id"]: r["state"] for r in audit.findings_staleness(back, nodes).collect()} == {"one@x/f.sol:12": "current", "one@x/f.sol:12#1": "current"}
     changed = nodes.withColumn("body_hash", F.when(F.col("id") == "a", "new").otherwise(F.col("body_hash")))
     assert {r["state"] for r in audit.findings_staleness(back.where("size(nodes) = 2"), changed).collect()} == {"stale"}
     assert {r["state"] for r in audit.findings_staleness(back, nodes.where("id = 'c'")).collect()} == {"orphaned"}
@@ -132,3 +132,22 @@ def test_commands(spark, tmp_path):
     assert "digraph" in api.export_view(spark, root, "protocol", "dot")
     with pytest.raises(GraphError):
         api.query(spark, root, "nothing")
+
+
+def test_paths_match_the_file_that_shares_most(spark):
+    files = spark.createDataFrame([(f,) for f in ("a/b.src", "b.src", "x/index.src", "y/index.src", "lib/deep/c.src")], "file string")
+    asked = ["a/b.src", "/work/a/b.src", "/work/b.src", "index.src", "deep/c.src", "/w/lib/deep/c.src", "eep/c.src", "none.src", "/b.src", "b.src/"]
+    got = {r["path"]: r["file"] for r in audit.match_paths(spark.createDataFrame([(p,) for p in asked], "path string"), files).collect()}
+    assert got == {"a/b.src": "a/b.src", "/work/a/b.src": "a/b.src", "/work/b.src": "b.src", "index.src": "x/index.src", "deep/c.src": "lib/deep/c.src", "/w/lib/deep/c.src": "lib/deep/c.src", "/b.src": "b.src"}
+
+
+def test_findings_take_the_spelling_that_is_a_file(spark, nodes):
+    mapping = lambda start, **names: {"source_mapping": {"start": start, "length": 1, **{f"filename_{k}": v for k, v in names.items()}}}
+    found = [
+        {"check": "c", "description": " d ", "elements": [mapping(12, relative="../f.sol", short="f.sol", absolute="x/f.sol")]},
+        {"check": None, "elements": [mapping(None, relative="x/f.sol"), {"type": "node"}]},
+        {"elements": [mapping(12, relative="gone.sol"), mapping(12, relative="x/f.sol")]},
+    ]
+    mapped, lost = audit.import_findings(store.read_detectors(spark, json.dumps(found)), nodes)
+    assert {(r["id"], r["description"], r["impact"], len(r["locations"])) for r in mapped.collect()} == {("c@x/f.sol:12", "d", "Unknown", 1), ("unknown@gone.sol:12", "", "Unknown", 2)}
+    assert [(r["check"], r["reason"]) for r in lost.collect()] == [("unknown", "no element carries a source mapping")]

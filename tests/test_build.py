@@ -13,6 +13,7 @@ from lattica.operators.export import to_dot, to_html, to_json, to_mermaid, to_sv
 from lattica.operators.inspect import file_lenses, graph_stats, inspect_node, lens_title, node_at, nodes_in_file
 from lattica.operators.resolve import Remappings, resolve_imports
 from lattica.schema import Graph, GraphError, ViewError, check_graph
+from lattica.sources.parser import parse_source
 from lattica.sources import ingest, store
 
 from .projects import BROKEN, HIERARCHY, VAULT
@@ -114,6 +115,24 @@ def test_merge_finds_contradictions():
     assert inherit.merge([["a", "b"], ["b", "a"]]) is None
 
 
+def test_orders_of_long_chains_and_wide_circles(spark):
+    chain = {f"c{i}": [f"c{i - 1}"] for i in range(1, 3000)}
+    assert inherit.linear_order("c2999", chain) == ([f"c{i}" for i in range(2999, -1, -1)], "certain")
+    ring = {str(i): [str(j) for j in range(14)] for i in range(14)}
+    order, certainty = inherit.linear_order("3", ring)
+    assert sorted(order) == sorted(ring) and order[0] == "3" and certainty == "ambiguous"
+    arcs = spark.createDataFrame([("a", "a", 0), ("b", "a", 0), ("b", "c", 1), ("c", "d", 0)], "from_id string, to_id string, idx int")
+    got = {r["id"]: (r["linearized"], r["certainty"]) for r in inherit.linearise(spark.createDataFrame([(x,) for x in "abcd"], "id string"), arcs).collect()}
+    assert got == {"a": (["a"], "ambiguous"), "b": (["b", "c", "d", "a"], "ambiguous"), "c": (["c", "d"], "certain"), "d": (["d"], "certain")}
+
+
+def test_a_body_nested_too_deeply_keeps_declarations(spark):
+    text = "contract A { uint v; function f() public { v = " + "(" * 5000 + "1" + ")" * 5000 + "; } function g() public { v = 2; } }"
+    unit = parse_source("a.sol", text)
+    names = {x["name"] for x in unit["symbols"]}
+    assert {"A", "v", "f", "g"} <= names and unit["recovered"] and any("too deeply" in d for d in unit["diagnostics"])
+
+
 def test_structural_mode_withholds_calls(spark):
     built = build(ingest.sources_of(spark, VAULT), BuildOptions(threshold=1.01))
     assert built.mode == "structural" and built.graph.edges.where("kind in ('calls', 'creates')").isEmpty()

@@ -170,7 +170,9 @@ ORACLES = {
         CAST(CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS BIGINT) AS places, id || ' ' || again AS description
         FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 'the finding names no source element' WHEN k % 7 = 0 THEN 'no element carries a source mapping' WHEN k % 12 = 0 OR k % 8 = 0 THEN 'no node contains any of its places' END AS reason FROM r)""",
     "stored_graph": _whole() + "SELECT 'node' AS what, kind, count(*) AS count FROM wnodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM wedges WHERE kind <> 'calls' OR resolution <> 'unresolved' GROUP BY kind",
-    "graph_json": after("anc", "contracts", more=_ANC) + f"SELECT c.id, c.name, c.is_test, coalesce((SELECT string_agg(base, ',' ORDER BY {_NUMBER.format('base')} DESC) FROM a WHERE a.id = c.id), '') AS bases FROM contracts c",
+    "graph_json": _whole(bs=f"SELECT id, string_agg(base, ',' ORDER BY {_NUMBER.format('base')} DESC) AS bs FROM a GROUP BY id")
+    + """SELECT 'node' AS what, n.id, kind, name, coalesce(bs, '') AS more, CAST(1 AS BIGINT) AS count FROM wnodes n LEFT JOIN bs USING (id)
+        UNION ALL SELECT 'edge', id, kind, NULL, from_id || '>' || to_id, CAST(count AS BIGINT) FROM wedges WHERE kind <> 'calls' OR resolution <> 'unresolved'""",
     "import_resolution": after("inherits", more={"b": f"SELECT replace(from_id, 'c:', '') AS f, replace(to_id, 'c:', '') AS t, {_NUMBER.format('to_id')} % 5 AS m FROM inherits"})
     + """SELECT 'src/S' || f || '.sol' AS file, ['./', '../src/x/../', '@lib/', '', 'none/'][1 + m] || 'S' || t || '.sol' AS path, CASE WHEN m < 4 THEN 'src/S' || t || '.sol' END AS target FROM b""",
     "prefix_remap": r"""SELECT page_id, rtrim(regexp_replace(CASE WHEN starts_with(p, 'blog.th') THEN 'weblog/' || substr(p, 8) WHEN starts_with(p, 'blog.') THEN 'blog/' || substr(p, 6) WHEN starts_with(p, 'www.') THEN 'web/' || substr(p, 5)

@@ -323,11 +323,13 @@ def stored_graph(g: Star) -> DataFrame:
 
 
 def graph_json(g: Star) -> DataFrame:
-    """Contracts and their bases through the exchange format and back."""
-    sited = g.inherits().select(F.concat_ws("|", "from_id", "to_id", F.lit("inherits"), F.lit("")).alias("id"), F.lit("inherits").alias("kind"), "from_id", "to_id", F.lit("heuristic").alias("resolution"), F.lit(1).cast("long").alias("count"), _sites().alias("sites"))
-    text = store.graph_json(Graph(conform(contracts(g).withColumn("kind", F.lit("Contract")), NODE), conform(sited, EDGE)))
-    back = store.parse_graph(g.spark, text)
-    return back.nodes.select("id", "name", F.coalesce("is_test", F.lit(False)).alias("is_test"), F.coalesce(F.array_join("linearized_bases", ","), F.lit("")).alias("bases"))
+    """Every node and edge through the exchange format and back: text parts that are one JSON document."""
+    path = shared_path(g.spark)
+    sited = edges(g).where("kind <> 'calls' or resolution <> 'unresolved'").withColumn("sites", _sites())
+    store.write_exchange(Graph(materialise(conform(nodes(g).drop("src"), NODE)), materialise(conform(sited, EDGE))), path, {"name": "derived"})
+    back = store.read_exchange(g.spark, path)
+    n = back.nodes.select(F.lit("node").alias("what"), "id", "kind", "name", F.coalesce(F.array_join("linearized_bases", ","), F.lit("")).alias("more"), F.lit(1).cast("long").alias("count"))
+    return n.unionByName(back.edges.select(F.lit("edge").alias("what"), "id", "kind", F.lit(None).cast("string").alias("name"), F.concat_ws(">", "from_id", "to_id").alias("more"), "count"))
 
 
 # Source text

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,62 @@ def parse_graph(spark: SparkSession, text: str) -> Graph:
     return check_graph(Graph(table(data["nodes"], NODE, {}), edges))
 
 
+def _compacted(df: DataFrame, schema: T.StructType) -> Column:
+    """A row as JSON without nulls, empty arrays and defaults."""
+    def kept(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            c = F.when(F.size(c) > 0, c)
+        elif f.name in _DEFAULTS:
+            c = F.when(c != F.lit(_DEFAULTS[f.name]), c)
+        return c.alias(f.name)
+
+    return F.to_json(F.struct(*(kept(f) for f in schema)))
+
+
+def write_exchange(graph: Graph, path: str, header: dict | None = None) -> None:
+    """The graph as text parts below ``path``, a line for each node and edge by id, that are one JSON document when put one after another.
+
+    Lines are sorted over all machines; none of them, and not the driver, holds the whole.
+    """
+    spark = graph.nodes.sparkSession
+    head = json.dumps({"schemaVersion": SCHEMA_VERSION} | (header or {}), ensure_ascii=False)
+    frame = spark.createDataFrame([(0, f'{head[:-1]}, "nodes":['), (2, '],"edges":['), (4, "]}")], "section int, value string").withColumn("id", F.lit(""))
+    lines = frame
+    for section, df, schema in ((1, graph.nodes, NODE), (3, graph.edges, EDGE)):
+        own = conform(df, schema)
+        first = own.agg(F.min("id").alias("_least"), F.count_if(F.col("id").isNull()).alias("_nulls")).first()
+        if first["_nulls"]:
+            raise GraphError("a node or edge without an id cannot be exchanged")
+        lines = lines.unionByName(own.select(F.lit(section).alias("section"), "id", _compacted(own, schema).alias("value")).withColumn("value", F.when(F.col("id") == F.lit(first["_least"]), F.col("value")).otherwise(F.concat(F.lit(","), "value"))))
+    lines.orderBy("section", "id").select("value").write.mode("overwrite").text(path)
+
+
+def read_exchange(spark: SparkSession, path: str, check: bool = True) -> Graph:
+    """A graph of write_exchange's parts, or of one JSON document of any layout, which VARIANT then splits."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    heads = [r["value"] for r in lines.where("value like '%\"schemaVersion\"%\"nodes\":['").limit(2).collect()]
+    if len(heads) == 1:
+        head = json.loads(heads[0] + "]}")
+        each = lines.where("value <> ']}' and value <> '],\"edges\":['").where(F.col("value") != F.lit(heads[0])).select(F.try_parse_json(F.regexp_replace("value", "^,", "")).alias("v"))
+        if not each.where("v is null").isEmpty():
+            raise GraphError(f"a line in {path} is not JSON")
+        edge = F.try_variant_get("v", "$.from_id", "string").isNotNull()
+        nodes, edges = each.where(~edge), each.where(edge)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+        head = {"schemaVersion": whole.select(F.try_variant_get("v", "$.schemaVersion", "int")).first()[0]}
+        part = lambda name: whole.select(F.try_variant_get("v", f"$.{name}", "variant").alias("all")).lateralJoin(spark.tvf.variant_explode(F.col("all").outer())).select(F.col("value").alias("v"))
+        nodes, edges = part("nodes"), part("edges")
+    if head.get("schemaVersion") != SCHEMA_VERSION:
+        raise GraphError(f"schema version {head.get('schemaVersion')} is not {SCHEMA_VERSION}")
+    table = lambda rows, schema: rows.select(F.from_json(F.to_json("v"), schema).alias("x")).select("x.*")
+    fill = {"count": F.lit(1).cast("long"), "cross_trust_boundary": F.lit(False), "possible_targets": F.array().cast("array<string>")}
+    filled = table(edges, EDGE)
+    graph = Graph(table(nodes, NODE), filled.withColumns({c: F.coalesce(F.col(c), v.cast(filled.schema[c].dataType)) for c, v in fill.items()}))
+    return check_graph(graph) if check else graph
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Review state of a flat JSON map by node id; none if the file is absent."""
     file = Path(path)

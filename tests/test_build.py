@@ -214,6 +214,19 @@ def test_round_trip_and_checks(spark, vault, tmp_path):
     back = store.read_graph(spark, str(tmp_path / "g"))
     same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     assert same(back.nodes, vault.graph.nodes) and same(back.edges, vault.graph.edges) and store.read_header(spark, str(tmp_path / "g"))["mode"] == vault.mode
+    path = str(tmp_path / "exchange")
+    store.write_exchange(vault.graph, path, {"name": "x"})
+    parts = "".join(p.read_text() for p in sorted((tmp_path / "exchange").glob("part-*")))
+    assert json.loads(parts)["name"] == "x" and [n["id"] for n in json.loads(parts)["nodes"]] == sorted(r["id"] for r in vault.graph.nodes.select("id").collect())
+    (tmp_path / "one.json").write_text(json.dumps(json.loads(parts), indent=2))
+    (tmp_path / "old.json").write_text(json.dumps(json.loads(parts) | {"schemaVersion": 4}))
+    same = lambda x, y: sorted(map(str, x.drop("seq").collect())) == sorted(map(str, y.drop("seq").collect()))
+    for where in (path, str(tmp_path / "one.json")):
+        got = store.read_exchange(spark, where)
+        assert {r["id"] for r in got.nodes.collect()} == {r["id"] for r in vault.graph.nodes.collect()}
+        assert same(got.edges.select("id", "kind", "from_id", "to_id", "count", "resolution", "sites"), vault.graph.edges.select("id", "kind", "from_id", "to_id", "count", "resolution", "sites"))
+    with pytest.raises(GraphError):
+        store.read_exchange(spark, str(tmp_path / "old.json"))
     text = store.graph_json(vault.graph)
     assert store.graph_json(vault.graph) == text and store.parse_graph(spark, text).edges.count() == vault.graph.edges.count()
     with pytest.raises(GraphError):

@@ -201,7 +201,7 @@ def main(argv: list[str] | None = None) -> int:
             return show(query(spark, a.root, a.name, *a.args, depth=a.depth, unprotected=a.unprotected, payable=a.payable, stale=a.stale))
         if a.command == "diff":
             nodes, edges, found = diff_revisions(spark, a.before, a.after, a.root)
-            changed = show(nodes.where("status <> 'unchanged'").select("status", "id", F.array_join("changes", ",").alias("changes"))) | show(found)
+            changed = show(diff.told(nodes).select("status", "id", F.array_join("changes", ",").alias("changes"))) | show(found)
             return int(bool(changed) or not edges.where("status <> 'unchanged'").isEmpty())
         if a.command == "export":
             print(export_view(spark, a.root, a.view, a.format, a.focus, a.include_tests), end="")

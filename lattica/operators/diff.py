@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dice
 from ..plans.storage import materialise
-from ..schema import ACCESS_RANK, DANGEROUS, EXTERNAL_SUBKINDS, Graph
+from ..schema import ACCESS_RANK, DANGEROUS, EXTERNAL_SUBKINDS, Graph, rank_of
 
 FUZZY_THRESHOLD = 0.55
 #: Shares of a fuzzy score: signature, name, neighbourhood.
@@ -33,6 +33,8 @@ SEVERITY = {
     "storage-layout-changed": "high", "became-externally-reachable": "medium", "new-dangerous-op": "high",
 }
 SEVERITIES = ("high", "medium", "low", "info")
+# The order in which changes are told.
+STATUSES = ("removed", "added", "renamed", "moved", "modified")
 
 
 def _left(side: DataFrame, matches: DataFrame, key: str) -> DataFrame:
@@ -235,3 +237,8 @@ def diff_graphs(before: Graph, after: Graph, threshold: float = FUZZY_THRESHOLD)
     matches = materialise(match_nodes(before, after, threshold))
     nodes, edges = materialise(diff_nodes(before.nodes, after.nodes, matches)), materialise(diff_edges(before.edges, after.edges, matches))
     return nodes, edges, findings(nodes, edges)
+
+
+def told(nodes: DataFrame) -> DataFrame:
+    """The changed nodes in the order in which they are told: by status, then id."""
+    return nodes.where("status <> 'unchanged'").orderBy(rank_of("status", STATUSES), "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from ..schema import CALL_KINDS, RESOLUTIONS, Graph, ViewError, named, rank_of
 from .closure import call_index, traverse
 
@@ -214,6 +215,45 @@ def aggregate(view: Graph, expand: list[str] | None = None, cap: int = RENDER_CA
     return Graph(drawn.join(names, "id", "left"), edges)
 
 
+def _within(nodes: DataFrame, edges: DataFrame, cap: int) -> None:
+    """Raises if nodes and edges together are more than ``cap``; no more than that are counted."""
+    if nodes.limit(cap + 1).count() + edges.limit(cap + 1).count() > cap:
+        raise ViewError(f"more than {cap} elements would be drawn; expand fewer directories, or focus on one")
+
+
+def nested(view: Graph, cap: int = RENDER_CAP) -> Graph:
+    """The view with ``parent`` on its nodes: members lie in their contract, if that is drawn, and the ``declares`` edge that says so goes."""
+    held = view.nodes.where("kind = 'Contract'").select(F.col("id").alias("parent"))
+    nodes = view.nodes.join(held, F.col("scope") == F.col("parent"), "left")
+    shown = nodes.where("parent is not null").select(F.col("parent").alias("from_id"), F.col("id").alias("to_id"), F.lit("declares").alias("kind"))
+    edges = view.edges.join(shown, ["from_id", "to_id", "kind"], "left_anti").select(*view.edges.columns)
+    _within(nodes, edges, cap)
+    return Graph(nodes, edges)
+
+
+def compound(view: Graph, expand: list[str], cap: int = RENDER_CAP) -> Graph:
+    """The view by directories: nodes (id, type, parent, expanded, members, internal) and edges as lift_edges has them.
+
+    A directory is a box if all above it are open, and holds its nodes and directories if
+    it is open itself; a shut one stands for all below it, with the edges inside counted.
+    """
+    tree = materialise(clusters(view.nodes))
+    opened = open_paths(expand, [r["path"] for r in tree.select("path").collect()])
+    is_open = lambda c: c.isin(*opened) if opened else F.lit(False)
+    dir_id = lambda c: F.concat(F.lit("dir:"), c)
+    above = ancestors(F.col("path"))
+    present = tree.where(F.forall(F.slice(above, F.lit(1), F.greatest(F.size(above) - 1, F.lit(0))), is_open))
+    edges = materialise(lift_edges(view.edges, representatives(view.nodes, opened)))
+    inside = edges.where("type = 'internal'").select(F.col("from_id").alias("id"), F.col("count").alias("internal"))
+    boxes = present.select(dir_id(F.col("path")).alias("id"), F.lit("cluster").alias("type"), dir_id(F.col("parent")).alias("parent"), is_open(F.col("path")).alias("expanded"), "members")
+    own = view.nodes.withColumn("path", dir_of(F.col("file"))).where(F.forall(ancestors(F.col("path")), is_open))
+    drawn = boxes.unionByName(own.select("id", F.lit("node").alias("type"), dir_id(F.col("path")).alias("parent"), F.lit(False).alias("expanded"), F.lit(0).cast("long").alias("members")))
+    nodes = drawn.join(inside, "id", "left").withColumn("internal", F.coalesce("internal", F.lit(0).cast("long")))
+    edges = edges.where("type <> 'internal'")
+    _within(nodes, edges, cap)
+    return Graph(nodes, edges)
+
+
 def call_endpoints(edges: DataFrame) -> DataFrame:
     """(id): nodes with a call edge on either end."""
     return edges.where(F.col("kind").isin(*CALL_KINDS)).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()

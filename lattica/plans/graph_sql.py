@@ -111,6 +111,18 @@ ORACLES = {
         "e": "SELECT from_id, to_id, a.rep AS x, b.rep AS y FROM inherits JOIN r a ON a.id = from_id JOIN r b ON b.id = to_id"})
     + """SELECT CASE WHEN x = from_id AND y = to_id THEN 'edge' WHEN x = y THEN 'internal' ELSE 'aggregate' END AS type, x AS from_id, y AS to_id, count(*) AS count, count(*) AS pairs FROM e GROUP BY ALL
         UNION ALL SELECT 'node', CASE WHEN rep LIKE 'dir:%' THEN rep ELSE 'drawn' END, NULL, count(DISTINCT rep), count(DISTINCT rep) FROM r GROUP BY 2""",
+    "view_nested": after("contracts", "functions", "variables", "inherits", "cedges") + """SELECT 'node' AS what, id AS from_id, NULL AS to_id, 'Contract' AS kind FROM contracts UNION ALL SELECT 'node', id, scope, 'Function' FROM functions
+        UNION ALL SELECT 'node', id, scope, 'StateVariable' FROM variables UNION ALL SELECT 'edge', from_id, to_id, 'declares' FROM inherits
+        UNION ALL SELECT 'edge', from_id, to_id, 'calls' FROM cedges WHERE to_id IN (SELECT id FROM contracts UNION ALL SELECT id FROM functions)""",
+    "view_compound": after("inherits", "contracts", more={
+        "d": "SELECT id, regexp_replace(file, '/[^/]*$', '') AS dir FROM contracts", "t": "SELECT id, dir, split_part(dir, '/', 1) AS top, split_part(dir, '/', 1) IN ('asia', 'africa') AS o FROM d",
+        "r": "SELECT id, dir, o, CASE WHEN o AND dir = top THEN id WHEN o THEN 'dir:' || dir ELSE 'dir:' || top END AS rep FROM t",
+        "p": "SELECT top AS path, count(*) AS members FROM t GROUP BY top UNION ALL SELECT dir, count(*) FROM t WHERE o AND dir <> top GROUP BY dir",
+        "e": "SELECT from_id, to_id, a.rep AS x, b.rep AS y FROM inherits JOIN r a ON a.id = from_id JOIN r b ON b.id = to_id",
+        "i": "SELECT x AS id, count(*) AS n FROM e WHERE x = y AND x <> from_id GROUP BY x",
+    }) + """SELECT 'cluster' AS type, 'dir:' || path AS from_id, CASE WHEN path LIKE '%/%' THEN 'dir:' || split_part(path, '/', 1) END AS to_id, members AS count, coalesce(n, 0) AS pairs, path IN ('asia', 'africa') AS expanded FROM p LEFT JOIN i ON i.id = 'dir:' || path
+        UNION ALL SELECT 'node', id, 'dir:' || dir, 0, 0, false FROM r WHERE rep = id
+        UNION ALL SELECT CASE WHEN x = from_id AND y = to_id THEN 'edge' ELSE 'aggregate' END, x, y, count(*), count(*), false FROM e WHERE x <> y GROUP BY ALL""",
     "view_errors": """SELECT * FROM (VALUES ('call', 'a call view needs a focus: the whole function graph is not readable'), ('contract', 'a contract view needs a focus contract'),
         ('contract', '"e:none" is not a node of this graph'), ('orbit', 'there is no view "orbit"')) t(view, message)""",
     "inheritance_view": _whole(ok="SELECT id FROM contracts WHERE NOT is_test AND NOT is_mock", m="SELECT f.id FROM functions f JOIN ok ON ok.id = f.scope")

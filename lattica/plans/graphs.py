@@ -130,6 +130,27 @@ def view_aggregate(g: Star) -> DataFrame:
     return drawn.edges.select("type", "from_id", "to_id", "count", "pairs").unionByName(boxes.select(F.lit("node").alias("type"), "from_id", _null().alias("to_id"), "count", "count").toDF("type", "from_id", "to_id", "count", "pairs"))
 
 
+def view_nested(g: Star) -> DataFrame:
+    """Contracts with their members inside, and the edges that are left to draw."""
+    n = g.contracts().select("id", F.lit("Contract").alias("kind"), _null().alias("scope"))
+    for members_of, kind in ((g.functions(), "Function"), (g.variables(), "StateVariable")):
+        n = n.unionByName(members_of.select("id", F.lit(kind).alias("kind"), "scope"))
+    n = materialise(n)
+    plain = lambda df, kind: df.select("from_id", "to_id", F.lit(kind).alias("kind"))
+    known = n.select(F.col("id").alias("to_id"))
+    e = plain(n.where("scope is not null").select(F.col("scope").alias("from_id"), F.col("id").alias("to_id")), "declares").unionByName(plain(g.inherits(), "declares")).unionByName(plain(g.call_edges(), "calls").join(known, "to_id", "left_semi"))
+    v = views.nested(Graph(n, materialise(e)), cap=1 << 30)
+    return v.nodes.select(F.lit("node").alias("what"), F.col("id").alias("from_id"), F.col("parent").alias("to_id"), "kind").unionByName(v.edges.select(F.lit("edge").alias("what"), "from_id", "to_id", "kind"))
+
+
+def view_compound(g: Star) -> DataFrame:
+    """Directories of two regions open and the others shut: boxes with what is in them, and the lifted edges."""
+    bases = g.inherits().select(F.concat_ws("|", "from_id", "to_id").alias("id"), F.lit("inherits").alias("kind"), "from_id", "to_id", F.lit(1).cast("long").alias("count"), F.lit("heuristic").alias("resolution"))
+    v = views.compound(Graph(materialise(g.contracts().withColumn("kind", F.lit("Contract"))), materialise(bases)), ["asia", "africa"], cap=1 << 30)
+    n = v.nodes.select("type", F.col("id").alias("from_id"), F.col("parent").alias("to_id"), F.col("members").alias("count"), F.col("internal").alias("pairs"), "expanded")
+    return n.unionByName(v.edges.select("type", "from_id", "to_id", "count", "pairs", F.lit(False).alias("expanded")))
+
+
 def view_errors(g: Star) -> DataFrame:
     """What views that cannot be drawn say."""
     whole, said = graph(g), []
@@ -542,7 +563,7 @@ def diff_findings(g: Star) -> DataFrame:
 
 
 OWN = (
-    view_protocol, view_sizes, view_aggregate, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
+    view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
     c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
     parsed_symbol_stats, parse_diagnostics, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, matched_tiers, signature_tier, diff_findings,
 )

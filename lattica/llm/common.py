@@ -10,11 +10,12 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is heavy when it holds more than one row in HEAVY_SHARE; at most HEAVY_SHARE keys can.
 HEAVY_SHARE = 1000
-#: Up to so many rows a narrow side is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many rows and bytes a side is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: A batch of texts on its way to a Python worker; a longer text is a batch of its own.
 BATCH_BYTES = "4m"
 
@@ -59,9 +60,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a materialised narrow side: broadcast after counting it, shuffled beyond ``limit`` rows."""
-    if right.count() <= limit:
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table has ``rows`` rows and ``most`` bytes or fewer; texts, arrays and the like are measured."""
+    n = table.count()
+    if n > rows:
+        return False
+    wide = [f.name for f in table.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    size = n * 8 * len(table.columns)
+    if n and wide:
+        size += table.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in wide)))))).first()[0]
+    return size <= most
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a materialised side that is broadcast if it has ``limit`` rows and ``most`` bytes or fewer, and shuffled beyond."""
+    if fits_broadcast(right, limit, most):
         right = F.broadcast(right)
     return left.join(right, on, how)
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import fim, hyperminhash, ngrams, spelling
+from lattica.llm.common import join_checked, materialise
 
 from .test_operators import awkward, words_of
 
@@ -240,3 +241,17 @@ def test_ropes_split_where_units_and_points_say():
             assert (fim.text_of(left), fim.text_of(right)) == ("".join(units[:rank]), "".join(units[rank:]))
             left, right = fim.split(rope, rank, "points")
             assert (fim.text_of(left), fim.text_of(right)) == (text[:rank], text[rank:])
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    left = spark.range(1000).withColumnRenamed("id", "k")
+    narrow = materialise(left.select("k", F.lit("x").alias("v")))
+    wide = materialise(left.select("k", F.array_repeat(F.lit(1), 5000).alias("v")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda right, **more: join_checked(left, right, ["k"], "inner", **more)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan(narrow, most=1 << 20)
+        assert "strategy=broadcast" not in plan(wide, most=1 << 20) and "strategy=broadcast" not in plan(narrow, limit=999)
+        assert join_checked(left, wide, ["k"], "inner", most=1 << 20).count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -136,6 +136,16 @@ def test_added_shards_take_rows_only_into_themselves(spark):
             assert moved and set(moved) == {new}
 
 
+def test_mixing_buckets_at_sixty_bits(spark):
+    """Hashes just below a bucket's edge belong to the bucket before it."""
+    hashes = [80 * 2**48 + 1, 4000 * 2**48 - 1, 4000 * 2**48 + 5, 4090 * 2**48]
+    rows = materialise(spark.createDataFrame([("Sa", h, 10) for h in hashes], "skey string, h long, size long"))
+    for target, taken in ((5.0, 1), (15.0, 2), (25.0, 3), (28.0, 3), (36.0, 4)):
+        r = mixing.thresholds(rows, spark.createDataFrame([("Sa", 40, target)], "skey string, source_size long, target double")).first()
+        assert r["copies"] == 0 and sum(h < r["threshold"] for h in hashes) in (taken - 1, taken), (target, r)
+        assert abs(10 * sum(h < r["threshold"] for h in hashes) - target) <= 5
+
+
 def water(sizes):
     """Targets by repeated sharing of what is above a cap."""
     order = sorted(sizes, key=lambda s: (s is None, s))

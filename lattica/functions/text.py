@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,15 +64,6 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(F.lower(a) == F.lower(b), 1.0).when(total == 0, 0.0).otherwise(2.0 * both / total)
 
 
-def dice(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if a == b:
-        return 1.0
-    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a, b))
-    total = x.total() + y.total()
-    return 2 * (x & y).total() / total if total else 0.0
-
-
 def normalise_path(c: Column) -> Column:
     """Collapses ``.`` and ``..``; leading ``..`` stay."""
     def step(out: Column, part: Column) -> Column:

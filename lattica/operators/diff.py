@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dice
+from ..functions.text import bigrams, name_similarity
 from ..plans.storage import materialise
 from ..schema import ACCESS_RANK, DANGEROUS, EXTERNAL_SUBKINDS, Graph, rank_of
 
@@ -68,40 +67,71 @@ def match_signature(before: DataFrame, after: DataFrame) -> DataFrame:
     return _unique_pairs(key(before), key(after), ["kind", "container", "name"], "signature", 0.9)
 
 
+def _changed(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, scope, name, params, returns, near, tokens) of functions of a container; tokens are what two of any likeness share."""
+    near = arcs.groupBy(F.col("from_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("near"))
+    kind = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>")), lambda p: p["type"])
+    f = nodes.where("kind = 'Function' and scope is not null").select("id", "scope", "name", kind("params").alias("params"), kind("returns").alias("returns"))
+    f = f.join(near, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
+    tag = lambda sigil, words: F.transform(words, lambda w: F.concat(F.lit(sigil), w))
+    return materialise(f.withColumn("tokens", F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.lower("name"))), tag("b", bigrams(F.col("name"))), tag("c", F.col("near"))))))
+
+
+def scored_pairs(before: DataFrame, after: DataFrame, threshold: float) -> DataFrame:
+    """(before, after, score) of pairs of a container that share part of their names or what they call, and score enough.
+
+    They meet in an inverted index of tokens. A score weighs the likeness of parameters
+    and returns, of names (bigrams), and of the names that the functions call.
+    """
+    one = before.select("scope", F.explode("tokens").alias("token"), F.col("id").alias("before"))
+    two = after.select("scope", F.explode("tokens").alias("token"), F.col("id").alias("after"))
+    met = one.join(two, ["scope", "token"]).select("before", "after").distinct()
+    left = before.select(F.col("id").alias("before"), *(F.col(c).alias(f"x_{c}") for c in ("name", "params", "returns", "near")))
+    right = after.select(F.col("id").alias("after"), *(F.col(c).alias(f"y_{c}") for c in ("name", "params", "returns", "near")))
+    both = met.join(left, "before").join(right, "after")
+    signature = (F.when(F.col("x_params") == F.col("y_params"), 0.5).otherwise(0.0) + F.when(F.col("x_returns") == F.col("y_returns"), 0.5).otherwise(0.0)).alias("signature")
+    either = F.size(F.array_union("x_near", "y_near"))
+    near = F.when(either > 0, F.size(F.array_intersect("x_near", "y_near")) / either).otherwise(F.when(F.col("signature") == 1, 1.0).otherwise(0.0))
+    both = both.select("before", "after", "x_name", "y_name", "x_near", "y_near", signature)
+    score = F.lit(WEIGHTS[0]) * F.col("signature") + F.lit(WEIGHTS[1]) * name_similarity(F.col("x_name"), F.col("y_name")) + F.lit(WEIGHTS[2]) * near
+    return both.select("before", "after", score.alias("score")).where(F.col("score") >= threshold)
+
+
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs that a walk by score, then ids, takes: in rounds, those that are the best of both their ends, materialised."""
+    rest, parts = materialise(pairs), []
+    while not rest.isEmpty():
+        order = lambda other: F.struct(-F.col("score"), F.col(other))
+        best = rest.groupBy("before").agg(F.min_by(F.struct("after", "score"), order("after")).alias("b")).select("before", "b.after", "b.score")
+        back = rest.groupBy("after").agg(F.min_by("before", order("before")).alias("before"))
+        taken = materialise(best.join(back, ["before", "after"]).select("before", "after", "score"))
+        parts.append(taken)
+        rest = materialise(rest.join(taken.select("before"), "before", "left_anti").join(taken.select("after"), "after", "left_anti").select("before", "after", "score"))
+    out = parts[0] if parts else rest
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def match_fuzzy(before: DataFrame, after: DataFrame, arcs_before: DataFrame, arcs_after: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """The best remaining pairs of functions of a container, greedily, best score first.
+    """The best remaining pairs of functions of a container, greedily: best score first, then by ids.
 
-    A score weighs the likeness of parameters and returns, of names (bigrams), and of
-    the names that the functions call. A container is one group; it is as large as
-    its changed functions.
+    Pairs that share nothing of their names score only where parameters and returns are
+    equal and neither calls anything, and then all alike: such are paired by the order of
+    their ids, after what scores as much or more and before what scores less.
     """
-    def side(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-        near = arcs.groupBy(F.col("from_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("near"))
-        kind = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<name:string,type:string,indexed:boolean,storageLocation:string>>")), lambda p: p["type"])
-        f = nodes.where("kind = 'Function' and scope is not null").select("id", "scope", "name", kind("params").alias("params"), kind("returns").alias("returns"))
-        return f.join(near, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
-
-    both = side(before, arcs_before).withColumn("side", F.lit(0)).unionByName(side(after, arcs_after).withColumn("side", F.lit(1)))
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.to_dict("records")
-        scored = []
-        for x in (r for r in rows if r["side"] == 0):
-            for y in (r for r in rows if r["side"] == 1):
-                signature = 0.5 * (list(x["params"]) == list(y["params"])) + 0.5 * (list(x["returns"]) == list(y["returns"]))
-                one, two = set(x["near"]), set(y["near"])
-                near = len(one & two) / len(one | two) if one | two else 1.0 if signature == 1 else 0.0
-                score = WEIGHTS[0] * signature + WEIGHTS[1] * dice(x["name"], y["name"]) + WEIGHTS[2] * near
-                if score >= threshold:
-                    scored.append((-score, x["id"], y["id"]))
-        taken, out = set(), []
-        for score, b, a in sorted(scored):
-            if (0, b) not in taken and (1, a) not in taken:
-                taken |= {(0, b), (1, a)}
-                out.append((b, a, "fuzzy", round(-score, 6)))
-        return pd.DataFrame(out, columns=["before", "after", "tier", "confidence"])
-
-    return both.groupBy("scope").applyInPandas(pair, "before string, after string, tier string, confidence double")
+    b, a = _changed(before, arcs_before), _changed(after, arcs_after)
+    alike = WEIGHTS[0] * 1.0 + WEIGHTS[1] * 0.0 + WEIGHTS[2] * 1.0
+    pairs = materialise(scored_pairs(b, a, threshold))
+    first = greedy_pairs(pairs.where(F.col("score") >= alike))
+    left = lambda side, key, found: side.join(found.select(F.col(key).alias("id")), "id", "left_anti")
+    if alike >= threshold:
+        group = ["scope", "params", "returns"]
+        numbered = lambda side, key: left(side, key, first).where(F.size("near") == 0).withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).select(*group, "i", F.col("id").alias(key))
+        same = numbered(b, "before").join(numbered(a, "after"), [*group, "i"]).select("before", "after", F.lit(alike).alias("score"))
+        first = materialise(first.unionByName(same))
+    rest = pairs.where(F.col("score") < alike).join(first.select("before"), "before", "left_anti").join(first.select("after"), "after", "left_anti")
+    return first.unionByName(greedy_pairs(rest.select("before", "after", "score"))).select("before", "after", F.lit("fuzzy").alias("tier"), F.round("score", 6).alias("confidence"))
 
 
 def call_names(graph: Graph) -> DataFrame:
@@ -109,14 +139,19 @@ def call_names(graph: Graph) -> DataFrame:
     return graph.edges.select("from_id", "to_id").join(graph.nodes.select(F.col("id").alias("to_id"), "name"), "to_id").select("from_id", "name")
 
 
+def match_certain(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(before, after, tier, confidence) of nodes: exact, body and signature matches, each of what is left, materialised."""
+    out = materialise(match_exact(before, after))
+    for tier in (match_body, match_signature):
+        b, a = materialise(_left(before, out, "before")), materialise(_left(after, out, "after"))
+        out = materialise(out.unionByName(tier(b, a)))
+    return out
+
+
 def match_nodes(before: Graph, after: Graph, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """(before, after, tier, confidence): exact, body, signature, then fuzzy matches, each of what is left."""
-    out = match_exact(before.nodes, after.nodes)
+    """(before, after, tier, confidence): certain matches, then fuzzy ones of what is left."""
+    out = match_certain(before.nodes, after.nodes)
     b, a = materialise(_left(before.nodes, out, "before")), materialise(_left(after.nodes, out, "after"))
-    for tier in (match_body, match_signature):
-        found = materialise(tier(b, a))
-        out = out.unionByName(found)
-        b, a = materialise(_left(b, found, "before")), materialise(_left(a, found, "after"))
     return out.unionByName(match_fuzzy(b, a, call_names(before), call_names(after), threshold))
 
 

@@ -490,15 +490,6 @@ def overlay_coverage(g: Star) -> DataFrame:
 # Revisions
 
 
-def match_tiers(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Exact, body and signature matches of two revisions, each of what is left."""
-    out = materialise(diff.match_exact(before, after))
-    for tier in (diff.match_body, diff.match_signature):
-        rest = lambda side, key: materialise(side.join(out.select(F.col(key).alias("id")), "id", "left_anti"))  # noqa: B023, E731
-        out = materialise(out.unionByName(tier(rest(before, "before"), rest(after, "after"))))
-    return out
-
-
 def revision(g: Star, later: bool) -> DataFrame:
     k = F.col("k")
     f = g.functions().where("subkind = 'function'").withColumn("file", F.concat(F.lit("s"), F.col("scope_k") % 5, F.lit(".src")))
@@ -515,7 +506,7 @@ def revision(g: Star, later: bool) -> DataFrame:
 
 
 def matches(g: Star) -> DataFrame:
-    return match_tiers(revision(g, False), revision(g, True))
+    return diff.match_certain(revision(g, False), revision(g, True))
 
 
 def matched_tiers(g: Star) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,11 +288,11 @@ def _reviewed(g: Star) -> DataFrame:
 
 
 def review_updates(g: Star) -> DataFrame:
-    """Review state after some are set and some cleared, written to its file and read back."""
+    """Review state after some are set and some cleared, written to the shared folder and read back."""
     done = audit.clear_reviews(audit.set_reviews(_reviewed(g), g.functions(), _updates(g)), ["f:10", "f:30"])
-    file = str(Path(tempfile.mkdtemp()) / "review.json")
-    store.write_reviews(done, file)
-    return store.read_reviews(g.spark, file).select("node", "status", "body_hash")
+    path = shared_path(g.spark)
+    store.write_review_parts(done, path)
+    return store.read_review_parts(g.spark, path).select("node", "status", "body_hash")
 
 
 def audit_summary(g: Star) -> DataFrame:

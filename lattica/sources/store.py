@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.audit import FINDING, REVIEW
+from ..operators.audit import FINDING, REVIEW, STATUSES
 from ..schema import EDGE, NODE, SCHEMA_VERSION, Graph, GraphError, check_graph, conform
 
 FINDINGS_VERSION = 1
@@ -143,6 +143,33 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(out, indent=2, ensure_ascii=False) + "\n")
 
 
+_REVIEW = "map<string,struct<status:string,bodyHash:string,reviewer:string,note:string,at:string>>"
+
+
+def write_review_parts(reviews: DataFrame, path: str) -> None:
+    """The same map as text parts below ``path``, a line for each node by id, that are one JSON document when put one after another."""
+    iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = F.to_json(F.create_map("node", F.struct("status", F.col("body_hash").alias("bodyHash"), "reviewer", "note", iso.alias("at"))))
+    least = reviews.agg(F.min("node")).first()[0]
+    own = reviews.select("node", one.alias("x")).select(F.lit(1).alias("section"), "node", F.concat(F.when(F.col("node") == F.lit(least), "").otherwise(","), F.expr("substring(x, 2, length(x) - 2)")).alias("value"))
+    frame = reviews.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "section int, node string, value string")
+    frame.unionByName(own).orderBy("section", "node").select("value").write.mode("overwrite").text(path)
+
+
+def read_review_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Review state of write_review_parts, read where the parts lie; a line that is none, or has no valid status, is an error."""
+    lines = spark.read.text(path).where("value not in ('{', '}')")
+    each = lines.select("value", F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), _REVIEW).alias("m"))
+    bad = each.where(F.coalesce(F.size("m"), F.lit(0)) < 1).first()
+    if bad:
+        raise GraphError(f"{path}: {bad['value'][:80]} is not an entry")
+    rows = each.select(F.explode("m").alias("node", "v"))
+    bad = rows.where(~F.coalesce(F.col("v.status").isin(*STATUSES), F.lit(False))).first()
+    if bad:
+        raise GraphError(f"{path}: {bad['node']} has no valid status")
+    return rows.select("node", "v.status", F.coalesce("v.bodyHash", F.lit("")).alias("body_hash"), "v.reviewer", "v.note", F.to_timestamp("v.at").alias("at"))
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame | None:
     """Imported findings; None if the file is absent."""
     file = Path(path)

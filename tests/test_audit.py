@@ -151,3 +151,18 @@ def test_findings_take_the_spelling_that_is_a_file(spark, nodes):
     mapped, lost = audit.import_findings(store.read_detectors(spark, json.dumps(found)), nodes)
     assert {(r["id"], r["description"], r["impact"], len(r["locations"])) for r in mapped.collect()} == {("c@x/f.sol:12", "d", "Unknown", 1), ("unknown@gone.sol:12", "", "Unknown", 2)}
     assert [(r["check"], r["reason"]) for r in lost.collect()] == [("unknown", "no element carries a source mapping")]
+
+
+def test_review_parts_are_the_review_file(spark, tmp_path):
+    rows = [("a\"b", "flagged", "h", None, "said, so", None), ("c", "reviewed", "", "r", None, None), ("zé", "ignored", "x", None, None, None)]
+    reviews = spark.createDataFrame(rows, audit.REVIEW).repartition(3)
+    store.write_review_parts(reviews, str(tmp_path / "parts"))
+    whole = tmp_path / "review.json"
+    whole.write_text("".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*"))))
+    same = lambda df: sorted(map(repr, df.select("node", "status", "body_hash", "reviewer", "note").collect()))
+    assert same(store.read_review_parts(spark, str(tmp_path / "parts"))) == same(store.read_reviews(spark, str(whole))) == same(reviews)
+    store.write_review_parts(reviews.limit(0), str(tmp_path / "none"))
+    assert store.read_review_parts(spark, str(tmp_path / "none")).count() == 0
+    store.write_review_parts(reviews.withColumn("status", F.lit("odd")), str(tmp_path / "odd"))
+    with pytest.raises(GraphError):
+        store.read_review_parts(spark, str(tmp_path / "odd"))

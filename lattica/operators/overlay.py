@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
-
-FACTS = "artifact string, file string, what string, offset bigint, target_file string, target_offset bigint, value string"
-_CLASSES = {"FunctionCall": "call", "EmitStatement": "emit", "RevertStatement": "revert"}
+from ..sources.buildinfo import FACTS, facts_of, read_build_info, unusable
 
 
 def discover(root: str, out: str = "out") -> list[str]:
@@ -23,99 +18,9 @@ def discover(root: str, out: str = "out") -> list[str]:
     return sorted(str(p) for f in folders for p in (Path(root) / f / "build-info").glob("*.json"))
 
 
-def facts(artifact: str, text: str) -> list[tuple]:
-    """FACTS of one build-info text: references by class and byte offset, declarations, selectors and slots.
-
-    The syntax tree is read permissively: whatever is not as expected is passed over.
-    """
-    data = json.loads(text)
-    output = data.get("output") or {}
-    ids, rows, order = {}, [], {}
-    for file, unit in (output.get("sources") or {}).items():
-        order[unit.get("id")] = file
-
-    def place(node: dict) -> tuple[str | None, int]:
-        start, _, index = (str(node.get("src", "")).split(":") + ["", "", ""])[:3]
-        return order.get(int(index) if index.isdigit() else -1), int(start) if start.lstrip("-").isdigit() else -1
-
-    def walk(node: object, each) -> None:
-        if isinstance(node, dict):
-            if "nodeType" in node:
-                each(node)
-            for v in node.values():
-                walk(v, each)
-        elif isinstance(node, list):
-            for v in node:
-                walk(v, each)
-
-    trees = [u.get("ast") for u in (output.get("sources") or {}).values() if u.get("ast")]
-
-    def index(node: dict) -> None:
-        if isinstance(node.get("id"), int):
-            ids[node["id"]] = place(node)
-
-    for t in trees:
-        walk(t, index)
-
-    def target(node: object) -> tuple[str | None, int] | None:
-        if not isinstance(node, dict):
-            return None
-        found = node.get("referencedDeclaration")
-        if not isinstance(found, int):
-            found = (node.get("pathNode") or {}).get("referencedDeclaration") if isinstance(node.get("pathNode"), dict) else None
-        if not isinstance(found, int):
-            return target(node.get("expression")) if node.get("nodeType") in ("FunctionCallOptions",) else None
-        return ids.get(found)
-
-    def note(node: dict) -> None:
-        kind, (file, at) = node["nodeType"], place(node)
-        if file is None:
-            return
-        if kind in _CLASSES:
-            call = node.get("eventCall") or node.get("errorCall") or node
-            to = target(call.get("expression"))
-            if to and to[0]:
-                rows.append((artifact, file, _CLASSES[kind], at, *to, None))
-        elif kind == "Identifier" and (to := target(node)) and to[0]:
-            rows.append((artifact, file, "variable", at, *to, None))
-        elif kind in ("FunctionDefinition", "VariableDeclaration", "ModifierDefinition", "ContractDefinition", "EventDefinition", "ErrorDefinition"):
-            rows.append((artifact, file, "declaration", at, None, None, None))
-            if node.get("functionSelector"):
-                rows.append((artifact, file, "selector", at, None, None, "0x" + node["functionSelector"]))
-
-    for t in trees:
-        walk(t, note)
-    for contracts in (output.get("contracts") or {}).values():
-        for c in contracts.values():
-            for entry in (c.get("storageLayout") or {}).get("storage") or []:
-                if (at := ids.get(entry.get("astId"))) and at[0]:
-                    rows.append((artifact, at[0], "slot", at[1], None, entry.get("offset"), str(entry.get("slot"))))
-    rows += [(artifact, f, "source", None, None, None, s.get("content")) for f, s in (((data.get("input") or {}).get("sources")) or {}).items()]
-    return rows
-
-
 def read_artifacts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """FACTS of build-info files, read where Spark reads them; files that are not JSON give none."""
-    if not paths:
-        return spark.createDataFrame([], FACTS)
-    raw = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("text"))
-    return facts_of(raw)
-
-
-def facts_of(texts: DataFrame) -> DataFrame:
-    """FACTS of (path, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows: list[tuple] = []
-            for p, t in zip(b["path"], b["text"], strict=True):
-                try:
-                    rows += facts(p, t)
-                except (ValueError, AttributeError, TypeError):
-                    continue
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FACTS.split(", ")]).astype({"offset": "Int64", "target_offset": "Int64"})
-
-    return texts.mapInPandas(run, FACTS)
+    """FACTS of build-info files, read where Spark reads them; files that are of no use give none."""
+    return facts_of(read_build_info(spark, paths)) if paths else spark.createDataFrame([], FACTS)
 
 
 @dataclass
@@ -133,6 +38,8 @@ class Overlay:
         self.owners = materialise(own.groupBy("file").agg(F.min("artifact").alias("artifact")))
         self.claimed = copies.select("file").distinct()
         self.used = materialise(self.facts.where("what <> 'source'").join(self.owners, ["file", "artifact"], "left_semi"))
+        changed = copies.join(self.sources.select("file"), "file", "left_semi").join(self.sources.select("file", F.md5("content").alias("m")), ["file", "m"], "left_anti")
+        self.unclean = changed.select("artifact").distinct()
 
     def coverage(self) -> tuple[int, int]:
         """(covered, stale) files: those an artifact owns, and those that one claims with another text."""
@@ -147,8 +54,10 @@ class Overlay:
     def apply(self, drafts: DataFrame) -> DataFrame:
         """Drafts at a place the compiler resolved: upgraded if to the same target, turned to it if unresolved, pruned if a sibling of it.
 
-        A wrong heuristic target is corrected. No draft is added where the parser saw none.
+        A wrong heuristic target is corrected. No draft is added where the parser saw none. Bases, overrides and modifiers
+        that the compiler lists are certain.
         """
+        drafts = self._confirmed(drafts)
         what = F.when(F.col("kind").isin("calls", "creates"), "call").when(F.col("kind") == "emits", "emit").when(F.col("kind") == "reverts", "revert").when(F.col("kind").isin("reads", "writes"), "variable")
         refs = self.used.where("target_file is not null").join(self._declared(), ["target_file", "target_offset"]).groupBy("file", "what", "offset").agg(F.min("target_id").alias("target_id"))
         keyed = drafts.withColumns({"what": what, "file": F.col("site.file"), "offset": F.col("site.offset")})
@@ -165,10 +74,21 @@ class Overlay:
         })
         return done.select(*drafts.columns)
 
+    def _confirmed(self, drafts: DataFrame) -> DataFrame:
+        """Drafts of relations between declarations, certain where the compiler has the same."""
+        name = F.when(F.col("kind").isin("overrides", "implements"), "base").when(F.col("kind").isin("inherits", "modifiedBy"), F.col("kind"))
+        ends = self.used.where("what in ('inherits', 'base', 'modifiedBy')").join(self._declared(), ["target_file", "target_offset"])
+        own = self._declared().toDF("file", "offset", "from_id")
+        said = ends.join(own, ["file", "offset"]).select("from_id", F.col("target_id").alias("to_id"), F.col("what").alias("_what")).distinct().withColumn("_sure", F.lit(True))
+        joined = drafts.withColumn("_what", name).join(said, ["from_id", "to_id", "_what"], "left")
+        sure = F.col("_sure").isNotNull()
+        return joined.withColumns({"resolution": F.when(sure, "semantic").otherwise(F.col("resolution")), "reason": F.when(sure, None).otherwise(F.col("reason"))}).select(*drafts.columns)
+
     def annotate(self, nodes: DataFrame) -> DataFrame:
-        """Nodes with selectors and, from storage layouts, slots; absence stays null."""
+        """Nodes with selectors and, from artifacts none of whose sources has changed, slots; absence stays null."""
         at = self.symbols.select("id", "file", F.col("src.offset").alias("offset"))
-        pick = lambda what: self.used.where(F.col("what") == what).join(at, ["file", "offset"]).groupBy("id")
+        clean = self.used.join(self.unclean, "artifact", "left_anti")
+        pick = lambda what: (clean if what == "slot" else self.used).where(F.col("what") == what).join(at, ["file", "offset"]).groupBy("id")
         selectors = pick("selector").agg(F.min("value").alias("_sel"))
         slots = pick("slot").agg(F.min(F.struct("value", "target_offset")).alias("_slot"))
         out = nodes.join(selectors, "id", "left").join(slots, "id", "left")
@@ -176,9 +96,19 @@ class Overlay:
 
 
 def load_overlay(spark: SparkSession, paths: list[str], sources: DataFrame, symbols: DataFrame) -> tuple[Overlay | None, list[str]]:
-    """The overlay, or None with a warning: artifacts that fail leave the syntactic graph as it is."""
+    """(overlay or None, warnings): artifacts that fail leave the syntactic graph as it is."""
+    if not paths:
+        return None, []
     try:
-        found = materialise(read_artifacts(spark, paths))
-        return (Overlay(found, sources, symbols), []) if not found.isEmpty() else (None, [])
+        texts = read_build_info(spark, paths)
+        found = materialise(facts_of(texts))
+        notes = [f"build-info {r['artifact']} is not used: {r['error']}" for r in unusable(texts).orderBy("artifact").toLocalIterator()]
+        if found.isEmpty():
+            return None, notes
+        over = Overlay(found, sources, symbols)
+        covered, stale = over.coverage()
+        if stale:
+            notes.append(f"{stale} source files have changed since they were compiled and keep their heuristic edges")
+        return (over if covered else None), notes
     except Exception as e:  # noqa: BLE001
         return None, [f"compiler artifacts could not be used: {e}"]

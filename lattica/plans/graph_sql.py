@@ -88,6 +88,13 @@ _PLACED = {
         FROM dr LEFT JOIN refs r ON r.file = dr.file AND r.off = dr.off""",
 }
 
+_COMPILED = {
+    "f": "SELECT p_partkey AS p, p_partkey % n AS k, 'lib/C' || (p_partkey % n) || '.sol' AS file, p_partkey * 100 + 1000 AS o FROM part, n",
+    "c": "SELECT DISTINCT k, file FROM f",
+    "bad": "SELECT DISTINCT k // 25 AS g FROM f",
+    "stale": "SELECT DISTINCT k // 25 AS g FROM c WHERE k % 7 = 0",
+}
+
 _SURFACE = {
     "fn": f"""SELECT f.id, f.k, f.scope, f.name, f.visibility, f.state_mutability AS m0, CASE WHEN f.k % 53 = 0 THEN 'payable' ELSE f.state_mutability END AS m1, g.access, g.guards,
         split_part(f.scope, ':', 2) || '.' || f.name AS q FROM functions f JOIN guards g USING (id) WHERE f.subkind = 'function'""",
@@ -206,6 +213,18 @@ ORACLES = {
     "overlay_selectors": after("functions", "contracts", more={"o": "SELECT file FROM files WHERE nation % 5 <> 0"})
     + "SELECT f.id, CASE WHEN f.k % 3 = 0 AND c.file IN (SELECT file FROM o) THEN '0x' || substr(md5(f.id), 1, 8) END AS selector FROM functions f JOIN contracts c ON c.id = f.scope",
     "overlay_coverage": "SELECT count(*) FILTER (n_nationkey % 5 <> 0) AS covered, count(*) FILTER (n_nationkey % 5 = 0) AS stale FROM nation",
+    "build_info": after("n", more=_COMPILED) + """SELECT file, 'source' AS what, NULL::BIGINT AS "offset", NULL AS target_file, NULL::BIGINT AS target_offset, CASE WHEN k % 7 = 0 THEN 'older ' ELSE '' END || k AS value FROM c
+        UNION ALL SELECT file, 'declaration', unnest([0, 10, 20, 30, 40]), NULL, NULL, NULL FROM c UNION ALL SELECT file, 'declaration', o, NULL, NULL, NULL FROM f
+        UNION ALL SELECT file, 'selector', o, NULL, NULL, '0x' || substr(md5(p::VARCHAR), 1, 8) FROM f WHERE p % 3 = 0 UNION ALL SELECT file, 'slot', 10, NULL, k % 32, k::VARCHAR FROM c
+        UNION ALL SELECT file, 'call', o + 10, file, CASE WHEN p + n IN (SELECT p FROM f) THEN o + n * 100 ELSE o END, NULL FROM f, n
+        UNION ALL SELECT file, 'emit', o + 20, file, 20, NULL FROM f UNION ALL SELECT file, 'revert', o + 30, file, 30, NULL FROM f UNION ALL SELECT file, 'variable', o + 40, file, 10, NULL FROM f
+        UNION ALL SELECT file, 'modifiedBy', o, file, 40, NULL FROM f WHERE p % 5 = 0
+        UNION ALL SELECT x.file, 'inherits', 0, y.file, 0, NULL FROM c x JOIN c y ON y.k = x.k - 1 WHERE x.k % 25 <> 0 UNION ALL SELECT x.file, 'base', x.o, y.file, y.o, NULL FROM f x JOIN f y ON y.p = x.p - 1 WHERE x.k % 25 <> 0
+        UNION ALL SELECT 'b' || lpad(g::VARCHAR, 6, '0'), 'unusable', NULL, NULL, NULL, ['not a JSON object', 'no output section', 'no syntax trees in its output'][1 + g % 3] FROM bad""",
+    "overlay_relations": after("n", more=_COMPILED) + """SELECT 'inherits' AS kind, 'c:' || k AS from_id, 'c:' || (k - 1) AS to_id, CASE WHEN k % 25 <> 0 AND k % 7 <> 0 AND k - 1 IN (SELECT k FROM c) THEN 'semantic' ELSE 'heuristic' END AS resolution FROM c
+        UNION ALL SELECT 'overrides', 'f:' || p, 'f:' || (p - 1), CASE WHEN k % 25 <> 0 AND k % 7 <> 0 AND p - 1 IN (SELECT p FROM f) THEN 'semantic' ELSE 'heuristic' END FROM f
+        UNION ALL SELECT 'modifiedBy', 'f:' || p, 'm:' || k, CASE WHEN p % 5 = 0 AND k % 7 <> 0 THEN 'semantic' ELSE 'heuristic' END FROM f
+        UNION ALL SELECT 'slot', 'v:' || k, CASE WHEN k // 25 NOT IN (SELECT g FROM stale) THEN k::VARCHAR END, CASE WHEN k // 25 NOT IN (SELECT g FROM stale) THEN (k % 32)::VARCHAR END FROM c""",
     "matched_tiers": after("functions", more=MATCHING) + "SELECT before, after, tier, confidence FROM matches",
     "body_match": after("functions", more=MATCHING) + "SELECT before, after, 'body' AS tier FROM body",
     "signature_match": after("functions", more=MATCHING) + f"SELECT before, after, 'signature' AS tier FROM ({_alone('b1', 'a1', 'scope, name')})",

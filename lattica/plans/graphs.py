@@ -9,11 +9,12 @@ from ..functions.positions import locate
 from ..functions.text import base_type_of, normalise_type, share_text, signature
 from ..operators import analysis, audit, build, closure, diff, inherit, inspect, reach, search, views
 from ..operators.collapse import mark_trust_boundaries, placeholders, resolution_score, structural, with_state_flags
-from ..operators.overlay import FACTS, Overlay
+from ..operators.overlay import Overlay
 from ..operators.resolve import Remappings, Resolver, resolve_imports
 from ..operators.resolve import visible_names as names_in_sight
 from ..schema import EDGE, EXTERNAL_SUBKINDS, FLAGS, NODE, Graph, conform
 from ..sources import ingest, store
+from ..sources.buildinfo import FACTS, facts_of, read_build_info, unusable
 from .stargraph import GUARDS, Star
 from .storage import materialise, shared_path
 
@@ -484,6 +485,74 @@ def overlay_coverage(g: Star) -> DataFrame:
     return g.spark.createDataFrame([(covered, stale)], "covered long, stale long")
 
 
+def _build_info(g: Star) -> str:
+    """Build-info files of 25 contracts each, written as a compiler would; beside some lie files of no use.
+
+    A contract is derived from the one before it in its file. Every seventh contract's copy is out of date.
+    """
+    n, k, p = g.n, F.col("k"), F.col("p")
+    part = g.table("part").select(F.col("p_partkey").alias("p"), (F.col("p_partkey") % n).alias("k"))
+    again = part.select((F.col("p") - n).alias("p"), F.lit(True).alias("_next"))
+    f = part.join(again, "p", "left")
+    unit = F.concat(F.lit(":9:"), k % 25, F.lit('"'))
+    node = lambda kind, at: F.concat(F.lit('{"nodeType":"' + kind + '","src":"'), at, unit)
+    ref = lambda number: F.concat(F.lit(',"referencedDeclaration":'), number, F.lit("}"))
+    of = lambda key, value: F.concat(F.lit(f',"{key}":'), value)
+    at = lambda more: p * 100 + 1000 + more
+    named = F.concat(F.lit('{"nodeType":"MemberAccess"'), ref(F.when(F.col("_next"), p + n).otherwise(p) * 10 + 1))
+    callee = F.when(p % 2 == 0, named).otherwise(F.concat(F.lit('{"nodeType":"FunctionCallOptions","expression":'), named, F.lit("}")))
+    signal = lambda kind, key, more, number: F.concat(node(kind, at(more)), of(key, F.concat(node("FunctionCall", at(more + 5)), of("expression", F.concat(node("Identifier", at(more + 5)), ref(k * 10 + number))), F.lit("}"))), F.lit("}"))
+    parts = [F.concat(node("FunctionCall", at(10)), of("expression", callee), F.lit("}")), signal("EmitStatement", "eventCall", 20, 4), signal("RevertStatement", "errorCall", 30, 5), F.concat(node("Identifier", at(40)), ref(k * 10 + 3))]
+    more = F.concat(
+        F.when(p % 3 == 0, F.concat(F.lit(',"functionSelector":"'), F.substring(F.md5(p.cast("string")), 1, 8), F.lit('"'))).otherwise(""),
+        F.when(k % 25 != 0, of("baseFunctions", F.concat(F.lit("["), p * 10 - 9, F.lit("]")))).otherwise(""),
+        F.when(p % 5 == 0, of("modifiers", F.concat(F.lit('[{"nodeType":"ModifierInvocation","modifierName":{"pathNode":{"nodeType":"IdentifierPath"'), ref(k * 10 + 6), F.lit("}}]")))).otherwise(""),
+    )
+    text = F.concat(node("FunctionDefinition", at(0)), of("id", p * 10 + 1), more, F.lit(',"body":{"nodeType":"Block","statements":['), F.concat_ws(",", *parts), F.lit("]}}"))
+    bodies = f.select("k", "p", text.alias("t")).groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]), ",").alias("body"))
+    held = F.concat_ws(",", *(F.concat(node(kind, F.lit(place)), of("id", k * 10 + number), F.lit("}")) for kind, place, number in (("VariableDeclaration", 10, 3), ("EventDefinition", 20, 4), ("ErrorDefinition", 30, 5), ("ModifierDefinition", 40, 6))))
+    base = F.when(k % 25 != 0, of("baseContracts", F.concat(F.lit('[{"nodeType":"InheritanceSpecifier","baseName":{"nodeType":"IdentifierPath"'), ref(k * 10 - 8), F.lit("}]")))).otherwise("")
+    tree = F.concat(node("ContractDefinition", F.lit(0)), of("id", k * 10 + 2), base, F.lit(',"nodes":['), held, F.lit(","), "body", F.lit("]}"))
+    file = F.concat(F.lit('"lib/C'), k, F.lit('.sol":{'))
+    listed = lambda value: F.array_join(F.transform("units", lambda u: u[value]), ",")
+    units = bodies.select(
+        F.floor(k / 25).alias("g"), "k", F.concat(file, F.lit('"id":'), k % 25, F.lit(',"ast":'), tree, F.lit("}")).alias("tree"), F.concat(file, F.lit('"content":"'), F.when(k % 7 == 0, "older ").otherwise(""), k, F.lit('"}')).alias("content"),
+        F.concat(file, F.lit('"C":{"storageLayout":{"storage":[{"astId":'), k * 10 + 3, F.lit(',"slot":"'), k, F.lit('","offset":'), k % 32, F.lit("}]}}}")).alias("layout"),
+    )
+    whole = units.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "tree", "content", "layout"))).alias("units"))
+    document = F.concat(F.lit('{"input":{"sources":{'), listed("content"), F.lit('}},"output":{"sources":{'), listed("tree"), F.lit('},"contracts":{'), listed("layout"), F.lit("}}}"))
+    good = whole.select(F.format_string("a%06d", "g").alias("name"), document.alias("value"))
+    bad = whole.select(F.format_string("b%06d", "g").alias("name"), F.element_at(F.array(F.lit('{"output":'), F.lit('{"input":{}}'), F.lit('{"output":{"sources":{"x":{"id":0}}}}')), (F.col("g") % 3 + 1).cast("int")).alias("value"))
+    path = shared_path(g.spark)
+    good.unionByName(bad).write.partitionBy("name").text(path)
+    return path
+
+
+def build_info(g: Star) -> DataFrame:
+    """Facts of build-info files, and the names of those that hold none."""
+    texts = read_build_info(g.spark, _build_info(g)).withColumn("path", F.regexp_extract("path", "name=([a-z0-9]+)", 1))
+    lost = unusable(texts).select(F.lit("unusable").alias("what"), F.col("artifact").alias("file"), F.col("error").alias("value"))
+    return facts_of(texts).drop("artifact").unionByName(lost, allowMissingColumns=True)
+
+
+def overlay_relations(g: Star) -> DataFrame:
+    """Drafts of bases, overrides and modifiers that build-info files confirm, and variables with their slots."""
+    facts = materialise(facts_of(read_build_info(g.spark, _build_info(g))))
+    n, k, p = g.n, F.col("k"), F.col("p")
+    file = F.concat(F.lit("lib/C"), k, F.lit(".sol"))
+    f = g.table("part").select(F.col("p_partkey").alias("p"), (F.col("p_partkey") % n).alias("k"))
+    c = f.select("k").distinct()
+    symbol = lambda df, name, offset: df.select(name.alias("id"), file.alias("file"), F.struct(offset.cast("long").alias("offset")).alias("src"))
+    contract, function, held = F.concat(F.lit("c:"), k), F.concat(F.lit("f:"), p), lambda kind: F.concat(F.lit(kind), k)
+    symbols = symbol(c, contract, F.lit(0)).unionByName(symbol(c, held("v:"), F.lit(10))).unionByName(symbol(c, held("m:"), F.lit(40))).unionByName(symbol(f, function, p * 100 + 1000))
+    over = Overlay(facts, c.select(file.alias("file"), k.cast("string").alias("content")), materialise(symbols))
+    draft = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"), F.lit("heuristic").alias("resolution"), _null().alias("reason"), F.struct(file.alias("file"), F.lit(1).cast("long").alias("offset")).alias("site"))
+    drafts = draft(c, "inherits", contract, F.concat(F.lit("c:"), k - 1)).unionByName(draft(f, "overrides", function, F.concat(F.lit("f:"), p - 1))).unionByName(draft(f, "modifiedBy", function, held("m:")))
+    nodes = c.select(held("v:").alias("id"), _null().alias("selector"), _null().alias("slot"), F.lit(None).cast("int").alias("slot_offset"))
+    slots = over.annotate(nodes).select(F.lit("slot").alias("kind"), F.col("id").alias("from_id"), F.col("slot").alias("to_id"), F.col("slot_offset").cast("string").alias("resolution"))
+    return over.apply(drafts).select("kind", "from_id", "to_id", "resolution").unionByName(slots)
+
+
 # Revisions
 
 
@@ -553,6 +622,6 @@ def diff_findings(g: Star) -> DataFrame:
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
     c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
-    parsed_symbol_stats, parse_diagnostics, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, matched_tiers, signature_tier, diff_findings,
+    parsed_symbol_stats, parse_diagnostics, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

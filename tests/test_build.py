@@ -14,7 +14,7 @@ from lattica.operators.inspect import file_lenses, graph_stats, inspect_node, le
 from lattica.operators.resolve import Remappings, resolve_imports
 from lattica.schema import Graph, GraphError, ViewError, check_graph
 from lattica.sources.parser import parse_source
-from lattica.sources import ingest, store
+from lattica.sources import buildinfo, ingest, store
 
 from .projects import BROKEN, HIERARCHY, VAULT
 
@@ -285,7 +285,7 @@ def test_overlay(spark):
         "contracts": {"src/A.sol": {"A": {"storageLayout": {"storage": [{"astId": 4, "slot": "0", "offset": 0}]}}}}}}
     sources = ingest.sources_of(spark, texts)
     symbols = ingest.symbols(ingest.parse_units(sources))
-    facts = overlay.facts_of(spark.createDataFrame([("a.json", json.dumps(info)), ("b.json", "{broken")], "path string, text string"))
+    facts = buildinfo.facts_of(spark.createDataFrame([("a.json", json.dumps(info)), ("b.json", "{broken")], "path string, text string"))
     plain = build(sources, BuildOptions(**OPEN)).graph.edges.where("kind = 'calls' and to_id like '%A.f%'")
     assert {r["resolution"] for r in plain.collect()} == {"ambiguous"} and plain.count() == 2
     over = overlay.Overlay(facts, sources, symbols)

@@ -20,7 +20,7 @@ from .operators import audit, closure, diff, export, inspect, overlay, search, v
 from .operators.build import BuildOptions, Built, build
 from .plans.storage import materialise
 from .schema import Graph, GraphError, ViewError
-from .sources import ingest, project, store
+from .sources import incremental, ingest, project, store
 
 
 def session(name: str = "lattica") -> SparkSession:
@@ -43,16 +43,13 @@ def build_project(spark: SparkSession, root: str, config_path: str | None = None
     files = project.list_sources(p, config.include, config.exclude)
     sources = ingest.read_sources(spark, root).join(spark.createDataFrame([(f,) for f in files], "file string"), "file", "left_semi")
     folder = project.managed_dir(root)
-    cache_path = folder / "cache"
-    cache = spark.read.parquet(str(cache_path)) if cache_path.exists() else None
-    parsed = materialise(ingest.parse_units(sources, cache))
+    parsed = materialise(incremental.update(sources, str(folder / "cache"))[0])
     o = options_of(p, config)
     if artifacts:
         o.overlay, more = overlay.load_overlay(spark, overlay.discover(root, p.out), sources, ingest.symbols(parsed))
         notes += more
     built = build(sources, o, parsed)
     store.write_graph(built.graph, str(folder / "graph"), {"mode": built.mode, "modeReason": built.reason, "settings": project.canonical_settings(config), "kind": p.kind, "files": len(files)})
-    parsed.write.mode("overwrite").parquet(str(cache_path))
     return built, notes
 
 

@@ -203,6 +203,10 @@ ORACLES = {
         (SELECT count(*) FROM part) AS functions, (SELECT count(*) FROM customer) AS variables, (SELECT count(*) FROM part JOIN customer ON c_custkey = p_partkey) AS with_body, count(*) AS files FROM supplier""",
     "parse_diagnostics": """SELECT 'p/P' || s_suppkey || '.sol' AS file, ['', 'pragma is best-effort: pragma solidity >=0.5.0 <0.8.0', 'pragma is unsupported: pragma solidity ^0.4.11', 'pragma is best-effort: pragma solidity 0.6.12'][1 + s_suppkey % 4] AS message, 'info' AS severity
         FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 'p/P' || s_suppkey || '.sol:P' || s_suppkey || '.g()', '2', 'duplicate' FROM supplier WHERE s_suppkey % 3 = 0""",
+    "incremental_build": """WITH c AS (SELECT s_suppkey AS k, 'lib/C' || s_suppkey || '.sol' AS file FROM supplier),
+        s AS (SELECT k, file, CASE WHEN k % 11 = 0 AND k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN 'added' WHEN k % 13 = 0 THEN 'removed' WHEN k % 10 = 0 THEN 'changed' ELSE 'same' END AS status FROM c)
+        SELECT file, status, status = 'added' OR status = 'changed' AND k % 20 = 0 AS parsed, 2 AS round FROM s WHERE status IS NOT NULL
+        UNION ALL SELECT file, 'same', false, 3 FROM c WHERE k % 13 <> 0 UNION ALL SELECT count(*) || ' units, fresh: true', 'total', false, 2 FROM c WHERE k % 13 <> 0""",
     "call_resolution": after("n", more=_RESOLVED) + "SELECT kind, subkind, from_id, to_id, resolution FROM drafts",
     "possible_targets": after("n", more=_RESOLVED | {"d": "SELECT 'lib/C' || up || '.sol:C' || up || '.tick()' AS to_id, count(*) AS targets FROM up GROUP BY up"})
     + "SELECT from_id, to_id, subkind, targets FROM drafts JOIN d USING (to_id) WHERE kind = 'calls' AND subkind = 'external' AND split_part(from_id, '.go', 1) <> split_part(to_id, '.tick', 1)",

@@ -13,7 +13,7 @@ from ..operators.overlay import Overlay
 from ..operators.resolve import Remappings, Resolver, resolve_imports
 from ..operators.resolve import visible_names as names_in_sight
 from ..schema import EDGE, EXTERNAL_SUBKINDS, FLAGS, NODE, Graph, conform
-from ..sources import ingest, store
+from ..sources import incremental, ingest, store
 from ..sources.buildinfo import FACTS, facts_of, read_build_info, unusable
 from .stargraph import GUARDS, Star
 from .storage import materialise, shared_path
@@ -418,6 +418,26 @@ def parse_diagnostics(g: Star) -> DataFrame:
     return ingest.diagnostics(parsed).select("file", "message", "severity").unionByName(ingest.duplicates(parsed).select(F.col("id").alias("file"), F.col("count").cast("string").alias("message"), F.lit("duplicate").alias("severity")))
 
 
+def incremental_build(g: Star) -> DataFrame:
+    """What a second build does after files were touched, rewritten, added and removed, and what a third does with nothing new."""
+    folder, k = shared_path(g.spark), F.regexp_extract("file", r"(\d+)", 1).cast("long")
+    day = lambda n: F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp")
+    texts = g.call_sources()
+    first = materialise(texts.where(k % 11 != 0).withColumn("modified", day(1)))
+    later = texts.where(k % 13 != 0).withColumns({
+        "modified": F.when(k % 10 == 0, day(2)).otherwise(day(1)),
+        "content": F.when(k % 20 == 0, F.concat("content", F.lit("// later\n"))).otherwise(F.col("content")),
+    })
+    later = materialise(later)
+    incremental.update(first, folder)
+    parsed, done = incremental.update(later, folder)
+    done = materialise(done.withColumn("round", F.lit(2)))
+    again = incremental.update(later, folder)[1].withColumn("round", F.lit(3))
+    fresh = incremental.is_fresh(later, incremental.state(g.spark, folder))
+    total = ingest.units(parsed).agg(F.concat(F.count("*").cast("string"), F.lit(f" units, fresh: {fresh}".lower())).alias("file")).select("file", F.lit("total").alias("status"), F.lit(False).alias("parsed"), F.lit(2).alias("round"))
+    return done.unionByName(again).unionByName(total)
+
+
 def _calls_drafts(g: Star) -> DataFrame:
     return Resolver(materialise(ingest.parse_units(g.call_sources()))).drafts()
 
@@ -622,6 +642,6 @@ def diff_findings(g: Star) -> DataFrame:
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
     c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
-    parsed_symbol_stats, parse_diagnostics, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
+    parsed_symbol_stats, parse_diagnostics, incremental_build, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

@@ -153,6 +153,9 @@ ORACLES = {
     "induced_edges": after("cedges", "functions", more={"k": f"SELECT id FROM functions WHERE {_EXT}"}) + "SELECT id, count FROM cedges WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k)",
     "call_endpoints": after("cedges") + "SELECT from_id AS id FROM cedges UNION SELECT to_id FROM cedges",
     "faded_functions": after("functions") + "SELECT id FROM functions WHERE NOT (visibility = 'external' OR state_mutability = 'payable')",
+    "search_fuzzy": after("contracts", more={
+        "h": "SELECT id, name, CASE WHEN name = 'spl' THEN 1 WHEN starts_with(name, 'spl') THEN 2 WHEN contains(name, 'spl') THEN 3 WHEN contains(lower(id), 'spl') THEN 4 WHEN length(regexp_extract(name, 's[^p]*p[^l]*l')) BETWEEN 1 AND 7.5 THEN 5 END AS tier, id AS whole FROM (SELECT file || ':' || name AS id, lower(name) AS name FROM contracts)",
+    }) + "SELECT h.id, c.name, 'Contract' AS kind, ['name', 'prefix', 'contains', 'path', 'fuzzy'][tier] AS match FROM h JOIN contracts c ON c.file || ':' || c.name = h.id WHERE tier IS NOT NULL ORDER BY tier, length(h.id), h.id LIMIT 50",
     "search_palette": after("functions", "variables", "contracts", more={"nodes": "SELECT id, name, 'Function' AS kind FROM functions UNION ALL SELECT id, name, 'StateVariable' FROM variables UNION ALL SELECT id, name, 'Contract' FROM contracts",
         "m": "SELECT *, CASE WHEN lower(name) = q THEN 1 WHEN starts_with(lower(name), q) THEN 2 WHEN contains(lower(name), q) THEN 3 WHEN contains(lower(id), q) THEN 4 END AS tier FROM nodes, (SELECT 'supplier#00000000' AS q)"})
     + "SELECT id, name, kind, ['name', 'prefix', 'contains', 'path'][tier] AS match FROM m WHERE tier IS NOT NULL ORDER BY tier, length(id), id LIMIT 50",

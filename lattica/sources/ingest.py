@@ -52,6 +52,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": batch["key"], "unit": units})
 
 
+def parse_keyed(sources: DataFrame) -> DataFrame:
+    """(key, unit JSON) of (file, content, key)."""
+    return sources.select("file", "content", "key").mapInPandas(_parse, "key string, unit string")
+
+
 def parse_units(sources: DataFrame, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """(key, unit JSON) of each source; those in ``cache`` are not parsed again.
 
@@ -61,7 +66,7 @@ def parse_units(sources: DataFrame, cache: DataFrame | None = None, partitions:
     fresh = keyed if cache is None else keyed.join(cache.select("key"), "key", "left_anti")
     if partitions:
         fresh = fresh.repartition(partitions, "file")
-    parsed = fresh.select("file", "content", "key").mapInPandas(_parse, "key string, unit string")
+    parsed = parse_keyed(fresh)
     if cache is None:
         return parsed
     return parsed.unionByName(cache.join(keyed.select("key"), "key", "left_semi").select("key", "unit"))

@@ -95,6 +95,50 @@ _COMPILED = {
     "stale": "SELECT DISTINCT k // 25 AS g FROM c WHERE k % 7 = 0",
 }
 
+_VARIED = """calls delegatecall M.low(address) ?low-level:delegatecall unresolved
+calls external M.chained(uint256) ?dynamic-receiver:ping unresolved
+calls external M.detached(address) ?unattached-member:nothing unresolved
+calls external M.far(uint256) I.ping(uint256) heuristic
+calls external M.getter(address) B.total heuristic
+calls external M.none(uint256) ?not-found:pong unresolved
+calls external M.own() B.step(address) ambiguous
+calls external M.own() M.step(uint256) ambiguous
+calls internal M.chained(uint256) M.make() heuristic
+calls internal M.constructor() B.constructor(uint256) heuristic
+calls internal M.local(uint256) ?function-pointer:f unresolved
+calls internal M.loose(uint256) p{k}/lib.sol:free{k}(uint256) heuristic
+calls internal M.narrowed() B.step(uint256,uint256) heuristic
+calls internal M.overloads() B.step(address) ambiguous
+calls internal M.overloads() M.step(uint256) ambiguous
+calls internal M.pointed(uint256) ?function-pointer:pointer unresolved
+calls internal M.spaced(uint256) p{k}/lib.sol:twice{k}(uint256) heuristic
+calls internal M.unfit() B.step(address) ambiguous
+calls internal M.unfit() B.step(uint256,uint256) ambiguous
+calls internal M.unfit() M.step(uint256) ambiguous
+calls library M.aliased(uint256) L.plus(uint256) heuristic
+calls library M.attached(uint256) L.plus(uint256) ambiguous
+calls library M.attached(uint256) L.plus(uint256,uint256) ambiguous
+calls library M.listed(address) p{k}/lib.sol:free{k}(uint256) heuristic
+calls library M.single(uint256) L.only(uint256) heuristic
+creates - M.built() B heuristic
+inherits - M B heuristic
+modifiedBy - M.step(uint256) B#held(uint256) heuristic
+overrides - M.step(uint256) B.step(uint256) heuristic
+reads - M.far(uint256) M.peer heuristic
+reads - M.none(uint256) M.peer heuristic
+writes - M.stored(uint256) B.total heuristic"""
+_OWNERS = {"M": "p{k}/main.sol:Main{k}", "B": "p{k}/lib.sol:Base{k}", "I": "p{k}/lib.sol:I{k}", "L": "p{k}/lib.sol:L{k}"}
+
+
+def _varied() -> str:
+    """A row of SQL for each line above, with the owners' letters written out."""
+    full = lambda x: _OWNERS[x[0]] + x[1:] if x[0] in _OWNERS and x[1:2] in ("", ".", "#") else x
+    lines = (line.split() for line in _VARIED.splitlines())
+    rows = ", ".join(f"('{kind}', {'NULL' if sub == '-' else repr(sub)}, '{full(a)}', '{full(b)}', '{sure}')" for kind, sub, a, b, sure in lines)
+    put = lambda c: f"replace({c}, '{{k}}', s_suppkey::VARCHAR) AS {c}"
+    return f"SELECT kind, subkind, {put('from_id')}, {put('to_id')}, resolution FROM supplier, (VALUES {rows}) t(kind, subkind, from_id, to_id, resolution)"
+
+
 _SURFACE = {
     "fn": f"""SELECT f.id, f.k, f.scope, f.name, f.visibility, f.state_mutability AS m0, CASE WHEN f.k % 53 = 0 THEN 'payable' ELSE f.state_mutability END AS m1, g.access, g.guards,
         split_part(f.scope, ':', 2) || '.' || f.name AS q FROM functions f JOIN guards g USING (id) WHERE f.subkind = 'function'""",
@@ -208,6 +252,7 @@ ORACLES = {
         SELECT file, status, status = 'added' OR status = 'changed' AND k % 20 = 0 AS parsed, 2 AS round FROM s WHERE status IS NOT NULL
         UNION ALL SELECT file, 'same', false, 3 FROM c WHERE k % 13 <> 0 UNION ALL SELECT count(*) || ' units, fresh: true', 'total', false, 2 FROM c WHERE k % 13 <> 0""",
     "call_resolution": after("n", more=_RESOLVED) + "SELECT kind, subkind, from_id, to_id, resolution FROM drafts",
+    "varied_calls": _varied(),
     "possible_targets": after("n", more=_RESOLVED | {"d": "SELECT 'lib/C' || up || '.sol:C' || up || '.tick()' AS to_id, count(*) AS targets FROM up GROUP BY up"})
     + "SELECT from_id, to_id, subkind, targets FROM drafts JOIN d USING (to_id) WHERE kind = 'calls' AND subkind = 'external' AND split_part(from_id, '.go', 1) <> split_part(to_id, '.tick', 1)",
     "build_graph": after("n", more=_RESOLVED)

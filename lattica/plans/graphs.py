@@ -447,6 +447,12 @@ def call_resolution(g: Star) -> DataFrame:
     return _calls_drafts(g).select("kind", "subkind", "from_id", "to_id", "resolution")
 
 
+def varied_calls(g: Star) -> DataFrame:
+    """Drafts where names are overloaded, attached, imported under an alias, hidden by locals, or held in pointers."""
+    d = Resolver(materialise(ingest.parse_units(g.varied_sources()))).drafts()
+    return d.where("kind <> 'declares'").select("kind", "subkind", "from_id", "to_id", "resolution")
+
+
 def possible_targets(g: Star) -> DataFrame:
     """Calls that may end in a derived contract's override, with how many of them."""
     d = _calls_drafts(g).where("kind = 'calls' and size(targets) > 0")
@@ -642,6 +648,6 @@ def diff_findings(g: Star) -> DataFrame:
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
     c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
-    parsed_symbol_stats, parse_diagnostics, incremental_build, call_resolution, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
+    parsed_symbol_stats, parse_diagnostics, incremental_build, call_resolution, varied_calls, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

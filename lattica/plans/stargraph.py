@@ -23,6 +23,63 @@ def _pick(index: Column, names: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (index + 1).cast("int"))
 
 
+#: Two files whose names are drawn from each other by alias, by namespace, by attachment and by inheritance.
+VARIED = {
+    "lib.sol": """pragma solidity ^0.8.0;
+library L{k} {
+    function plus(uint256 a, uint256 b) internal pure returns (uint256) { return a; }
+    function plus(uint256 a) internal pure returns (uint256) { return a; }
+    function only(uint256 a) internal pure {}
+}
+function free{k}(uint256 a) pure {}
+function twice{k}(uint256 a) pure {}
+interface I{k} { function ping(uint256 a) external; }
+contract Base{k} {
+    uint256 public total;
+    constructor(uint256 a) {}
+    modifier held(uint256 a) { _; }
+    function step(uint256 a) public virtual {}
+    function step(address a) public virtual {}
+    function step(uint256 a, uint256 b) public virtual {}
+}
+""",
+    "main.sol": """pragma solidity ^0.8.0;
+import {L{k} as Lib{k}, Base{k}, I{k}, free{k}} from "./lib.sol";
+import "./lib.sol" as Space{k};
+contract Main{k} is Base{k} {
+    using Lib{k} for uint256;
+    using {free{k}} for address;
+    function(uint256) internal pointer;
+    I{k} peer;
+    constructor() Base{k}(1) {}
+    function step(uint256 a) public override held(a) {}
+    function make() internal returns (I{k}) {}
+    function overloads() external { step(1); }
+    function narrowed() external { step(1, 2); }
+    function unfit() external { step(1, 2, 3); }
+    function own() external { this.step(1); }
+    function attached(uint256 x) external { x.plus(1); }
+    function single(uint256 x) external { x.only(); }
+    function listed(address who) external { who.free{k}(); }
+    function detached(address who) external { who.nothing(); }
+    function low(address who) external { who.delegatecall(""); }
+    function aliased(uint256 x) external { Lib{k}.plus(x); }
+    function spaced(uint256 x) external { Space{k}.twice{k}(x); }
+    function pointed(uint256 x) external { pointer(x); }
+    function local(uint256 x) external { function(uint256) internal f; f(x); }
+    function loose(uint256 x) external { free{k}(x); }
+    function far(uint256 x) external { peer.ping(x); }
+    function none(uint256 x) external { peer.pong(x); }
+    function chained(uint256 x) external { make().ping(x); }
+    function getter(address who) external { Base{k}(who).total(); }
+    function built() external { new Base{k}(1); }
+    function stored(uint256 x) external { total = x; }
+    function hidden(uint256 total) external { total = 1; }
+}
+""",
+}
+
+
 @dataclass
 class Star:
     """The derived tables of one data folder; every part is lazy but for the number of suppliers."""
@@ -163,6 +220,12 @@ class Star:
         text = F.concat(F.lit("pragma solidity ^0.8.0;\ncontract C"), k.cast("string"), base, F.lit(" {\n"), *parts)
         return self.table("supplier").select(F.concat(F.lit("lib/C"), k, F.lit(".sol")).alias("file"), text.alias("content"))
 
+    def varied_sources(self) -> DataFrame:
+        """(file, content): by supplier a library, an interface and a base in one file, and in another a contract that names them in every way."""
+        k = F.col("s_suppkey").cast("string")
+        each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in VARIED.items()))).alias("x")
+        return self.table("supplier").select(k.alias("k"), each).select(F.concat(F.lit("p"), "k", F.lit("/"), "x.name").alias("file"), F.replace("x.text", F.lit("{k}"), F.col("k")).alias("content"))
+
     def graph(self) -> Graph:
         """Nodes and edges with all their columns."""
         files, functions = self.files(), self.functions()

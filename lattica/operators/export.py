@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot_quote, embed_json, xml_escape
 from ..schema import Graph
+from .layers import layers
 
 # How kinds and confidences are drawn.
 SHAPES = {"Contract": "box", "Function": "ellipse", "StateVariable": "cylinder", "Event": "cds", "Error": "octagon", "Unresolved": "diamond", "SourceUnit": "folder"}
@@ -60,39 +61,49 @@ def to_json(view: Graph) -> str:
     return json.dumps({"nodes": rows(view.nodes), "edges": rows(view.edges)}, indent=2, ensure_ascii=False) + "\n"
 
 
-def layers(view: Graph, rounds: int = 32) -> dict[str, int]:
-    """A layer for each node of a small selection: longest path from a source, circles cut at ``rounds``."""
-    arcs = [(r["from_id"], r["to_id"]) for r in view.edges.select("from_id", "to_id").distinct().collect() if r["from_id"] != r["to_id"]]
-    level = {r["id"]: 0 for r in view.nodes.select("id").collect()}
-    for _ in range(min(rounds, len(level))):
-        moved = False
-        for a, b in arcs:
-            if a in level and b in level and level[b] < level[a] + 1 <= rounds:
-                level[b], moved = level[a] + 1, True
-        if not moved:
-            break
-    return level
-
-
-def to_svg(view: Graph, width: int = 180, height: int = 60) -> str:
-    """A layered drawing of a small selection."""
-    level, place, used = layers(view), {}, {}
-    names = {r["id"]: (r["name"] or r["id"], r["kind"]) for r in view.nodes.select("id", "name", "kind").orderBy("id").collect()}
-    for node in names:
-        y = used.get(level[node], 0)
-        used[level[node]] = y + 1
-        place[node] = (level[node] * width, y * height)
+#: Widths of a drawing: of a letter, around a name, between layers and between rows.
+LETTER, PADDING, GAP, ROW = 7, 12, 60, 60
+
+
+def _ordered(level: dict[str, int], arcs: list[tuple[str, str]]) -> dict[str, int]:
+    """Rows of a drawing's nodes within their layers: by the mean row of what leads to them, then by id."""
+    into: dict[str, list[str]] = {}
+    for a, b in arcs:
+        if level[a] < level[b]:
+            into.setdefault(b, []).append(a)
+    row: dict[str, int] = {}
+    by: dict[int, list[str]] = {}
+    for node in sorted(level):
+        by.setdefault(level[node], []).append(node)
+    for layer in sorted(by):
+        mean = {n: sum(row[a] for a in into.get(n, ())) / max(1, len(into.get(n, ()))) for n in by[layer]}
+        row |= {n: i for i, n in enumerate(sorted(by[layer], key=lambda n: (mean[n], n)))}
+    return row
+
+
+def to_svg(view: Graph) -> str:
+    """A layered drawing of a selection that may be drawn (``views`` refuses larger ones); layers are found in Spark, names are whole."""
+    arcs = view.edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    known = view.nodes.select("id")
+    arcs = arcs.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi").select("src", "dst")
+    level = {r["id"]: r["layer"] for r in layers(view.nodes, arcs).collect()}
+    names = {r["id"]: (r["name"] or r["id"], r["kind"]) for r in view.nodes.select("id", "name", "kind").collect()}
+    lines = [(r["from_id"], r["to_id"], r["resolution"]) for r in view.edges.select("from_id", "to_id", "resolution").orderBy("from_id", "to_id").collect() if r["from_id"] in level and r["to_id"] in level]
+    row = _ordered(level, [(a, b) for a, b, _ in lines])
+    wide = {n: len(names[n][0]) * LETTER + PADDING for n in level}
+    left, at = {}, 0
+    for layer in range(max(level.values(), default=-1) + 1):
+        left[layer] = at
+        at += max((wide[n] for n in level if level[n] == layer), default=0) + GAP
+    place = {n: (left[level[n]], row[n] * ROW) for n in sorted(level)}
     body = []
-    for r in view.edges.select("from_id", "to_id", "resolution").orderBy("from_id", "to_id").collect():
-        if r["from_id"] in place and r["to_id"] in place:
-            (a, b), (c, d) = place[r["from_id"]], place[r["to_id"]]
-            dash = "" if r["resolution"] in ("semantic", "heuristic") else ' stroke-dasharray="4 3"'
-            body.append(f'<line x1="{a + 120}" y1="{b + 15}" x2="{c}" y2="{d + 15}" stroke="#888"{dash}/>')
+    for a, b, resolution in lines:
+        dash = "" if resolution in ("semantic", "heuristic") else ' stroke-dasharray="4 3"'
+        body.append(f'<line x1="{place[a][0] + wide[a]}" y1="{place[a][1] + 15}" x2="{place[b][0]}" y2="{place[b][1] + 15}" stroke="#888"{dash}/>')
     for node, (x, y) in place.items():
         name, kind = names[node]
-        body.append(f'<rect x="{x}" y="{y}" width="120" height="30" fill="{COLOURS.get(kind, "#ccc")}"/><text x="{x + 4}" y="{y + 19}" font-size="11">{xml_escape(name[:18])}</text>')
-    w, h = (max(used, default=0) + 1) * width, max(used.values(), default=0) * height
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w} {h}">' + "".join(body) + "</svg>\n"
+        body.append(f'<rect x="{x}" y="{y}" width="{wide[node]}" height="30" fill="{COLOURS.get(kind, "#ccc")}"/><text x="{x + PADDING // 2}" y="{y + 19}" font-size="11">{xml_escape(name)}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {at} {(max(row.values(), default=0) + 1) * ROW}">' + "".join(body) + "</svg>\n"
 
 
 #: Bytes of a self-contained page, and the shares of it up to which maps, contract and call views, inspections and sources may fill it.

@@ -202,6 +202,14 @@ ORACLES = {
         c AS (SELECT *, sum(strlen(w)) OVER o - strlen(w) + strlen(gap) AS byte, sum(units) OVER o - units + length(gap) AS utf16, 1 + sum(nl) OVER o AS line FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
         l AS (SELECT *, max(CASE WHEN nl > 0 THEN utf16 - tail END) OVER (PARTITION BY doc_id ORDER BY i) AS start FROM c)
         SELECT doc_id, CAST(byte AS BIGINT) AS "offset", CAST(utf16 AS BIGINT) AS utf16, CAST(line AS BIGINT) AS line, CAST(utf16 - coalesce(start, 0) AS BIGINT) AS column FROM l""".replace("\\\\", "\\"),
+    "inheritance_layers": after("inherits", more={
+        "arcs": """SELECT from_id AS a, to_id AS b FROM inherits UNION SELECT to_id, from_id FROM inherits WHERE CAST(replace(from_id, 'c:', '') AS BIGINT) % 7 = 0 AND to_id = 'c:' || (CAST(replace(from_id, 'c:', '') AS BIGINT) // 2)""",
+        "r": "SELECT a, b FROM arcs UNION SELECT r.a, arcs.b FROM r JOIN arcs ON arcs.a = r.b",
+        "comp": "SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a",
+        "n": "SELECT 'c:' || s_suppkey AS id, coalesce(component, 'c:' || s_suppkey) AS g FROM supplier LEFT JOIN comp ON comp.id = 'c:' || s_suppkey",
+        "e": "SELECT DISTINCT x.g AS a, y.g AS b FROM arcs JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE x.g <> y.g",
+        "d": "SELECT DISTINCT g, 0 AS layer FROM n UNION SELECT e.b, layer + 1 FROM d JOIN e ON e.a = d.g",
+    }) + "SELECT n.id, max(layer) AS layer, any_value(component) AS component FROM n JOIN d USING (g) LEFT JOIN comp ON comp.id = n.id GROUP BY n.id",
     "callers_of_top": after("hops", more={"top": "SELECT to_id AS id FROM calls WHERE to_id LIKE 'f:%' GROUP BY 1 ORDER BY count(DISTINCT from_id) DESC, to_id LIMIT 1",
         "walk_up": _WALK.format(way="up", depth=2).replace("SELECT 'f:42' AS id, 0 AS depth", "SELECT id, 0 AS depth FROM top")})
     + "SELECT id, min(depth) AS depth FROM walk_up WHERE id NOT IN (SELECT id FROM top) GROUP BY id",

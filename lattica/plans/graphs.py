@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.positions import locate
 from ..functions.text import base_type_of, normalise_type, share_text, signature
-from ..operators import analysis, audit, build, closure, diff, inherit, inspect, reach, search, views
+from ..operators import analysis, audit, build, closure, diff, inherit, inspect, layers, reach, search, views
 from ..operators.collapse import mark_trust_boundaries, placeholders, resolution_score, structural, with_state_flags
 from ..operators.overlay import Overlay
 from ..operators.resolve import Remappings, Resolver, resolve_imports
@@ -225,6 +225,16 @@ def entrypoint_set_sizes(g: Star) -> DataFrame:
     return reach.set_sizes(reach.origin_sets(entries, arcs(g).unionByName(back)))
 
 
+def inheritance_layers(g: Star) -> DataFrame:
+    """Layers of the whole inheritance graph, where every seventh contract's first base also leads back to it, and its circles."""
+    up = g.inherits().select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    k = F.regexp_replace("src", "c:", "").cast("long")
+    back = up.where((k % 7 == 0) & (F.col("dst") == F.concat(F.lit("c:"), F.floor(k / 2)))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = materialise(up.unionByName(back))
+    nodes = g.contracts().select("id")
+    return layers.layers(nodes, every).join(layers.components(every), "id", "left").select("id", "layer", "component")
+
+
 def callers_of_top(g: Star) -> DataFrame:
     """Callers within two hops of the function that is called from most."""
     e = materialise(g.call_edges())
@@ -647,7 +657,7 @@ def diff_findings(g: Star) -> DataFrame:
 
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
-    c3_chain, entrypoint_set_sizes, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
+    c3_chain, entrypoint_set_sizes, inheritance_layers, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
     parsed_symbol_stats, parse_diagnostics, incremental_build, call_resolution, varied_calls, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

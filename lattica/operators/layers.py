@@ -54,27 +54,39 @@ def components(arcs: DataFrame) -> DataFrame:
         rest = _trimmed(materialise(rest.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")))
     if found is None:
         return arcs.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    return materialise(found.select("id", F.col("colour").alias("component")))
+    found = materialise(found.select("id", F.col("colour").alias("component")))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component"), "component", "left_semi").select("id", "component")
+
+
+def _peeled(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, layer), arcs left): a round takes the nodes that no arc of the rest enters, and the arcs that leave them."""
+    rest, layer = arcs, 0
+    ready = materialise(nodes.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
+    done = ready.withColumn("layer", F.lit(0))
+    while not ready.isEmpty() and not rest.isEmpty():
+        layer += 1
+        leaving = rest.join(ready.select(F.col("id").alias("src"), F.lit(True).alias("_go")), "src", "left")
+        marked = materialise(leaving.select("src", "dst", F.col("_go").isNotNull().alias("gone")))
+        rest = marked.where("not gone").select("src", "dst")
+        ready = materialise(marked.groupBy(F.col("dst").alias("id")).agg(F.bool_and("gone").alias("free")).where("free").select("id"))
+        done = done.unionByName(ready.withColumn("layer", F.lit(layer)))
+    return done, rest
 
 
 def layers(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(id, layer) of all nodes: arcs lead to higher layers, but for those of a circle, whose nodes share one.
 
-    A round takes away the nodes that no arc of the rest enters; the number of the round is their layer. Rounds are as
-    many as the longest way.
+    The number of the round that takes a node is its layer, so rounds are as many as the longest way. Where circles keep
+    the rounds from ending, they are drawn together to a node each, and the rounds begin anew.
     """
     own = nodes.select("id").distinct()
-    circles = components(arcs)
+    plain = materialise(arcs.select("src", "dst").where("src <> dst").distinct())
+    done, stuck = _peeled(own, plain)
+    if stuck.isEmpty():
+        return materialise(done)
+    circles = materialise(components(stuck))
     named = lambda c: F.coalesce(f"_{c}", c)
-    rest = arcs.join(circles.toDF("src", "_src"), "src", "left").join(circles.toDF("dst", "_dst"), "dst", "left").select(named("src").alias("src"), named("dst").alias("dst")).where("src <> dst").distinct()
-    rest = materialise(rest)
-    group = own.join(circles, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    ready = materialise(group.select(F.col("component").alias("id")).distinct().join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
-    done, layer = ready.withColumn("layer", F.lit(0)), 0
-    while not rest.isEmpty():
-        layer += 1
-        entered = rest.join(ready.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        rest = materialise(rest.join(ready.toDF("src"), "src", "left_anti").select("src", "dst"))
-        ready = materialise(entered.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
-        done = done.unionByName(ready.withColumn("layer", F.lit(layer)))
+    drawn = plain.join(circles.toDF("src", "_src"), "src", "left").join(circles.toDF("dst", "_dst"), "dst", "left").select(named("src").alias("src"), named("dst").alias("dst")).where("src <> dst").distinct()
+    group = materialise(own.join(circles, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    done, _ = _peeled(group.select(F.col("component").alias("id")).distinct(), materialise(drawn))
     return materialise(group.join(done.toDF("component", "layer"), "component").select("id", "layer"))

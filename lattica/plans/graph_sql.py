@@ -229,6 +229,11 @@ ORACLES = {
     "type_names": "SELECT p_partkey, lower(p_type) || '[' || p_size || ']memory' AS type, lower(p_type) AS base, '(' || lower(p_type) || '[' || p_size || ']memory,uint256)' AS signature FROM part",
     "review_updates": after("functions") + """SELECT id AS node, 'reviewed' AS status, CASE WHEN k % 20 = 0 THEN 'old' ELSE body_hash END AS body_hash FROM functions WHERE k % 10 = 0 AND k % 15 <> 0 AND k NOT IN (10, 30)
         UNION ALL SELECT id, 'flagged', body_hash FROM functions WHERE k % 15 = 0 AND k NOT IN (10, 30) UNION ALL SELECT 'gone:' || s_suppkey, 'follow-up', 'x' FROM supplier WHERE s_suppkey % 7 = 0""",
+    "review_deltas": after("functions", more={
+        "st": "SELECT id, k, CASE WHEN k % 3 = 0 THEN 'flagged' ELSE 'reviewed' END AS status FROM functions", "s0": "SELECT * FROM st WHERE k % 2 = 0",
+        "s1": "SELECT id, k, CASE WHEN k % 11 = 0 AND status = 'reviewed' THEN 'ignored' ELSE status END AS status FROM s0 WHERE k % 5 <> 0", "s3": "SELECT * FROM st WHERE k % 7 <> 0",
+    }) + " UNION ALL ".join(f"""SELECT {n} AS batch, coalesce(y.id, x.id) AS node, CASE WHEN x.id IS NULL THEN 'set' WHEN y.id IS NULL THEN 'cleared' ELSE 'changed' END AS change, coalesce(y.status, x.status) AS status
+        FROM {a} x FULL JOIN {b} y ON y.id = x.id WHERE x.status IS DISTINCT FROM y.status""" for n, a, b in ((0, "(SELECT * FROM s0 WHERE false)", "s0"), (1, "s0", "s1"), (3, "s1", "s3"))),
     "audit_summary": """SELECT (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS reviewed, CAST(0 AS BIGINT) AS flagged, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS follow_up, CAST(0 AS BIGINT) AS ignored,
         (SELECT count(*) FROM part WHERE p_partkey % 20 = 0) AS stale_reviews, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS orphaned_reviews, (SELECT count(*) FROM part WHERE p_partkey % 9 = 0) AS findings,
         (SELECT count(*) FROM part WHERE p_partkey % 18 = 0) AS stale_findings""",

@@ -15,6 +15,7 @@ from ..operators.resolve import visible_names as names_in_sight
 from ..schema import EDGE, EXTERNAL_SUBKINDS, FLAGS, NODE, Graph, conform
 from ..sources import incremental, ingest, store
 from ..sources.buildinfo import FACTS, facts_of, read_build_info, unusable
+from ..streaming import watch
 from .stargraph import GUARDS, Star
 from .storage import materialise, shared_path
 
@@ -306,6 +307,24 @@ def review_updates(g: Star) -> DataFrame:
     return store.read_review_parts(g.spark, path).select("node", "status", "body_hash")
 
 
+def review_deltas(g: Star) -> DataFrame:
+    """What a stream tells of three whole review files and one that is broken, which come one after another."""
+    folder = shared_path(g.spark)
+    k = F.col("k")
+    one = F.to_json(F.create_map("id", F.struct(F.when(k % 3 == 0, "flagged").otherwise("reviewed").alias("status"), F.col("body_hash").alias("bodyHash"))))
+    rounds = (F.lit(True), k % 5 != 0, None, k % 7 != 0)
+    query = None
+    for i, kept in enumerate(rounds):
+        held = g.functions().where(k % 2 == 0 if i < 3 else F.lit(True)).where(kept) if kept is not None else g.functions()
+        entry = F.when((k % 11 == 0) & F.lit(i == 1), F.replace(one, F.lit("reviewed"), F.lit("ignored"))).otherwise(one)
+        body = held.select(entry.alias("e")).agg(F.array_join(F.sort_array(F.collect_list(F.expr("substring(e, 2, length(e) - 2)"))), ",").alias("b"))
+        text = F.concat(F.lit("{"), "b", F.lit("}")) if kept is not None else F.lit('{"f:0":')
+        body.select(text.alias("value")).coalesce(1).write.mode("append").option("compression", "none").text(f"{folder}/in")
+        query = watch.follow_snapshots(watch.snapshot_stream(g.spark, f"{folder}/in", "*.txt"), f"{folder}/out", once=True)
+        query.awaitTermination()
+    return g.spark.read.option("basePath", f"{folder}/out/changes").parquet(f"{folder}/out/changes").select(F.col("batch").cast("long").alias("batch"), "node", "change", "status")
+
+
 def audit_summary(g: Star) -> DataFrame:
     known = g.functions().select(F.concat(F.lit("f:"), F.col("k")).alias("nid"), "body_hash", "k")
     found = known.where("k % 9 = 0").select(F.concat(F.lit("x:"), F.col("k")).alias("id"), F.array(F.struct(F.col("nid").alias("id"), F.when(F.col("k") % 2 == 0, "old").otherwise(F.col("body_hash")).alias("body_hash"))).alias("nodes"))
@@ -657,7 +676,7 @@ def diff_findings(g: Star) -> DataFrame:
 
 OWN = (
     view_protocol, view_sizes, view_aggregate, view_nested, view_compound, view_errors, applied_modifiers, guarded_functions, fully_implemented, state_flags, trust_boundaries, structural_graph, score_by_version, entrypoint_sets, callers_of_top,
-    c3_chain, entrypoint_set_sizes, inheritance_layers, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
+    c3_chain, entrypoint_set_sizes, inheritance_layers, positions, node_relations, lens_titles, nodes_in_file, suggestions, type_names, review_updates, review_deltas, audit_summary, suffix_paths, findings_import, stored_graph, graph_json, import_resolution, prefix_remap, visible_names,
     parsed_symbol_stats, parse_diagnostics, incremental_build, call_resolution, varied_calls, possible_targets, build_graph, overlay_apply, overlay_selectors, overlay_coverage, build_info, overlay_relations, matched_tiers, signature_tier, diff_findings,
 )
 QUERIES = {f.__name__: (lambda spark, path, f=f: f(Star(spark, path))) for f in OWN}

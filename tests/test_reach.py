@@ -36,6 +36,43 @@ def test_origin_sets_equal_walks(spark, nodes, arcs, parts):
     assert {r["id"] for r in reach.reached_by(sets, one).collect()} == {n for n, v in by.items() if v & wanted}
 
 
+@pytest.mark.parametrize(("nodes", "arcs", "words"), [(60, 80, 1), (300, 450, 2)])
+def test_counts_equal_walks(spark, nodes, arcs, words):
+    rng = random.Random(nodes + arcs)
+    pairs = [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(arcs)]
+    starts = [f"n{i}" for i in rng.sample(range(nodes), nodes // 3)] + ["alone"]
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    by, far = defaultdict(set), {}
+    for s in starts:
+        todo, seen = [s], {s}
+        while todo:
+            for n in out[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        far[s] = len(seen)
+        for n in seen:
+            by[n].add(s)
+    counts = reach.Counts(spark.createDataFrame([(s,) for s in starts * 2], "id string"), spark.createDataFrame(pairs, "src string, dst string"), words)
+    assert {r["id"]: r["origins"] for r in counts.origins().collect()} == {n: len(v) for n, v in by.items()}
+    assert {r["origin"]: r["reached"] for r in counts.reached().collect()} == far
+
+
+def test_counts_make_no_pairs_through_a_circle(spark):
+    n = 400
+    rows = [(f"i{i}", f"c{i % 9}") for i in range(n)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [(f"c{i % 9}", f"o{i}") for i in range(n)]
+    counts = reach.Counts(spark.createDataFrame([(a,) for a, _ in rows if a[0] == "i"], "id string"), spark.createDataFrame(rows, "src string, dst string"))
+    assert counts._pairs.count() == n  # each origin with itself; all pairs would be n * (n + 10)
+    assert {r["reached"] for r in counts.reached().collect()} == {n + 10}
+    assert {r["id"][0]: r["origins"] for r in counts.origins().collect()} == {"i": 1, "c": n, "o": n}
+
+
+def test_counts_without_origins(spark):
+    none = reach.Counts(spark.createDataFrame([], "id string"), spark.createDataFrame([("a", "b")], "src string, dst string"))
+    assert none.origins().isEmpty() and none.reached().isEmpty()
+
+
 def test_origin_sets_without_origins(spark):
     none = reach.numbered(spark.createDataFrame([], "id string"))
     assert reach.origin_sets(none, spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0

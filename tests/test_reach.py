@@ -8,7 +8,8 @@ from collections import defaultdict
 import pytest
 
 from lattica.functions import positions
-from lattica.operators import reach
+from lattica.operators import closure, reach
+from lattica.plans.stargraph import Star
 
 
 @pytest.mark.parametrize(("nodes", "arcs", "parts"), [(30, 25, 1), (60, 120, 3), (200, 210, 5)])
@@ -96,3 +97,21 @@ def test_positions_equal_plain_ones(spark, piece):
             want.add((name, at, utf16(before), before.count("\n") + 1, utf16(before.rpartition("\n")[2])))
     got = positions.locate(spark.createDataFrame(list(texts.items()), "file string, content string"), spark.createDataFrame([*asked, ("gone", 0)], "file string, offset long"), piece)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_plain_pieces_leave_their_text_behind(spark):
+    texts = spark.createDataFrame([("a", "plain\nlines"), ("b", "plain\nn\u00e9")], "file string, content string")
+    assert {r["text"] for r in positions._starts(texts, 256).select("piece.text").collect()} == {None, "n\u00e9"}
+
+
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_reached_without_ways(spark, monkeypatch, small):
+    monkeypatch.setattr(closure, "SMALL_INDEX", small)
+    arcs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("b", "c")], "src string, dst string")
+    assert sorted(r["id"] for r in closure.reached(spark.createDataFrame([("b",), ("e",)], "id string"), arcs).collect()) == ["a", "b", "c", "e"]
+
+
+def test_lines_are_found_once(spark):
+    g = Star(spark, "/root/testdata/sf0.001")
+    assert not [f for df in (g.calls(), g.accesses()) for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+    assert g.calls().count() == 263

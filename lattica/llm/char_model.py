@@ -35,8 +35,8 @@ ORDER = 5
 ALPHABET = 0x110000
 #: N-grams of a part of the table, which is in memory as a whole; n-grams that a task holds before it hands them on.
 SHARD, HELD = 1_000_000, 500_000
-#: Bytes of text whose open n-grams a part answers, about; n-grams that a task asks for at once, those in a row, and those that a copy of a part answers.
-PART_BYTES, ASK, AT_ONCE, PER_COPY = 64 << 20, 500_000, 50_000, 8_000_000
+#: Bytes of text whose open n-grams a part answers, about; n-grams that a task asks for at once, those in a row (a page of a file is 100 rows at least, and in memory whole), and those that a copy of a part answers.
+PART_BYTES, ASK, AT_ONCE, PER_COPY = 64 << 20, 250_000, 10_000, 8_000_000
 #: Documents whose n-grams say which are frequent, and how many of these every task has.
 SAMPLE_DOCS, FREQUENT = 5_000, 250_000
 #: Costs are summed in whole parts of a bit.
@@ -148,8 +148,12 @@ def _shifted(x: list[str]) -> list[Column]:
 
 def _packed(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each place's symbol and the four before it, 21 bits each, in two integers."""
-    x = [symbols[at - back].astype(np.int64) for back in range(ORDER - 1, -1, -1)]
-    return x[0] << 21 | x[1], x[2] << 42 | x[3] << 21 | x[4]
+    own = symbols.view(np.int64)
+    hi, lo = own[at - 4] << 21, own[at - 2] << 42
+    hi |= own[at - 3]
+    lo |= own[at - 1] << 21
+    lo |= own[at]
+    return hi, lo
 
 
 def _key(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray | int) -> np.ndarray:
@@ -229,13 +233,21 @@ def _requests(flush: int, first: int, hi: np.ndarray, lo: np.ndarray, rid: np.nd
 
 
 class _Shard:
-    """The entries of a part, sorted by key."""
+    """The entries of a part, sorted by key; of each only key and value are held."""
 
-    def __init__(self, held: list[tuple]):
-        tag, hi, lo, value = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = _key(hi, lo, tag)
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(_key(np.full(1, -1), np.full(1, -1), 0), np.zeros(1))]
+
+    def add(self, tag: np.ndarray, hi: np.ndarray, lo: np.ndarray, value: np.ndarray) -> None:
+        self.held.append((_key(hi, lo, tag), value.copy()))
+
+    def close(self) -> None:
+        """Sorts what was added; from then on entries can be looked up."""
+        if self.held:
+            key, value = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held = []
+            order = np.argsort(key)
+            self.key, self.value = key[order], value[order]
 
     def of(self, hi: np.ndarray, lo: np.ndarray, tag: np.ndarray) -> np.ndarray:
         key = _key(hi, lo, tag)
@@ -276,23 +288,21 @@ def answers(requests: DataFrame, table: DataFrame, base: dict[int, float], parts
         return pa.RecordBatch.from_arrays([pa.array(by[starts] // len(bases) + first), pa.array((by[starts] % len(bases)).astype(np.int32)), pa.array(np.add.reduceat(cost, starts))], ["rid", "model", "cost"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, shard = None, [], None
+        now, shard = None, _Shard()
         for batch in batches:
             group = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
             asked = batch.column(2).to_numpy()
             edges = np.unique(np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(asked) != 0)) + 1, [len(group)]])).tolist()
             for i, j in zip(edges, edges[1:], strict=False):
                 if group[i] != now:
-                    now, held, shard = group[i], [], None
+                    now, shard = group[i], _Shard()
                 if not asked[i]:
-                    held.append(tuple(batch.column(c).slice(i, j - i).to_numpy() for c in range(3, 7)))
+                    shard.add(*(batch.column(c).slice(i, j - i).to_numpy() for c in range(3, 7)))
                     continue
-                if shard is None:
-                    held.append((np.zeros(1, np.int64), np.full(1, -1), np.full(1, -1), np.zeros(1)))
-                    held, shard = [], _Shard(held)
+                shard.close()
                 for r in range(i, j):
                     yield summed(shard, batch.column(7)[r].as_py(), [batch.column(c)[r] for c in range(8, 12)])
-        held, shard = [], None
+        shard = None
         ngrams.trim()
 
     amount = F.sum(F.octet_length("lo") / 8)
@@ -378,6 +388,7 @@ def scored(docs: DataFrame, table: DataFrame, base: dict[int, float], models: li
         for batch in batches:
             use = [batch.column(i).fill_null(-1).to_numpy() for i in by]
             n, sums = np.zeros(batch.num_rows, np.int64), [np.zeros(batch.num_rows, np.int64) for _ in by]
+            kinds = [*(batch.column(i).type for i in kept_at), *[pa.int64()] * (2 + len(by))]
             for data, ends, row, rows in ngrams.chunks(batch.column(at)):
                 symbols, places, lengths = _symbols(data, ends)
                 n[row : row + rows] = lengths
@@ -399,13 +410,12 @@ def scored(docs: DataFrame, table: DataFrame, base: dict[int, float], models: li
                             ask = unknown[mine]
                             held.append((hi[ask], lo[ask], rid + row + doc[mine], np.full(len(ask), m)))
                             open_ += len(ask)
+                if open_ > ASK:  # a document's n-grams are all asked for in one chunk
+                    yield asked()
+                    first, held, open_ = rid + row + rows, [], 0
             own = [batch.column(i) for i in kept_at] + [pa.array(np.arange(rid, rid + batch.num_rows)), pa.array(n), *map(pa.array, sums)]
-            kinds = [c.type for c in own]
             yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(batch.num_rows, f.type) for f in pa_request)], schema.names)
             rid += batch.num_rows
-            if open_ > ASK:
-                yield asked()
-                first, held, open_ = rid, [], 0
         if held:
             yield asked()
         held = []

@@ -35,6 +35,8 @@ ORDER = 5
 ALPHABET = 0x110000
 #: N-grams of a part of the table, which is in memory as a whole; n-grams that a task holds before it hands them on.
 SHARD, HELD = 1_000_000, 500_000
+#: Bytes of text worked on at once: each makes some 150 bytes of arrays for a while.
+CHUNK = 1 << 17
 #: Bytes of text whose open n-grams a part answers, about; n-grams that a task asks for at once, those in a row (a page of a file is 100 rows at least, and in memory whole), and those that a copy of a part answers.
 PART_BYTES, ASK, AT_ONCE, PER_COPY = 64 << 20, 250_000, 10_000, 8_000_000
 #: Documents whose n-grams say which are frequent, and how many of these every task has.
@@ -78,7 +80,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         parts: list[tuple] = []
         for batch in batches:
             folds = batch.column(1).to_numpy().astype(np.int32)
-            for data, ends, row, rows in ngrams.chunks(batch.column(0)):
+            for data, ends, row, rows in ngrams.chunks(batch.column(0), CHUNK):
                 symbols, at, lengths = _symbols(data, ends)
                 if not len(at):
                     continue
@@ -389,7 +391,7 @@ def scored(docs: DataFrame, table: DataFrame, base: dict[int, float], models: li
             use = [batch.column(i).fill_null(-1).to_numpy() for i in by]
             n, sums = np.zeros(batch.num_rows, np.int64), [np.zeros(batch.num_rows, np.int64) for _ in by]
             kinds = [*(batch.column(i).type for i in kept_at), *[pa.int64()] * (2 + len(by))]
-            for data, ends, row, rows in ngrams.chunks(batch.column(at)):
+            for data, ends, row, rows in ngrams.chunks(batch.column(at), CHUNK):
                 symbols, places, lengths = _symbols(data, ends)
                 n[row : row + rows] = lengths
                 if not len(places):

@@ -81,14 +81,14 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> tuple
     return hashes, number
 
 
-def chunks(column: pa.Array):
-    """(bytes, ends, first row, rows) of parts of a string column, at row limits, of about CHUNK bytes."""
+def chunks(column: pa.Array, size: int = CHUNK):
+    """(bytes, ends, first row, rows) of parts of a string column, at row limits, of about ``size`` bytes."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     row = 0
     while row < len(column):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield data[offsets[row] : offsets[to]], offsets[row + 1 : to + 1] - offsets[row], row, to - row
         row = to
 

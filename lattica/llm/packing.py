@@ -29,7 +29,7 @@ from .common import join_checked, limit_batches, materialise
 
 CAPACITY = 4096
 #: Words, and parts of words, kept per worker in each of two generations with their ids, at about 200 bytes each; what is let go costs time only.
-CACHE_WORDS, CACHE_PARTS = 100_000, 200_000
+CACHE_WORDS, CACHE_PARTS = 30_000, 30_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -37,6 +37,17 @@ PIECES = T.StructType([
 ])
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str):
+    """A process's own tokenizer; each one that is loaded leaves some MB behind for good, so tasks share it."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordTokenizer:
     """Ids of a text from the ids of its words.
 
@@ -50,12 +61,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+        self.model = loaded(path)
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.cache_words, self.cache_parts = cache_words, cache_parts
@@ -133,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """Pieces of each document's ids and one ``end_id``, in order; ``nth`` counts equal lengths within a partition.
 
     With ``keep_words`` a worker keeps the words it learned for its next task; else it
-    gives their memory back with the tokenizer's when a task ends.
+    gives their memory back when a task ends. The tokenizer stays.
     """
     tokenizer = tokenizer or default_tokenizer()
 

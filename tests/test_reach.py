@@ -8,7 +8,8 @@ from collections import defaultdict
 import pytest
 
 from lattica.functions import positions
-from lattica.operators import closure, reach
+from lattica.operators import analysis, closure, reach
+from lattica.plans import graphs
 from lattica.plans.stargraph import Star
 
 
@@ -69,6 +70,37 @@ def test_counts_make_no_pairs_through_a_circle(spark):
     assert {r["id"][0]: r["origins"] for r in counts.origins().collect()} == {"i": 1, "c": n, "o": n}
 
 
+def test_counts_find_circles_behind_nodes_of_more_ways(spark):
+    rng = random.Random(4)
+    rings = [(f"r{k}-{i}", f"r{k}-{(i + 1) % 100}") for k in range(4) for i in range(100)]
+    pairs = rings + [(a, f"m{m}") for a, _ in rings for m in rng.sample(range(300), 8)] + [(f"m{m}", f"s{m}-{i}") for m in range(300) for i in range(2)]
+    starts = sorted({a for a, _ in rings})
+    counts = reach.Counts(spark.createDataFrame([(a,) for a in starts], "id string"), spark.createDataFrame(pairs, "src string, dst string"))
+    assert counts._pairs.count() < 2000  # rings without a hub: each its 10,000 pairs and those with what it leads to
+    want = {k: 100 + 3 * len({b for a, b in pairs if a[0] == "r" and a.startswith(f"r{k}-") and b[0] == "m"}) for k in range(4)}
+    assert {r["origin"]: r["reached"] for r in counts.reached().collect()} == {a: want[int(a[1])] for a in starts}
+
+
+@pytest.mark.parametrize(("nodes", "arcs"), [(60, 110), (300, 420)])
+def test_counts_by_rounds_equal_few_arcs(spark, monkeypatch, nodes, arcs):
+    rng = random.Random(nodes)
+    pairs = spark.createDataFrame([(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(arcs)], "src string, dst string")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(0, nodes, 3)], "id string")
+    few = reach.Counts(starts, pairs)
+    want = [sorted(map(tuple, x.collect())) for x in (few.reached(), few.origins())]
+    for name, value in (("FEW_ARCS", 0), ("SMALL_SIDE", 10), ("SMALL_INDEX", 0)):
+        monkeypatch.setattr(reach, name, value)
+    by = reach.Counts(starts, pairs)
+    assert [sorted(map(tuple, x.collect())) for x in (by.reached(), by.origins())] == want
+
+
+def test_scopes_need_no_orders(spark, monkeypatch):
+    g = Star(spark, "/root/testdata/sf0.001")
+    want = sorted(map(tuple, analysis.deployable_scopes(graphs.contracts(g)).collect()))
+    monkeypatch.setattr(graphs, "linear", None)
+    assert sorted(map(tuple, graphs.scopes(Star(spark, g.path)).collect())) == want
+
+
 def test_counts_without_origins(spark):
     none = reach.Counts(spark.createDataFrame([], "id string"), spark.createDataFrame([("a", "b")], "src string, dst string"))
     assert none.origins().isEmpty() and none.reached().isEmpty()
